@@ -8,7 +8,7 @@ UDF (see ``operators.matching``).
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession, functions as F, types as T
@@ -31,14 +31,6 @@ def group_names(regex: Column) -> Column:
 @F.pandas_udf(T.BooleanType())
 def is_valid_regex(regex: pd.Series) -> pd.Series:
     """Whether Python can compile the pattern. For catalog rows, never for log lines."""
-
-    def compiles(text):
-        try:
-            re.compile(text)
-            return True
-        except (re.error, TypeError, OverflowError, RecursionError):
-            return False
-
     return regex.map(compiles)
 
 
@@ -160,6 +152,38 @@ def jvm_accepts(spark: SparkSession, java: list[str]) -> list[bool]:
         return jvm_accepts(spark, java[:half]) + jvm_accepts(spark, java[half:])
 
 
+# A repeated group makes the JVM's engine recurse once per repetition: on a long message
+# that can exhaust the stack, so such patterns are left to Python.
+_REPEATED_GROUP = re.compile(r"(?<!\\)(?:\\\\)*\)(?:[*+]|\{\d*,\d*\})")
+
+
+def java_spellings(spark: SparkSession, regexes: list[str]) -> list[str | None]:
+    """Java spelling of valid Python patterns, None for those only Python should run."""
+    safe = [not _REPEATED_GROUP.search(r) for r in regexes]
+    javas = [to_java(r) for r, ok in zip(regexes, safe) if ok]
+    accepted = iter([j if ok else None for j, ok in zip(javas, jvm_accepts(spark, javas))])
+    return [next(accepted) if ok else None for ok in safe]
+
+
+def compiles(regex: str) -> bool:
+    try:
+        re.compile(regex)
+        return True
+    except (re.error, TypeError, OverflowError, RecursionError):
+        return False
+
+
+def python_search(regex: str):
+    """A column function: whether a Python pattern is found in a text, in Arrow batches."""
+
+    @F.pandas_udf(T.BooleanType())
+    def found(text: pd.Series) -> pd.Series:
+        compiled = re.compile(regex)
+        return pd.Series([None if t is None else compiled.search(t) is not None for t in text], dtype=object)
+
+    return found
+
+
 def load_patterns(spark: SparkSession, rows: list) -> list[Pattern]:
     """Usable patterns, lowest id first, from rows with ``pattern_id`` and ``regex``.
 
@@ -167,17 +191,11 @@ def load_patterns(spark: SparkSession, rows: list) -> list[Pattern]:
     """
     found = []
     for row in sorted(rows, key=lambda r: r["pattern_id"]):
-        try:
-            compiled = re.compile(row["regex"])
-        except (re.error, OverflowError, RecursionError):
+        if not compiles(row["regex"]):
             continue
+        compiled = re.compile(row["regex"])
         get = row.asDict().get
         groups = tuple(sorted(compiled.groupindex.items(), key=lambda item: item[1]))
         found.append(Pattern(row["pattern_id"], row["regex"], get("label"), get("severity"),
                              get("component"), None, groups))
-    javas = [to_java(p.regex) for p in found]
-    accepted = jvm_accepts(spark, javas)
-    return [
-        Pattern(p.pattern_id, p.regex, p.label, p.severity, p.component, j if ok else None, p.groups)
-        for p, j, ok in zip(found, javas, accepted)
-    ]
+    return [replace(p, java=java) for p, java in zip(found, java_spellings(spark, [p.regex for p in found]))]

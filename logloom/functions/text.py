@@ -8,10 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# The Unicode white-space characters, as regex class members and as a string.
-SPACE_MEMBERS = (
-    r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-)
+# The Unicode white-space characters, as regex class members (control
+# characters, and the separator category) and as a string.
+SPACE_MEMBERS = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\p{Z}"
 SPACE_CHARS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logloom.functions.regexes import jvm_accepts, to_java
+from logloom.functions.regexes import compiles, java_spellings, python_search
 from logloom.functions.text import float_text
 from logloom.operators.joins import fits_broadcast, max_id
 from logloom.operators.numbering import number_rows
@@ -36,20 +34,22 @@ def threshold_holds(op: Column, value: Column, low: Column, high: Column) -> Col
     )
 
 
-def rule_holds(rule, message: Column, params: Column) -> Column:
+def rule_holds(rule, message: Column, params: Column, search=None) -> Column:
     """Whether a rule holds for a message and its parameters.
 
     ``rule`` maps field names to columns, so the same definition serves literal
     rules (Catalyst folds the branches away) and rules held in a column.
     ``contains`` on a missing parameter is false, ``regex`` then looks at the
-    message; ``search_text`` of a regex rule is in the JVM's dialect here.
+    message; ``search_text`` of a regex rule is in the JVM's dialect here, unless
+    ``search`` tests it.
     """
     kind, field, needle = rule["rule_type"], F.nullif(rule["field_name"], F.lit("")), rule["search_text"]
     param = F.try_element_at(params, field)
     text = F.coalesce(float_text(param["num"]), param["text"])
     hay = F.when(field.isNull(), message)
     contains = F.contains(F.coalesce(text, hay), needle)
-    regex = F.rlike(F.coalesce(text, message), needle)
+    subject = F.coalesce(text, message)
+    regex = F.rlike(subject, needle) if search is None else search(subject)
     return F.coalesce(
         F.when(kind == "threshold", threshold_holds(rule["op"], param["num"], rule["threshold1"], rule["threshold2"]))
         .when(kind == "contains", contains)
@@ -76,28 +76,23 @@ def _severity_rank(severity: str | None) -> int:
     return _RANK.get(severity or "", 0)
 
 
-def active_rules(rules: DataFrame) -> DataFrame:
-    """Active rules whose regex the JVM can run, in its dialect; others can never match."""
-    spark = rules.sparkSession
+def active_rules(rules: DataFrame) -> tuple[DataFrame, list[int]]:
+    """Active rules, regex texts in the JVM's dialect; and the ids of rules only Python can run.
+
+    A rule whose regex is invalid can never hold and is left out.
+    """
     active = rules.where("is_active")
-    texts = [r[0] for r in active.where("rule_type = 'regex' and search_text is not null")
-             .select("search_text").distinct().collect()]
-    known = []
-    for text in texts:
-        try:
-            re.compile(text)
-            known.append(text)
-        except re.error:
-            continue
-    javas = [to_java(t) for t in known]
-    spelled = [(t, j) for t, j, ok in zip(known, javas, jvm_accepts(spark, javas)) if ok]
-    dialect = local_table(spark, spelled, "search_text string, _java string")
+    regexes = [r[0] for r in active.where("rule_type = 'regex' and search_text is not null")
+               .select("search_text").distinct().collect() if compiles(r[0])]
+    spelled = list(zip(regexes, java_spellings(rules.sparkSession, regexes)))
+    dialect = local_table(rules.sparkSession, spelled, "search_text string, _java string")
     is_regex = F.col("rule_type") == "regex"
-    return (
-        active.join(dialect, "search_text", "left")
-        .withColumn("search_text", F.when(is_regex, F.col("_java")).otherwise(F.col("search_text")))
-        .select(*RULES.fieldNames())
-    )
+    known = dialect.withColumn("_known", F.lit(True))
+    usable = active.join(known, "search_text", "left").where(~is_regex | F.col("_known"))
+    by_python = usable.where(is_regex & F.col("_java").isNull()) if None in dict(spelled).values() else None
+    ids = [r[0] for r in by_python.select("rule_id").collect()] if by_python is not None else []
+    spelling = F.when(is_regex, F.coalesce("_java", "search_text")).otherwise(F.col("search_text"))
+    return usable.withColumn("search_text", spelling).select(*RULES.fieldNames()), ids
 
 
 def judge(
@@ -114,10 +109,12 @@ def judge(
     becomes one literal expression; a long one is joined as one array per pattern.
     Either way no row is multiplied and nothing but the rule side moves.
     """
-    usable = active_rules(rules)
-    listed = usable.select("pattern_id", *_FIELDS).limit(RULE_CHAIN_LIMIT + 1).collect()
-    if len(listed) <= RULE_CHAIN_LIMIT:
-        verdict = _verdict_chain(listed, policy, params)
+    usable, by_python = active_rules(rules)
+    fields = usable.select("pattern_id", *_FIELDS)
+    # Python tests cannot run inside an array expression, so with one of them all rules are chained.
+    listed = fields.collect() if by_python else fields.limit(RULE_CHAIN_LIMIT + 1).collect()
+    if by_python or len(listed) <= RULE_CHAIN_LIMIT:
+        verdict = _verdict_chain(listed, policy, params, set(by_python))
         judged = logs.withColumn("verdict", verdict)
     else:
         judged = _verdict_join(logs, usable, policy, params)
@@ -126,7 +123,7 @@ def judge(
     return judged
 
 
-def _verdict_chain(listed, policy: str, params: str) -> Column:
+def _verdict_chain(listed, policy: str, params: str, by_python: set[int]) -> Column:
     types = {f.name: f.dataType for f in RULES.fields}
     by_pattern: dict[int, list] = {}
     for row in sorted(listed, key=lambda r: r["rule_id"]):
@@ -139,7 +136,9 @@ def _verdict_chain(listed, policy: str, params: str) -> Column:
         inner = none
         for row in reversed(rows):
             rule = {name: F.lit(row[name]).cast(types[name]) for name in _FIELDS}
-            inner = F.when(rule_holds(rule, F.col("message"), F.col(params)), _verdict(rule).cast(_VERDICT)).otherwise(inner)
+            search = python_search(row["search_text"]) if row["rule_id"] in by_python else None
+            holds = rule_holds(rule, F.col("message"), F.col(params), search)
+            inner = F.when(holds, _verdict(rule).cast(_VERDICT)).otherwise(inner)
         chain = F.when(F.col("pattern_id") == pattern_id, inner).otherwise(chain)
     return chain
 

@@ -21,16 +21,15 @@ NOTE_AUTO = "LLM自動追加（自動生成パターン）: "
 NOTE_PREFIX = "LLM自動追加"
 
 
-def candidates(logs: DataFrame, analyses: DataFrame, limit: int = 10, host: str | None = None) -> DataFrame:
-    """Newest unknown logs that have no analysis yet, optionally of one host."""
+def candidates(logs: DataFrame, analyses: DataFrame, limit: int | None = 10,
+               host: str | None = None) -> DataFrame:
+    """Newest unknown logs that have no analysis yet, optionally of one host; all with ``limit=None``."""
     unknown = logs.where(~F.col("is_known"))
     if host is not None:
         unknown = unknown.where(F.col("host") == host)
-    return (
-        unknown.join(analyses.select("log_id").distinct(), "log_id", "left_anti")
-        .select("log_id", "ts", "host", "component", "message", "raw_line")
-        .orderBy(F.desc("ts"), "log_id").limit(limit)
-    )
+    waiting = unknown.join(analyses.select("log_id").distinct(), "log_id", "left_anti").select(
+        "log_id", "ts", "host", "component", "message", "raw_line")
+    return waiting if limit is None else waiting.orderBy(F.desc("ts"), "log_id").limit(limit)
 
 
 def prompt_text() -> Column:
