@@ -18,38 +18,41 @@ _FIELDS = ("rule_id", "rule_type", "field_name", "op", "threshold1", "threshold2
            "severity_if_match", "is_abnormal_if_match", "message")
 
 
+def threshold_test(op: str, value: Column, low: Column, high: Column) -> Column:
+    """One comparison; NULL where a bound or the value is missing."""
+    tests = {
+        ">": lambda: value > low,
+        ">=": lambda: value >= low,
+        "<": lambda: value < low,
+        "<=": lambda: value <= low,
+        "==": lambda: F.abs(value - low) < TOLERANCE,
+        "!=": lambda: F.abs(value - low) >= TOLERANCE,
+        "between": lambda: value.between(low, high),
+        "not_between": lambda: low.isNotNull() & high.isNotNull() & ~value.between(low, high),
+    }
+    return tests[op]() if op in tests else F.lit(False)
+
+
 def threshold_holds(op: Column, value: Column, low: Column, high: Column) -> Column:
-    """The eight comparisons; a missing bound makes any of them false."""
-    inside = (value >= low) & (value <= high)
-    return F.coalesce(
-        F.when(op == ">", value > low)
-        .when(op == ">=", value >= low)
-        .when(op == "<", value < low)
-        .when(op == "<=", value <= low)
-        .when(op == "==", F.abs(value - low) < TOLERANCE)
-        .when(op == "!=", F.abs(value - low) >= TOLERANCE)
-        .when(op == "between", inside)
-        .when(op == "not_between", ~inside & low.isNotNull() & high.isNotNull()),
-        F.lit(False),
-    )
+    """The comparison named by a column; a missing bound makes any of them false."""
+    chosen = F.lit(None).cast("boolean")
+    for name in THRESHOLD_OPS:
+        chosen = F.when(op == name, threshold_test(name, value, low, high)).otherwise(chosen)
+    return F.coalesce(chosen, F.lit(False))
 
 
-def rule_holds(rule, message: Column, params: Column, search=None) -> Column:
-    """Whether a rule holds for a message and its parameters.
+def rule_holds(rule, message: Column, params: Column) -> Column:
+    """Whether a rule held in columns holds for a message and its parameters.
 
-    ``rule`` maps field names to columns, so the same definition serves literal
-    rules (Catalyst folds the branches away) and rules held in a column.
     ``contains`` on a missing parameter is false, ``regex`` then looks at the
-    message; ``search_text`` of a regex rule is in the JVM's dialect here, unless
-    ``search`` tests it.
+    message; ``search_text`` of a regex rule is in the JVM's dialect here.
     """
     kind, field, needle = rule["rule_type"], F.nullif(rule["field_name"], F.lit("")), rule["search_text"]
     param = F.try_element_at(params, field)
     text = F.coalesce(float_text(param["num"]), param["text"])
     hay = F.when(field.isNull(), message)
     contains = F.contains(F.coalesce(text, hay), needle)
-    subject = F.coalesce(text, message)
-    regex = F.rlike(subject, needle) if search is None else search(subject)
+    regex = F.rlike(F.coalesce(text, message), needle)
     return F.coalesce(
         F.when(kind == "threshold", threshold_holds(rule["op"], param["num"], rule["threshold1"], rule["threshold2"]))
         .when(kind == "contains", contains)
@@ -123,23 +126,43 @@ def judge(
     return judged
 
 
+def literal_rule_holds(row, message: Column, params: Column, by_python: bool = False) -> Column:
+    """The same for a rule known now: only the test it asks for is built."""
+    field, needle = row["field_name"], row["search_text"]
+    param = params[field] if field else None
+    if row["rule_type"] == "threshold":
+        if not field:
+            return F.lit(False)
+        low, high = (F.lit(row[t]).cast("double") for t in ("threshold1", "threshold2"))
+        return threshold_test(row["op"], param["num"], low, high)
+    if needle is None:
+        return F.lit(False)
+    subject = F.coalesce(float_text(param["num"]), param["text"]) if field else message
+    if row["rule_type"] == "contains":
+        return F.contains(subject, F.lit(needle))
+    if row["rule_type"] == "regex":
+        subject = F.coalesce(subject, message) if field else message
+        return python_search(needle)(subject) if by_python else F.rlike(subject, F.lit(needle))
+    return F.lit(False)
+
+
 def _verdict_chain(listed, policy: str, params: str, by_python: set[int]) -> Column:
-    types = {f.name: f.dataType for f in RULES.fields}
     by_pattern: dict[int, list] = {}
     for row in sorted(listed, key=lambda r: r["rule_id"]):
         by_pattern.setdefault(row["pattern_id"], []).append(row)
-    none = F.lit(None).cast(_VERDICT)
-    chain = none
+    chain = F.lit(None).cast(_VERDICT)
     for pattern_id, rows in by_pattern.items():
         if policy == "most_severe":
             rows = sorted(rows, key=lambda r: -_severity_rank(r["severity_if_match"]))
-        inner = none
-        for row in reversed(rows):
-            rule = {name: F.lit(row[name]).cast(types[name]) for name in _FIELDS}
-            search = python_search(row["search_text"]) if row["rule_id"] in by_python else None
-            holds = rule_holds(rule, F.col("message"), F.col(params), search)
-            inner = F.when(holds, _verdict(rule).cast(_VERDICT)).otherwise(inner)
-        chain = F.when(F.col("pattern_id") == pattern_id, inner).otherwise(chain)
+        own = None
+        for row in rows:
+            holds = literal_rule_holds(row, F.col("message"), F.col(params), row["rule_id"] in by_python)
+            verdict = F.struct(
+                F.lit(row["severity_if_match"]).alias("severity"),
+                F.lit(row["message"] or f"Rule {row['rule_id']} matched").alias("reason"),
+                F.lit(row["is_abnormal_if_match"]).alias("is_abnormal"))
+            own = F.when(holds, verdict) if own is None else own.when(holds, verdict)
+        chain = F.when(F.col("pattern_id") == pattern_id, own).otherwise(chain)
     return chain
 
 

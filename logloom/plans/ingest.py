@@ -81,10 +81,17 @@ def abstract_lines(
 
 
 def count_templates(abstracted: DataFrame) -> DataFrame:
-    """Lines and first line per template. Fixed-size buffers, so it aggregates before the shuffle."""
+    """Lines and first line per template. Fixed-size buffers, so it aggregates before the shuffle.
+
+    Lines without a template form one group, recognised by its missing first line. A
+    filter on the template itself would be pushed below the parsing and make every
+    line pay for it twice.
+    """
+    with_template = F.when(F.col("template").isNotNull(), F.col("line_seq"))
     return (
-        abstracted.where("template is not null").groupBy("template")
-        .agg(F.count("*").alias("n"), F.min("line_seq").alias("first_seq"))
+        abstracted.groupBy("template")
+        .agg(F.count("*").alias("n"), F.min(with_template).alias("first_seq"))
+        .where("first_seq is not null")
     )
 
 

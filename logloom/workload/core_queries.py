@@ -10,7 +10,7 @@ from logloom.functions.regexes import group_names, has_named_groups
 from logloom.functions.syslog import parse_lines
 from logloom.functions.templates import fits_own_template, pattern_fits, template_of
 from logloom.operators import dedup, matching, params as params_ops, rules as rules_ops
-from logloom.plans.ingest import abstract_lines, count_templates, resolve_templates
+from logloom.plans.ingest import abstract_lines, count_templates, ingest_stats, resolve_templates
 from logloom.session import stage
 from logloom.workload import oracle_tables as o
 from logloom.workload.lines import FIRST_RUN, YEAR, event_lines, order_lines, shipment_lines, table, text_lines
@@ -184,7 +184,7 @@ def _(spark, sf):
 
 @query("ingest_params", o.with_ctes(o.first_ctes(), "SELECT log_id, param_name, param_value_num, param_value_text FROM b1_params"))
 def _(spark, sf):
-    return first_batch(spark, sf).params
+    return after_first(spark, sf)["params"]
 
 
 _CATALOG_COLUMNS = ("pattern_id", "regex_rule", "manual_regex_rule", "sample_message", "label", "severity", "note",
@@ -200,12 +200,12 @@ _CATALOG_SQL = ", ".join(_CATALOG_COLUMNS) + f", {ts_sql('first_seen_at')}, {ts_
 
 @query("ingest_catalog", o.with_ctes(o.first_ctes(), f"SELECT {_CATALOG_SQL} FROM b1_catalog"))
 def _(spark, sf):
-    return _catalog(first_batch(spark, sf).catalog)
+    return _catalog(after_first(spark, sf)["catalog"])
 
 
 @query("ingest_next_catalog", o.with_ctes(o.state_ctes(), f"SELECT {_CATALOG_SQL} FROM b2_catalog"))
 def _(spark, sf):
-    return _catalog(second_batch(spark, sf).catalog)
+    return _catalog(state(spark, sf)["catalog"])
 
 
 @query("ingest_alerts", o.with_ctes(
@@ -219,7 +219,7 @@ def _(spark, sf):
     """SELECT count(*) AS total_lines, count(*) AS parsed_lines, count_if(pattern_id IS NOT NULL AND NOT is_known) AS new_patterns,
     count_if(pattern_id IS NOT NULL AND is_known) AS existing_patterns, CAST(0 AS BIGINT) AS errors FROM b1_logs"""))
 def _(spark, sf):
-    return first_batch(spark, sf).stats
+    return ingest_stats(after_first(spark, sf)["rows"])
 
 
 @query("known_flags", o.with_ctes(
