@@ -184,6 +184,18 @@ def python_search(regex: str):
     return found
 
 
+def python_group(regex: str, index: int):
+    """A column function: one group of a Python pattern, ``''`` where it took no part."""
+
+    @F.pandas_udf(T.StringType())
+    def group(text: pd.Series) -> pd.Series:
+        compiled = re.compile(regex)
+        found = [None if t is None else compiled.search(t) for t in text]
+        return pd.Series([(m.group(index) or "") if m else "" for m in found], dtype=object)
+
+    return group
+
+
 def load_patterns(spark: SparkSession, rows: list) -> list[Pattern]:
     """Usable patterns, lowest id first, from rows with ``pattern_id`` and ``regex``.
 

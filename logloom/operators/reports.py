@@ -12,9 +12,13 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logloom.functions.regexes import to_java
+from logloom.functions.regexes import java_spellings, python_group, python_search
+from logloom.operators.numbering import number_rows
 from logloom.operators.triage import NOTE_PREFIX
 
+# Up to here a sorted head is found with a heap per task.
+TOP_ROWS = 100_000
+
 
 
 def _pattern_text() -> Column:
@@ -183,17 +187,30 @@ def unknown_patterns_of_host(logs: DataFrame, catalog: DataFrame, host: str) ->
         F.desc("log_count"), "pattern_id")
 
 
-def search_unknown(logs: DataFrame, regex: str, limit: int = 100_000_000) -> tuple[DataFrame, DataFrame]:
+def _first_logs(logs: DataFrame, limit: int | None) -> DataFrame:
+    """The first ``limit`` logs by id; a long list is cut by rank, not gathered in one task."""
+    if limit is None:
+        return logs
+    if limit <= TOP_ROWS:
+        return logs.orderBy("log_id").limit(limit)
+    return number_rows(logs, "log_id", 0, "_rank").where(F.col("_rank") <= limit).drop("_rank")
+
+
+def search_unknown(logs: DataFrame, regex: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Unknown lines a regex is found in: id, its groups joined by tabs, start of the message.
 
     ``limit`` bounds the lines looked at, in log order, not those found. Returns
     (found, one row with matched and checked).
     """
     groups = re.compile(regex).groups
-    java = to_java(regex)
-    looked_at = logs.where("classification = 'unknown'").select("log_id", "message").orderBy("log_id").limit(limit)
-    tested = looked_at.withColumn("hit", F.rlike("message", F.lit(java)))
-    parts = [F.regexp_extract("message", java, i) for i in range(1, groups + 1)]
+    java = java_spellings(logs.sparkSession, [regex])[0]
+    looked_at = _first_logs(logs.where("classification = 'unknown'").select("log_id", "message"), limit)
+    if java is None:
+        tested = looked_at.withColumn("hit", python_search(regex)("message"))
+        parts = [python_group(regex, i)("message") for i in range(1, groups + 1)]
+    else:
+        tested = looked_at.withColumn("hit", F.rlike("message", F.lit(java)))
+        parts = [F.regexp_extract("message", java, i) for i in range(1, groups + 1)]
     found = tested.where("hit").select(
         "log_id", (F.concat_ws("\t", *parts) if parts else F.lit("")).alias("groups"),
         F.substring("message", 1, 160).alias("message_head"))
