@@ -52,7 +52,8 @@ def match_id(message: Column, patterns: list[Pattern], component: Column | None
             chain = chain.when(test, F.lit(pattern.pattern_id).cast("bigint"))
     if not others:
         return chain
-    return F.least(chain, _python_match(others)(message, component if component is not None else F.lit(None).cast("string")))
+    scope = F.lit(None).cast("string") if component is None else component
+    return F.least(chain, _python_match(others, component is not None)(message, scope))
 
 
 def _in_scope(pattern: Pattern, component: Column) -> Column:
@@ -61,9 +62,8 @@ def _in_scope(pattern: Pattern, component: Column) -> Column:
     return F.coalesce(component == F.lit(pattern.component), F.lit(False))
 
 
-def _python_match(patterns: list[Pattern]):
+def _python_match(patterns: list[Pattern], scoped: bool):
     tests = [(p.pattern_id, p.regex, p.fragment, p.component) for p in patterns]
-    scoped = any(p.component is not None for p in patterns)
 
     @F.pandas_udf("bigint")
     def lowest_match(message: pd.Series, component: pd.Series) -> pd.Series:
@@ -73,7 +73,7 @@ def _python_match(patterns: list[Pattern]):
             if text is None:
                 return None
             for i, regex, fragment, scope in compiled:
-                if scoped and scope is not None and comp is not None and scope != comp:
+                if scoped and scope is not None and scope != comp:
                     continue
                 if fragment in text and regex.search(text):
                     return i

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -13,6 +14,11 @@ FILE_BITS = 40
 _ROW_BITS = 33
 
 
+def file_name() -> Column:
+    """Name of the file a line comes from; Spark gives it percent-encoded."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))).alias("source_file")
+
+
 def line_seq(file_rank: Column, block_start: Column, row_id: Column) -> Column:
     """Unique number of a line, increasing in arrival order.
 
@@ -47,7 +53,7 @@ def read_lines(spark: SparkSession, paths: list[str], first_file_rank: int = 0)
         spark, [(_plain(f), first_file_rank + i) for i, f in enumerate(listed)], "_path string, _rank bigint")
     scanned = reader.text(paths).select(
         "value", F.regexp_replace("_metadata.file_path", _LOCAL, "file:/").alias("_path"),
-        F.col("_metadata.file_name").alias("source_file"),
+        file_name(),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_row"),
     )
@@ -60,5 +66,6 @@ def read_ordered_files(spark: SparkSession, directory: str, names: list[str]) ->
     """Lines of named files of a directory in list order, leaving out those that do not exist."""
     present = {}
     for found in spark.read.option("pathGlobFilter", "*").text(directory).inputFiles():
-        present[found.rsplit("/", 1)[-1]] = found
+        path = unquote(found)
+        present[path.rsplit("/", 1)[-1]] = path
     return read_lines(spark, [present[n] for n in names if n in present])

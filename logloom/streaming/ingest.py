@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logloom.schemas import ALERTS
-from logloom.sources.lines import line_seq
+from logloom.sources.lines import file_name, line_seq
 from logloom.sources.store import Store
 
 
@@ -33,7 +33,7 @@ def stream_ingest(
     scanned = (
         spark.readStream.option("maxFilesPerTrigger", max_files).text(directory)
         .select("value", F.col("_metadata.file_path").alias("_path"),
-                F.col("_metadata.file_name").alias("source_file"),
+                file_name(),
                 F.col("_metadata.file_modification_time").alias("_time"),
                 F.col("_metadata.file_block_start").alias("_start"))
     )
