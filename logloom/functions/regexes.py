@@ -139,9 +139,11 @@ def required_text(regex: str) -> str:
 
 
 def jvm_accepts(spark: SparkSession, java: list[str]) -> list[bool]:
-    """Which patterns the JVM can compile: one probe for all, halving on failure."""
+    """Which patterns the JVM can compile: one probe for many, halving on failure."""
     if not java:
         return []
+    if len(java) > JVM_PATTERNS:
+        return jvm_accepts(spark, java[:JVM_PATTERNS]) + jvm_accepts(spark, java[JVM_PATTERNS:])
     try:
         spark.range(1).select(*[F.rlike(F.lit(""), F.lit(j)).alias(f"p{i}") for i, j in enumerate(java)]).collect()
         return [True] * len(java)
@@ -196,6 +198,10 @@ def python_group(regex: str, index: int):
     return group
 
 
+# So many patterns become literals of one expression; the others are run by Python.
+JVM_PATTERNS = 256
+
+
 def load_patterns(spark: SparkSession, rows: list) -> list[Pattern]:
     """Usable patterns, lowest id first, from rows with ``pattern_id`` and ``regex``.
 
@@ -210,4 +216,5 @@ def load_patterns(spark: SparkSession, rows: list) -> list[Pattern]:
         groups = tuple(sorted(compiled.groupindex.items(), key=lambda item: item[1]))
         found.append(Pattern(row["pattern_id"], row["regex"], get("label"), get("severity"),
                              get("component"), None, groups))
-    return [replace(p, java=java) for p, java in zip(found, java_spellings(spark, [p.regex for p in found]))]
+    javas = java_spellings(spark, [p.regex for p in found[:JVM_PATTERNS]])
+    return [replace(p, java=java) for p, java in zip(found, javas)] + found[JVM_PATTERNS:]

@@ -29,7 +29,7 @@ def strip(text: Column) -> Column:
 
 def drop_bad_bytes(text: Column) -> Column:
     """Drop undecodable bytes; the text reader delivers them as U+FFFD."""
-    return F.translate(text, "\ufffd", "")
+    return F.when(F.contains(text, F.lit("\ufffd")), F.translate(text, "\ufffd", "")).otherwise(text)
 
 
 def number_prefix(text: Column) -> Column:

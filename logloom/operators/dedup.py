@@ -14,7 +14,7 @@ def unique_lines(lines: DataFrame) -> DataFrame:
     ``lines``: value, source_file, line_seq, seen_at. Only line ends are cut from
     a line, other white space counts.
     """
-    raw = F.regexp_replace(drop_bad_bytes(F.col("value")), "[\\r\\n]+$", "")
+    raw = F.rtrim(drop_bad_bytes(F.col("value")), F.lit("\r\n"))
     counted = (
         lines.select(raw.alias("raw_line"), "source_file", "line_seq", "seen_at")
         .where(strip(F.col("raw_line")) != "")

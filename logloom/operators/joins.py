@@ -10,12 +10,17 @@ ROWS_PER_SALT = 2_000_000
 SALT_LIMIT = 4096
 
 
+def measure(table: DataFrame) -> tuple[int, int]:
+    """Rows of a staged table, and bytes: eight per column and the length of its texts."""
+    text = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in table.dtypes if t == "string"]
+    width = sum(text, F.lit(8 * len(table.columns)))
+    seen = table.agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
+    return seen["n"], seen["b"]
+
+
 def fits_broadcast(small: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Measure a staged table: its row count and the length of its text columns."""
-    text = [F.coalesce(F.length(c), F.lit(0)) for c, t in small.dtypes if t == "string"]
-    width = sum(text, F.lit(8 * len(small.columns)))
-    seen = small.agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
-    return seen["n"] <= rows and seen["b"] <= size
+    n, b = measure(small)
+    return n <= rows and b <= size
 
 
 def attach(

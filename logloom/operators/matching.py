@@ -7,9 +7,9 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logloom.functions.regexes import Pattern, load_patterns
+from logloom.functions.regexes import JVM_PATTERNS, Pattern, load_patterns
 
-CHAIN_LIMIT = 256
+CHAIN_LIMIT = JVM_PATTERNS
 MAX_PATTERNS = 100_000
 
 

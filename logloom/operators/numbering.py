@@ -7,14 +7,19 @@ from pyspark.sql import DataFrame, Window, functions as F
 _BLOCK_BITS = 20
 
 
-def number_rows(df: DataFrame, key: str, start, name: str) -> DataFrame:
+def number_rows(df: DataFrame, key: str, start, name: str, at_most: int | None = None) -> DataFrame:
     """Number rows ``start+1, start+2, ...`` in the order of a unique, non-negative bigint key.
 
     The key's bits cut the rows into blocks of at most 2^20 keys, so no block can
     grow with the data or with skew. Rows are ranked inside their block; block
     counts are summed up inside regions of 2^20 blocks; only one row per region
-    meets in the last running sum.
+    meets in the last running sum. When the caller knows that there are ``at_most``
+    as many rows as a block may have, they are one block.
     """
+    start = F.lit(start) if isinstance(start, int) else start
+    if at_most is not None and at_most <= 1 << _BLOCK_BITS:
+        rank = F.row_number().over(Window.orderBy(key))
+        return df.withColumn(name, (start + rank).cast("bigint"))
     blocks = df.withColumn("_block", F.shiftright(key, _BLOCK_BITS))
     counts = (
         blocks.groupBy("_block").agg(F.count("*").alias("_n"))
@@ -31,7 +36,6 @@ def number_rows(df: DataFrame, key: str, start, name: str) -> DataFrame:
         .select("_block", (F.col("_region_start") + F.col("_block_start")).alias("_start"))
     )
     in_block = Window.partitionBy("_block").orderBy(key)
-    start = F.lit(start) if isinstance(start, int) else start
     return (
         blocks.withColumn("_rank", F.row_number().over(in_block))
         .join(before_block, "_block")

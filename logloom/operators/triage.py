@@ -27,28 +27,27 @@ def candidates(logs: DataFrame, analyses: DataFrame, limit: int | None = 10,
     unknown = logs.where(~F.col("is_known"))
     if host is not None:
         unknown = unknown.where(F.col("host") == host)
-    waiting = unknown.join(analyses.select("log_id").distinct(), "log_id", "left_anti").select(
+    waiting = unknown.join(analyses.select("log_id"), "log_id", "left_anti").select(
         "log_id", "ts", "host", "component", "message", "raw_line")
     return waiting if limit is None else waiting.orderBy(F.desc("ts"), "log_id").limit(limit)
 
 
+PROMPT_HEAD = "You are given one system log entry. Decide whether it shows an abnormal condition.\n\n"
+PROMPT_TAIL = (
+    "\n\nAnswer with a JSON object with the fields is_abnormal (true or false), "
+    "label (normal, abnormal or unknown), severity (info, warning, critical or unknown), "
+    "reason (one short sentence) and, for a normal line worth remembering, "
+    "pattern_suggestion (a regular expression).\n"
+    "normal: routine operation such as start-up or status. abnormal: errors, or warnings that need attention. "
+    "unknown: neither is clear.\n"
+)
+
+
 def prompt_text() -> Column:
     """Question put to the scorer for a candidate row."""
-    def shown(value: Column) -> Column:
-        return F.coalesce(value, F.lit("None"))
-
-    parts = [
-        "You are given one system log entry. Decide whether it shows an abnormal condition.\n\nTimestamp: ",
-        shown(time_text(F.col("ts"))), "\nHost: ", shown(F.col("host")),
-        "\nComponent: ", shown(F.col("component")), "\nMessage: ", shown(F.col("message")),
-        "\n\nAnswer with a JSON object with the fields is_abnormal (true or false), "
-        "label (normal, abnormal or unknown), severity (info, warning, critical or unknown), "
-        "reason (one short sentence) and, for a normal line worth remembering, "
-        "pattern_suggestion (a regular expression).\n"
-        "normal: routine operation such as start-up or status. abnormal: errors, or warnings that need attention. "
-        "unknown: neither is clear.\n",
-    ]
-    return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    fields = {"Timestamp": time_text(F.col("ts")), "Host": F.col("host"), "Component": F.col("component"), "Message": F.col("message")}
+    lines = [F.concat(F.lit(f"{title}: "), F.coalesce(value, F.lit("None"))) for title, value in fields.items()]
+    return F.concat(F.lit(PROMPT_HEAD), F.concat_ws("\n", *lines), F.lit(PROMPT_TAIL))
 
 
 def parse_verdict(response: Column, error: Column) -> Column:

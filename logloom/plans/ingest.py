@@ -17,7 +17,7 @@ from logloom.functions.regexes import Pattern
 from logloom.functions.syslog import parse_lines
 from logloom.functions.templates import template_of
 from logloom.operators.alerts import new_alerts
-from logloom.operators.joins import attach, fits_broadcast, max_id
+from logloom.operators.joins import BROADCAST_BYTES, BROADCAST_ROWS, attach, max_id, measure
 from logloom.operators.matching import manual_patterns, match_id
 from logloom.operators.numbering import number_rows
 from logloom.operators.params import explode_params, params_of
@@ -95,10 +95,11 @@ def count_templates(abstracted: DataFrame) -> DataFrame:
     )
 
 
-def resolve_templates(counted: DataFrame, catalog: DataFrame) -> DataFrame:
+def resolve_templates(counted: DataFrame, catalog: DataFrame, at_most: int | None = None) -> DataFrame:
     """Give each template its catalog row, or the next id in order of first appearance.
 
-    The catalog is looked up under both its text columns.
+    The catalog is looked up under both its text columns. ``at_most`` is the number
+    of templates, where it is known.
     """
     entries = catalog.select(
         F.coalesce("regex_rule", "manual_regex_rule").alias("template"),
@@ -106,7 +107,7 @@ def resolve_templates(counted: DataFrame, catalog: DataFrame) -> DataFrame:
     )
     found = counted.join(entries, "template", "left")
     fresh = number_rows(found.where("template_id is null").drop("template_id"), "first_seq",
-                        max_id(catalog, "pattern_id"), "template_id")
+                        max_id(catalog, "pattern_id"), "template_id", at_most)
     return (
         found.where("template_id is not null").withColumn("is_new", F.lit(False))
         .unionByName(
@@ -145,7 +146,8 @@ def ingest_batch(
     patterns = manual_patterns(catalog)
     abstracted = abstract_lines(lines, patterns, as_of, default_year)
     counted = stage(count_templates(abstracted), "template-counts")
-    templates = stage(resolve_templates(counted, catalog), "templates")
+    rows, size = measure(counted)
+    templates = stage(resolve_templates(counted, catalog, rows), "templates")
 
     mapping = templates.select(
         "template", "template_id", "label", "severity", "n",
@@ -159,7 +161,8 @@ def ingest_batch(
     is_new = F.coalesce(F.col("new_seq") == F.col("line_seq"), F.lit(False))
     now = F.lit(as_of).cast("timestamp_ntz")
     known = (
-        attach(abstracted, mapping, "template", F.col("line_seq"), uses="n", fits=fits_broadcast(mapping))
+        attach(abstracted, mapping, "template", F.col("line_seq"), uses="n",
+               fits=rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES)
         .join(F.broadcast(manual_labels), "manual_id", "left")
         .withColumn("pattern_id", F.coalesce("manual_id", "template_id"))
         .withColumn("is_known", F.col("pattern_id").isNotNull() & ~is_new)

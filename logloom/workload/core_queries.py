@@ -117,13 +117,13 @@ def _(spark, sf):
 @query("manual_match", o.with_ctes(
     o.line_ctes() + o.seed_ctes() + [
         "every AS (SELECT * FROM ev_lines UNION ALL SELECT * FROM or_lines)", o.parse_cte("parsed", "every", o.FIRST_AT)],
-    """SELECT source_file, line_seq, min(pattern_id) AS manual_id FROM parsed, manual_regexes
-    WHERE regexp_matches(message, regex) GROUP BY 1, 2"""))
+    """SELECT source_file, line_seq, coalesce(min(pattern_id), -1) AS manual_id FROM parsed
+    LEFT JOIN manual_regexes ON regexp_matches(message, regex) GROUP BY 1, 2"""))
 def _(spark, sf):
     patterns = matching.manual_patterns(seed_catalog(spark))
     parsed = parse_lines(event_lines(spark, sf).unionByName(order_lines(spark, sf)), YEAR, FIRST_RUN)
-    return parsed.select("source_file", "line_seq", matching.match_id(F.col("message"), patterns).alias("manual_id")).where(
-        "manual_id is not null")
+    found = F.coalesce(matching.match_id(F.col("message"), patterns), F.lit(-1))
+    return parsed.select("source_file", "line_seq", found.alias("manual_id"))
 
 
 @query("component_match", o.with_ctes(

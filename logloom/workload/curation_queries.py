@@ -347,15 +347,11 @@ def _(spark, sf):
 
 @query("triage_prompts", o.with_ctes(
     _TRIAGE,
-    """SELECT log_id, length(prompt) > 200 AS is_long, contains(prompt, 'Message: ' || message) AS has_message,
-      contains(prompt, 'Host: ' || coalesce(host, 'None')) AS has_host FROM (
-      SELECT *, repeat('.', 201) || 'Host: ' || coalesce(host, 'None') || 'Message: ' || message AS prompt FROM scored)"""))
-def _(spark, sf):
-    prompt = F.col("prompt")
-    return triaged(spark, sf)["scored"].select(
-        "log_id", (F.length(prompt) > 200).alias("is_long"),
-        F.contains(prompt, F.concat(F.lit("Message: "), "message")).alias("has_message"),
-        F.contains(prompt, F.concat(F.lit("Host: "), F.coalesce("host", F.lit("None")))).alias("has_host"))
+    f"""SELECT log_id, {o.quoted(triage.PROMPT_HEAD)} || 'Timestamp: ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || chr(10) || 'Host: ' || coalesce(host, 'None')
+      || chr(10) || 'Component: ' || coalesce(component, 'None') || chr(10) || 'Message: ' || message || {o.quoted(triage.PROMPT_TAIL)} AS prompt
+    FROM scored"""))
+def _(spark, sf):
+    return triaged(spark, sf)["scored"].select("log_id", "prompt")
 
 
 @query("triage_verdicts", o.with_ctes(

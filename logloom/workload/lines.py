@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a scan with fewer splits than cores: the regex work outweighs a shuffle of so little."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def word(number: Column) -> Column:
     """A number spelled with letters, to vary the words of a message."""
     return F.translate(number.cast("string"), "0123456789", "abcdefghij")
@@ -59,7 +65,7 @@ def _host(user: Column) -> Column:
 
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
+    events = spread(table(spark, sf_dir, "events"))
     k = F.regexp_extract("props", "[0-9]+", 0)
     message, component = _messages(F.col("event_type"), ("view", "error", "click", "signup"), F.col("event_id"),
                                    F.col("user_id"), F.col("value"), k)
@@ -77,7 +83,7 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"))
     user = F.col("o_custkey")
     message, component = _messages(
         F.col("o_orderpriority"), ("2-HIGH", "1-URGENT", "5-LOW", "3-MEDIUM"), F.col("o_orderkey"),
@@ -99,8 +105,8 @@ def shipment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of ``documents`` and ``conversations`` (origin, id, message)."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents")).select(
         F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), F.explode(F.split("text", "\n")).alias("message"))
-    talks = table(spark, sf_dir, "conversations").select(
+    talks = spread(table(spark, sf_dir, "conversations")).select(
         F.lit("conversations").alias("origin"), F.col("conv_id").alias("id"), F.explode(F.split("text", "\n")).alias("message"))
     return docs.unionByName(talks)

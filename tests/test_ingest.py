@@ -113,8 +113,7 @@ def test_large_template_table_is_joined_with_salt(spark, monkeypatch):
     args = dict(as_of=NOW, default_year=2025)
     plain = logs_of(ingest_batch(lines_of(spark, lines), catalog_of(spark), local_table(spark, RULE_ROWS, RULES), **args))
     monkeypatch.setattr(joins, "ROWS_PER_SALT", 10)
-    monkeypatch.setattr("logloom.plans.ingest.fits_broadcast", lambda df: False)
-    monkeypatch.setattr(joins, "fits_broadcast", lambda df: False)
+    monkeypatch.setattr("logloom.plans.ingest.BROADCAST_ROWS", 3)
     salted = ingest_batch(lines_of(spark, lines), catalog_of(spark), local_table(spark, RULE_ROWS, RULES), **args)
     assert logs_of(salted) == plain
 

@@ -43,6 +43,7 @@ def test_numbering_is_dense_and_ordered(spark):
     df = local_table(spark, [(k,) for k in keys], "k bigint").repartition(7)
     got = [(r["k"], r["n"]) for r in number_rows(df, "k", 10, "n").orderBy("k").collect()]
     assert got == [(k, 11 + i) for i, k in enumerate(keys)]
+    assert [(r["k"], r["n"]) for r in number_rows(df, "k", 10, "n", len(keys)).orderBy("k").collect()] == got
     assert number_rows(df.where("k < 0"), "k", 0, "n").count() == 0
 
 
