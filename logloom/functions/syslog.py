@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logloom.functions.text import DIGIT, NON_SPACE, SPACE, WORD, drop_bad_bytes, strip
+from logloom.functions.text import DIGIT, NON_SPACE, SPACE, WORD, drop_bad_bytes, strip, wall_time
 
 # Month abbreviations of the syslog date.
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
@@ -46,7 +46,7 @@ def parse_lines(lines: DataFrame, default_year: int, ingest_ts: dt.datetime) ->
     without a header keep their whole text as message. ``parse_ok`` tells them
     apart; a missing or impossible date becomes ``ingest_ts``.
     """
-    now = F.lit(ingest_ts).cast("timestamp_ntz")
+    now = wall_time(ingest_ts)
     return (
         lines.withColumn("raw_line", strip(drop_bad_bytes(F.col("value"))))
         .withColumn("_head", header(F.col("raw_line")))

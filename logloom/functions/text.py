@@ -6,6 +6,8 @@ does not depend on the ASCII defaults of Java's ``\\s`` and ``\\d``.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, functions as F
 
 # The Unicode white-space characters, as regex class members (control
@@ -51,6 +53,11 @@ def float_text(value: Column) -> Column:
     return F.when((size == 0) | ((size >= 1e-4) & (size < 1e16)), plain).otherwise(scientific)
 
 
+def wall_time(ts: dt.datetime) -> Column:
+    """A driver-side time as timestamp without zone, whatever the zones of driver and session."""
+    return F.lit(ts.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def _two_digits(number: Column) -> Column:
     digits = F.abs(number).cast("string")
     return F.when(F.length(digits) < 2, F.concat(F.lit("0"), digits)).otherwise(digits)

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from logloom.functions.text import wall_time
 from logloom.operators.numbering import number_rows
 from logloom.schemas import ALERT_CHANNEL, ALERTS
 
@@ -19,7 +20,7 @@ def alert_rows(logs: DataFrame, alert_type: Column, as_of: dt.datetime) -> DataF
     return logs.select(
         "log_id", alert_type.alias("alert_type"), F.lit(ALERT_CHANNEL).alias("channel"),
         F.lit("pending").alias("status"), none.cast("string").alias("message"),
-        F.lit(as_of).cast("timestamp_ntz").alias("created_at"),
+        wall_time(as_of).alias("created_at"),
         none.cast("timestamp_ntz").alias("sent_at"), none.cast("timestamp_ntz").alias("resolved_at"),
     )
 
@@ -94,7 +95,7 @@ def merge_deliveries(alerts: DataFrame, deliveries: DataFrame, as_of: dt.datetim
         alerts.join(result, "log_id", "left")
         .withColumns({
             "message": F.when(sent, F.col("_text")).when(hit, F.col("_error")).otherwise(F.col("message")),
-            "sent_at": F.when(sent, F.lit(as_of).cast("timestamp_ntz")).otherwise(F.col("sent_at")),
+            "sent_at": F.when(sent, wall_time(as_of)).otherwise(F.col("sent_at")),
             "status": F.when(sent, F.lit("sent")).when(hit, F.lit("failed")).otherwise(F.col("status")),
         })
         .select(*ALERTS.fieldNames())

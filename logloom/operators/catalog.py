@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from logloom.functions.text import wall_time
 from logloom.functions.regexes import has_named_groups, is_valid_regex
 from logloom.functions.templates import template_of
 from logloom.operators.joins import max_id
@@ -32,7 +33,7 @@ def add_patterns(
     it takes the label, severity and note of the last request for it. Requests act
     in ``seq`` order.
     """
-    now = F.lit(as_of).cast("timestamp_ntz")
+    now = wall_time(as_of)
     reason = (
         F.when(F.col("regex").isNull() | ~F.coalesce(is_valid_regex("regex"), F.lit(False)), F.lit("invalid regex"))
         .when(~F.coalesce(F.col("label").isin(*LABELS), F.lit(False)), F.lit("invalid label"))
@@ -110,7 +111,7 @@ def _mapped(logs: DataFrame, mapped: DataFrame, as_of: dt.datetime) -> DataFrame
         "is_manual_mapped": hit | F.col("is_manual_mapped"),
         "classification": F.when(hit, F.col("_label")).otherwise(F.col("classification")),
         "severity": F.when(hit, F.col("_severity")).otherwise(F.col("severity")),
-        "updated_at": F.when(hit, F.lit(as_of).cast("timestamp_ntz")).otherwise(F.col("updated_at")),
+        "updated_at": F.when(hit, wall_time(as_of)).otherwise(F.col("updated_at")),
     }).select(*logs.columns)
 
 
@@ -141,7 +142,7 @@ def relabel(
     NULL severity. Labels outside the domain change nothing and come back as
     rejected. Returns (catalog, logs, rejected).
     """
-    now = F.lit(as_of).cast("timestamp_ntz")
+    now = wall_time(as_of)
     fine = F.coalesce(F.col("label").isin(*LABELS), F.lit(False))
     good = changes.where(fine).select(
         "pattern_id", F.col("label").alias("_label"), F.nullif(F.col("severity"), F.lit("")).alias("_given"),
@@ -168,7 +169,7 @@ def edit_logs(logs: DataFrame, edits: DataFrame, as_of: dt.datetime) -> DataFram
     return logs.join(new, "log_id", "left").withColumns({
         "classification": F.coalesce("_class", "classification"),
         "severity": F.when(hit, F.coalesce("_severity", "severity")).otherwise(F.col("severity")),
-        "updated_at": F.when(hit, F.lit(as_of).cast("timestamp_ntz")).otherwise(F.col("updated_at")),
+        "updated_at": F.when(hit, wall_time(as_of)).otherwise(F.col("updated_at")),
     }).select(*logs.columns)
 
 

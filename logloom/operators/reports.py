@@ -12,6 +12,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from logloom.functions.text import wall_time
 from logloom.functions.regexes import java_spellings, python_group, python_search
 from logloom.operators.numbering import number_rows
 from logloom.operators.triage import NOTE_PREFIX
@@ -73,7 +74,7 @@ def by_alert_status(alerts: DataFrame) -> DataFrame:
 
 def recent(logs: DataFrame, as_of: dt.datetime, hours: int = 24) -> DataFrame:
     """Abnormal and unknown lines of the hours before ``as_of``."""
-    since = F.lit(as_of - dt.timedelta(hours=hours)).cast("timestamp_ntz")
+    since = wall_time(as_of - dt.timedelta(hours=hours))
     return logs.where(F.col("ts") >= since).agg(
         F.count_if(F.col("classification") == "abnormal").alias("abnormal"),
         F.count_if(F.col("classification") == "unknown").alias("unknown"))
@@ -136,7 +137,7 @@ def unknown_logs(logs: DataFrame, host: str | None = None, like: str | None = No
     if like is not None:
         found = found.where(F.col("message").like(like))
     if since is not None:
-        found = found.where(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
+        found = found.where(F.col("ts") >= wall_time(since))
     if not_mapped:
         found = found.where(~F.col("is_manual_mapped"))
     return found.select(

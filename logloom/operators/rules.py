@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logloom.functions.regexes import compiles, java_spellings, python_search
 from logloom.functions.text import float_text
 from logloom.operators.joins import fits_broadcast, max_id
+from logloom.operators.matching import MAX_PATTERNS
 from logloom.operators.numbering import number_rows
 from logloom.operators.params import pack_params
 from logloom.session import local_table
@@ -85,8 +86,11 @@ def active_rules(rules: DataFrame) -> tuple[DataFrame, list[int]]:
     A rule whose regex is invalid can never hold and is left out.
     """
     active = rules.where("is_active")
-    regexes = [r[0] for r in active.where("rule_type = 'regex' and search_text is not null")
-               .select("search_text").distinct().collect() if compiles(r[0])]
+    texts = (active.where("rule_type = 'regex' and search_text is not null").select("search_text").distinct()
+             .limit(MAX_PATTERNS + 1).collect())
+    if len(texts) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} regex rules")
+    regexes = [r[0] for r in texts if compiles(r[0])]
     spelled = list(zip(regexes, java_spellings(rules.sparkSession, regexes)))
     dialect = local_table(rules.sparkSession, spelled, "search_text string, _java string")
     is_regex = F.col("rule_type") == "regex"

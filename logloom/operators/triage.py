@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from logloom.functions.text import wall_time
 from logloom.functions.templates import template_of
 from logloom.operators.alerts import time_text, alert_rows
 from logloom.operators.catalog import add_patterns
@@ -99,7 +100,7 @@ def analyses_of(scored: DataFrame, model_name: str, as_of: dt.datetime) -> DataF
     text = F.when(F.col("error").isNotNull(), F.concat(F.lit("Error: "), F.col("error"))).otherwise(F.col("response"))
     return scored.select(
         "log_id", "prompt", text.alias("response"), F.lit(model_name).alias("model_name"),
-        F.lit(as_of).cast("timestamp_ntz").alias("created_at"),
+        wall_time(as_of).alias("created_at"),
     ).select(*ANALYSES.fieldNames())
 
 

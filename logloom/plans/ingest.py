@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from logloom.functions.text import wall_time
 from logloom.functions.regexes import Pattern
 from logloom.functions.syslog import parse_lines
 from logloom.functions.templates import template_of
@@ -101,10 +102,10 @@ def resolve_templates(counted: DataFrame, catalog: DataFrame, at_most: int | Non
     The catalog is looked up under both its text columns. ``at_most`` is the number
     of templates, where it is known.
     """
-    entries = catalog.select(
-        F.coalesce("regex_rule", "manual_regex_rule").alias("template"),
-        F.col("pattern_id").alias("template_id"), "label", "severity",
-    )
+    # A text found in both columns counts for its lowest id.
+    entries = catalog.groupBy(F.coalesce("regex_rule", "manual_regex_rule").alias("template")).agg(
+        F.min(F.struct(F.col("pattern_id").alias("template_id"), "label", "severity")).alias("entry")
+    ).select("template", "entry.*")
     found = counted.join(entries, "template", "left")
     fresh = number_rows(found.where("template_id is null").drop("template_id"), "first_seq",
                         max_id(catalog, "pattern_id"), "template_id", at_most)
@@ -159,7 +160,7 @@ def ingest_batch(
     )
     by_hand = F.col("manual_id").isNotNull()
     is_new = F.coalesce(F.col("new_seq") == F.col("line_seq"), F.lit(False))
-    now = F.lit(as_of).cast("timestamp_ntz")
+    now = wall_time(as_of)
     known = (
         attach(abstracted, mapping, "template", F.col("line_seq"), uses="n",
                fits=rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES)
@@ -191,7 +192,7 @@ def catalog_after(catalog: DataFrame, templates: DataFrame, rows: DataFrame, as_
     The sample of a new template is its first line, the only unknown line that has
     a pattern. A match by hand changes no count.
     """
-    now = F.lit(as_of).cast("timestamp_ntz")
+    now = wall_time(as_of)
     again = templates.where("not is_new").select(F.col("template_id").alias("pattern_id"), "n")
     hit = F.col("n").isNotNull()
     kept = catalog.join(again, "pattern_id", "left").withColumns({

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from logloom.functions.text import wall_time
 from logloom.functions.regexes import load_patterns
 from logloom.operators.matching import found_in, match_id
 from logloom.operators.params import explode_params, params_of
@@ -63,7 +64,7 @@ def reprocess_pattern(
             "is_known": F.lit(True),
             "classification": classify(F.lit(True), F.lit(pattern.label)),
             "severity": F.lit(pattern.severity).cast("string"),
-            "updated_at": F.lit(as_of).cast("timestamp_ntz"),
+            "updated_at": wall_time(as_of),
             "params": params_of(message, F.lit(pattern_id), loaded),
         })
         judged = judge(new, own_rules, policy)

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from logloom.functions.text import wall_time
 from logloom.functions.regexes import group_names, has_named_groups
 from logloom.functions.syslog import parse_lines
 from logloom.functions.templates import fits_own_template, pattern_fits, template_of
@@ -371,5 +372,5 @@ def _(spark, sf):
     place = F.when(F.col("origin") == "documents", F.col("id")).otherwise(F.col("id") + 1000000000)
     lines = text_lines(spark, sf).select(
         F.col("message").alias("value"), F.col("origin").alias("source_file"), place.alias("line_seq"),
-        F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz").alias("seen_at"))
+        wall_time(dt.datetime(2024, 1, 1)).alias("seen_at"))
     return dedup.unique_lines(lines).select("raw_line", "count", "first_seen_file", "last_seen_file")
