@@ -30,8 +30,8 @@ def strip(text: Column) -> Column:
 
 
 def drop_bad_bytes(text: Column) -> Column:
-    """Drop undecodable bytes; the text reader delivers them as U+FFFD."""
-    return F.when(F.contains(text, F.lit("\ufffd")), F.translate(text, "\ufffd", "")).otherwise(text)
+    """Drop bytes that are no UTF-8; the text reader passes them on as they are."""
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.translate(F.make_valid_utf8(text), "\ufffd", ""))
 
 
 def number_prefix(text: Column) -> Column:

@@ -43,7 +43,7 @@ def read_lines(spark: SparkSession, paths: list[str], first_file_rank: int = 0)
     """Lines of the files in the given order (value, source_file, line_seq).
 
     A directory or glob contributes its files in name order; files that vanish are
-    skipped. Undecodable bytes arrive as U+FFFD and are dropped by the parser.
+    skipped. Bytes that are no UTF-8 are dropped by the parser.
     """
     reader = spark.read.option("ignoreMissingFiles", "true")
     listed: list[str] = []

@@ -45,11 +45,11 @@ def test_blank_lines_at_split_borders_stay_unique(spark, tmp_path):
 
 
 def test_line_breaks_bad_bytes_and_odd_names(spark, tmp_path):
-    (tmp_path / "odd name é.log").write_bytes(b"one\r\ntwo\rth\xffree\n\nend")
+    (tmp_path / "odd name é.log").write_bytes(b"one\r\ntwo\rth\xffree\n\nkept \xef\xbf\xbd")
     from logloom.functions.syslog import parse_lines
 
     rows = parse_lines(read_lines(spark, [str(tmp_path)]), 2025, NOW).orderBy("line_seq").collect()
-    assert [r["message"] for r in rows] == ["one", "two", "three", "", "end"]
+    assert [r["message"] for r in rows] == ["one", "two", "three", "", "kept \ufffd"]
     assert {r["source_file"] for r in rows} == {"odd name é.log"}
 
 
