@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from logloom.operators import alerts as alert_ops, catalog as catalog_ops, rules as rules_ops, triage
 from logloom.plans.packs import BANDWIDTH_LIMITS, BANDWIDTH_NOTE, BANDWIDTH_REGEX, BANDWIDTH_SAMPLE, bandwidth_pack
 from logloom.plans.reprocess import reprocess_pattern
-from logloom.session import local_table
+from logloom.session import local_table, stage
 from logloom.workload import oracle_tables as o
 from logloom.workload.lines import TRIAGE_RUN, table
 from logloom.workload.registry import query, ts_sql, ts_text
@@ -283,14 +283,15 @@ def _reprocessed(spark, sf):
     now = state(spark, sf)
     new = local_table(spark, [(1, _JOB_REGEX, "sample", "unknown", "info", None, None)],
                       "seq bigint, regex string, sample_message string, label string, severity string, component string, note string")
-    catalog = catalog_ops.add_patterns(now["catalog"], new, TRIAGE_RUN).catalog
+    # A change of the catalog is written before it is used, as the store does.
+    catalog = stage(catalog_ops.add_patterns(now["catalog"], new, TRIAGE_RUN).catalog, "reprocess-catalog")
     pattern_id = now["catalog"].agg(F.max("pattern_id")).first()[0] + 1
     own = local_table(spark, [(1, pattern_id, "threshold", "secs", ">", 100.0, None, None, "critical", True, None, True),
                               (2, pattern_id, "contains", "code", None, None, None, "f", "warning", True, "code has f", True)],
                       "seq bigint, pattern_id bigint, rule_type string, field_name string, op string, threshold1 double, threshold2 double, "
                       "search_text string, severity_if_match string, is_abnormal_if_match boolean, message string, is_active boolean")
     rules, _ = rules_ops.add_rules(now["rules"], own, catalog)
-    return reprocess_pattern(now["logs"], now["params"], catalog, rules, pattern_id, TRIAGE_RUN)
+    return reprocess_pattern(now["logs"], now["params"], catalog, stage(rules, "reprocess-rules"), pattern_id, TRIAGE_RUN)
 
 
 _REPROCESS = [rf"""again AS (

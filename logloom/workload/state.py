@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logloom.operators.triage import analyses_of, apply_verdicts, candidates, score
@@ -56,15 +57,30 @@ def first_batch(spark: SparkSession, sf_dir: str) -> Batch:
                         as_of=FIRST_RUN, default_year=YEAR)
 
 
-_STAGED: dict[tuple, dict[str, DataFrame]] = {}
+_STAGED: dict[tuple, tuple[dict[str, DataFrame], set[str]]] = {}
+
+
+def _still_there(spark: SparkSession, folders: set[str]) -> bool:
+    try:
+        for folder in folders:
+            spark.read.schema("probe string").parquet(folder)
+        return True
+    except AnalysisException:
+        return False
 
 
 def _once(spark: SparkSession, sf_dir: str, name: str, build) -> dict[str, DataFrame]:
-    """State tables written once per application and data folder, as a running system has them."""
+    """State tables written once per application and data folder, as a running system has them.
+
+    They are built again when someone has emptied the shared folder in between.
+    """
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _STAGED:
-        _STAGED[key] = build()
-    return _STAGED[key]
+    if key in _STAGED and _still_there(spark, _STAGED[key][1]):
+        return _STAGED[key][0]
+    tables = build()
+    folders = {f.rsplit("/", 1)[0] for table in tables.values() for f in table.inputFiles()}
+    _STAGED[key] = (tables, {f for f in folders if not f.endswith(sf_dir)})
+    return tables
 
 
 def after_first(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
