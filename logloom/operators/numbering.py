@@ -20,19 +20,21 @@ def number_rows(df: DataFrame, key: str, start, name: str, at_most: int | None =
     if at_most is not None and at_most <= 1 << _BLOCK_BITS:
         rank = F.row_number().over(Window.orderBy(key))
         return df.withColumn(name, (start + rank).cast("bigint"))
-    blocks = df.withColumn("_block", F.shiftright(key, _BLOCK_BITS))
+    # The explicit filter and the null-safe join keep both uses of the counts one and
+    # the same plan, so the exchange behind them runs once.
+    blocks = df.withColumn("_block", F.shiftright(key, _BLOCK_BITS)).where("_block is not null")
     counts = (
         blocks.groupBy("_block").agg(F.count("*").alias("_n"))
         .withColumn("_region", F.shiftright("_block", _BLOCK_BITS))
     )
     regions = counts.groupBy("_region").agg(F.sum("_n").alias("_rn"))
     before_region = regions.select(
-        "_region", (F.sum("_rn").over(Window.orderBy("_region")) - F.col("_rn")).alias("_region_start")
+        F.col("_region").alias("_of"), (F.sum("_rn").over(Window.orderBy("_region")) - F.col("_rn")).alias("_region_start")
     )
     in_region = Window.partitionBy("_region").orderBy("_block")
     before_block = (
         counts.withColumn("_block_start", F.sum("_n").over(in_region) - F.col("_n"))
-        .join(before_region, "_region")
+        .join(before_region, F.col("_region").eqNullSafe(F.col("_of")))
         .select("_block", (F.col("_region_start") + F.col("_block_start")).alias("_start"))
     )
     in_block = Window.partitionBy("_block").orderBy(key)
