@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -37,15 +38,24 @@ def build_session(app_name: str = "logloom", master: str | None = None, **conf:
 def staging_dir(spark: SparkSession) -> str:
     """The shared folder for staged tables: ``spark.checkpoint.dir`` of the session.
 
-    Only when no folder is named (single-machine tests) is a temporary one used.
+    Only on one machine (``local`` master, as in tests) does a temporary folder stand in
+    for it: on a cluster each executor would write to its own disk.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master {master})")
         configured = tempfile.mkdtemp(prefix="logloom-stage-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
 
 
+def staging_path(spark: SparkSession, name: str) -> str:
+    """A new folder for one staged table."""
+    return f"{staging_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a parquet table in the shared folder and read it back.
 
@@ -54,7 +64,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     true size of the table.
     """
     spark = df.sparkSession
-    path = f"{staging_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = staging_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
