@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logloom.llm import chat_format, line_dedup, packing, token_count
+from logloom.llm import chat_format, line_dedup, packing, quality_compression, quality_rules, token_count
 from logloom.session import local_table
 
 
@@ -13,11 +13,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    base = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged.select(*base)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.drop_shared_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = quality_compression.held_out()
+    model = quality_compression.fit(docs, table(spark, sf_dir, "labels"), usable=~held_out)
+    return quality_compression.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     extra = local_table(spark, [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
@@ -37,7 +51,8 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.with_limit(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op8_chat_format, op9_packing, op10_token_count)}
+QUERIES = {f.__name__: f for f in (
+    op1_quality_rules, op3_line_dedup, op4_quality_classifier, op8_chat_format, op9_packing, op10_token_count)}
 
 SQL: dict[str, str] = {}
 
