@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logloom.llm import chat_format, line_dedup, packing, quality_compression, quality_rules, token_count
+from logloom.llm import chat_format, line_dedup, packing, pii, quality_compression, quality_rules, token_count
 from logloom.session import local_table
 
 
@@ -19,6 +19,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(*base)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("pii_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("pii_spans", lambda s: s["kind"] != "term")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("pii_spans")).alias("spans"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.drop_shared_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -52,7 +60,7 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op3_line_dedup, op4_quality_classifier, op8_chat_format, op9_packing, op10_token_count)}
+    op1_quality_rules, op2_pii, op3_line_dedup, op4_quality_classifier, op8_chat_format, op9_packing, op10_token_count)}
 
 SQL: dict[str, str] = {}
 
