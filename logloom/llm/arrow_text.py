@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: Text handled at once inside a task; a longer text is handled alone and whole.
 SLICE_BYTES = 4 << 20
 
-TextsToColumns = Callable[[pa.Array], list[pa.Array]]
-
 
 def quoted(name: str) -> Column:
     """A column by its exact name, dots and back quotes included."""
@@ -95,47 +94,60 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.concatenate([[0], total[:-1]]) if len(starts) else starts, lengths) + np.arange(total[-1] if len(total) else 0)
 
 
-def to_list(values: pa.Array, before: np.ndarray) -> pa.Array:
-    """A list column from flat values."""
-    return pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), values)
+def joined_words(words: pa.Array, before: np.ndarray) -> pa.Array:
+    """The words of each row, joined by one space."""
+    lists = pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), words.cast(pa.string()))
+    return pc.binary_join(lists, " ")
+
+
+def _prepared(df: DataFrame, fields: list[T.StructField], text: str, keep: list[str] | None, extra: list[str]) -> tuple[DataFrame, list[T.StructField]]:
+    """The columns a function over texts needs: those that pass through, the extra ones, the text last."""
+    new = {f.name.lower() for f in fields}
+    kept = [f for f in df.schema.fields if f.name.lower() not in new and f.name not in extra and (keep is None or f.name in keep)]
+    names = [f.name for f in kept] + [f.name for f in fields]
+    inputs = []
+    for name in [*extra, text]:
+        inputs.append(free_name("given", [*names, *inputs]))
+    columns = [quoted(c).alias(n) for c, n in zip(extra, inputs)] + [quoted(text).cast("string").alias(inputs[-1])]
+    return df.select(*[quoted(f.name) for f in kept], *columns), kept
 
 
-def map_texts(df: DataFrame, setup: Callable[[], TextsToColumns], fields: list[T.StructField], *, text: str = "text",
-              keep: list[str] | None = None, most: int = SLICE_BYTES) -> DataFrame:
+def map_texts(df: DataFrame, setup: Callable[[], Callable[..., list[pa.Array]]], fields: list[T.StructField], *, text: str = "text",
+              keep: list[str] | None = None, extra: Sequence[str] = (), most: int = SLICE_BYTES) -> DataFrame:
     """Columns made from whole texts, in Arrow batches.
 
-    ``setup`` runs once a task and gives the function from texts to arrays, one array a
-    field. Other columns of ``df`` (or those of ``keep``) pass through; one that has the
-    name of a new field gives way to it.
+    ``setup`` runs once a task and gives the function from texts, and the columns named
+    by ``extra``, to arrays, one array a field. Other columns of ``df`` (or those of
+    ``keep``) pass through; one that has the name of a new field gives way to it.
     """
-    new = {f.name.lower() for f in fields}
-    kept = [f for f in df.schema.fields if f.name.lower() not in new and (keep is None or f.name in keep)]
-    names = [f.name for f in kept] + [f.name for f in fields]
-    source = df.select(*[quoted(f.name) for f in kept], quoted(text).cast("string").alias(free_name("whole_text", names)))
+    source, kept = _prepared(df, fields, text, keep, list(extra))
+    names, k = [f.name for f in kept] + [f.name for f in fields], len(kept)
 
     def run(batches):
         made = setup()
         for piece in slices(batches, most):
-            columns = made(as_texts(piece.column(piece.num_columns - 1)))
-            yield pa.RecordBatch.from_arrays([*piece.columns[:-1], *columns], names=names)
+            columns = made(as_texts(piece.column(piece.num_columns - 1)), *piece.columns[k:-1])
+            yield pa.RecordBatch.from_arrays([*piece.columns[:k], *columns], names=names)
 
     return source.mapInArrow(run, T.StructType(kept + fields))
 
 
-def explode_texts(df: DataFrame, setup: Callable[[], Callable[[pa.Array], tuple[np.ndarray, list[pa.Array]]]],
-                  fields: list[T.StructField], *, text: str = "text", keep: list[str] | None = None,
-                  most: int = SLICE_BYTES) -> DataFrame:
+def explode_texts(df: DataFrame, setup: Callable[[], Callable[..., tuple[np.ndarray, list[pa.Array]]]], fields: list[T.StructField], *,
+                  text: str = "text", keep: list[str] | None = None, extra: Sequence[str] = (), most: int = SLICE_BYTES) -> DataFrame:
     """As ``map_texts``, with any number of rows for a text: the function also gives the row of each made row."""
-    new = {f.name.lower() for f in fields}
-    kept = [f for f in df.schema.fields if f.name.lower() not in new and (keep is None or f.name in keep)]
-    names = [f.name for f in kept] + [f.name for f in fields]
-    source = df.select(*[quoted(f.name) for f in kept], quoted(text).cast("string").alias(free_name("whole_text", names)))
+    source, kept = _prepared(df, fields, text, keep, list(extra))
+    names, k = [f.name for f in kept] + [f.name for f in fields], len(kept)
 
     def run(batches):
         made = setup()
         for piece in slices(batches, most):
-            rows, columns = made(as_texts(piece.column(piece.num_columns - 1)))
+            rows, columns = made(as_texts(piece.column(piece.num_columns - 1)), *piece.columns[k:-1])
             rows = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[c.take(rows) for c in piece.columns[:-1]], *columns], names=names)
+            yield pa.RecordBatch.from_arrays([*[c.take(rows) for c in piece.columns[:k]], *columns], names=names)
 
     return source.mapInArrow(run, T.StructType(kept + fields))
+
+
+def text_key(text: Column, names: tuple[str, str] = ("k1", "k2")) -> list[Column]:
+    """128 bits of a text, as two columns."""
+    return [F.xxhash64(text).alias(names[0]), F.xxhash64(F.lit("again"), text).alias(names[1])]

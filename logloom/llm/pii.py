@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from logloom.llm.arrow_text import distinct_words, explode_texts, free_name, map_texts, quoted, split_words
+from logloom.llm.arrow_text import distinct_words, explode_texts, free_name, map_texts, quoted, split_words, text_key
 from logloom.session import stage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -116,11 +116,6 @@ def _covered(words: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list
     return out
 
 
-def text_key(text: Column) -> list[Column]:
-    """128 bits of a text, as two columns."""
-    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("again"), text).alias("k2")]
-
-
 def term_documents(docs: DataFrame, text: str) -> DataFrame:
     """``term, n``: how many documents hold each term, summed inside slices before any shuffle."""
 
@@ -216,18 +211,13 @@ def find(docs: DataFrame, *, text: str = "text", threshold: float = 0.8, support
     a, b = text_key(quoted(text))
     keyed = docs.where(held).withColumns({k1: a, k2: b}).join(
         reveals.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("terms").alias(terms)), [k1, k2], "left")
-    # The terms travel with the text, so one function sees both.
-    both = free_name("text_and_terms", [*docs.columns, k1, k2, terms, "pii_spans"])
-    separator = "\u0000"
-
     def spans():
-        def of(texts):
+        def of(texts, revealing):
             out = []
-            for packed in texts.to_pylist():
-                wanted, _, t = packed.partition(separator)
+            for t, wanted in zip(texts.to_pylist(), revealing.to_pylist()):
                 spans = base_spans(t)
                 if wanted:
-                    wanted = set(map(int, wanted.split(",")))
+                    wanted = set(wanted)
                     words = [m.span() for m in _WORD.finditer(t)]
                     covered = _covered(words, sorted((a, b) for _, a, b in spans))
                     for (a, b), base in zip(words, covered):
@@ -240,9 +230,7 @@ def find(docs: DataFrame, *, text: str = "text", threshold: float = 0.8, support
 
         return of
 
-    packed = keyed.withColumn(both, F.concat(F.array_join(F.coalesce(F.col(terms).cast("array<string>"), F.array()), ","), F.lit(separator), quoted(text)))
-    packed = packed.drop(k1, k2, terms)
-    found = map_texts(packed, spans, [T.StructField("pii_spans", SPANS)], text=both, keep=docs.columns)
+    found = map_texts(keyed, spans, [T.StructField("pii_spans", SPANS)], text=text, keep=docs.columns, extra=[terms])
     return found.unionByName(docs.where(~held).withColumn("pii_spans", F.array().cast(SPANS)))
 
 
