@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logloom.llm import chat_format, line_dedup, packing, pii, quality_compression, quality_rules, substring_dedup, token_count
+from logloom.llm import chat_format, line_dedup, near_duplicates, packing, pii, quality_compression, quality_rules, substring_dedup, token_count
 from logloom.session import local_table
 
 
@@ -45,6 +45,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.drop_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates.classes(docs).select("doc_id", "class_id", "n_links")
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     extra = local_table(spark, [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
@@ -65,7 +70,7 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op2_pii, op3_line_dedup, op4_quality_classifier, op5_substring_dedup, op8_chat_format, op9_packing, op10_token_count)}
+    op1_quality_rules, op2_pii, op3_line_dedup, op4_quality_classifier, op5_substring_dedup, op6_ngram_jaccard, op8_chat_format, op9_packing, op10_token_count)}
 
 SQL: dict[str, str] = {}
 
