@@ -16,10 +16,12 @@ import functools
 import heapq
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from logloom.llm.arrow_text import distinct_words, explode_texts, free_name, quoted, ragged, split_words
@@ -31,6 +33,14 @@ PIECE_FIELDS = [
 ]
 
 
+#: Parts whose ids a worker remembers, and the longest such part in characters.
+REMEMBERED, SHORT = 600_000, 24
+#: Text whose distinct parts are encoded together.
+ENCODE_BYTES = 8 << 20
+#: How every special string of the vocabularies begins.
+SPECIAL = "<|"
+
+
 @functools.lru_cache(maxsize=2)
 def library(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,17 +49,36 @@ def library(path: str):
     return Tokenizer.from_file(path)
 
 
+@functools.lru_cache(maxsize=2)
+def word_ids(path: str):
+    """Ids of words as bytes; one table a worker process, of the first short words that it meets."""
+    encode, known = library(path).encode_batch, {}
+
+    def of(words: list[str]) -> list[bytes]:
+        new = [w for w in words if w not in known]
+        made = {w: array("I", e.ids).tobytes() for w, e in zip(new, encode(new, add_special_tokens=False))}
+        found = [known[w] if w in known else made[w] for w in words]
+        if len(known) < REMEMBERED:
+            known.update((w, ids) for w, ids in made.items() if len(w) <= SHORT)
+        return found
+
+    return of
+
+
 def text_ids(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another, each text closed by ``end_id``, and ids before each text.
 
-    The splitters of these vocabularies never span white space, so the ids of a text are
-    those of its words; each distinct word of the slice is encoded once.
+    This vocabulary's splitter never spans white space, nor a border of ASCII letters and
+    punctuation, and its normaliser lowers case, so the ids of a text are those of its
+    parts; each distinct part of the slice is encoded once. Where special strings may
+    stand, only white space cuts.
     """
-    words, before = split_words(texts)
+    special = bool(pc.any(pc.match_substring(texts, SPECIAL)).as_py())
+    words, before = split_words(texts, finer=not special)
     distinct, codes = distinct_words(words)
-    coded = [e.ids for e in library(path).encode_batch(distinct, add_special_tokens=False)]
-    lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-    flat = np.fromiter((i for ids in coded for i in ids), np.uint32, int(lengths.sum()))
+    coded = word_ids(path)(distinct)
+    lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+    flat = np.frombuffer(b"".join(coded), np.uint32)
     starts = np.cumsum(lengths) - lengths
     per_word = lengths[codes] if len(codes) else np.zeros(0, np.int64)
     ids = flat[ragged(starts[codes], per_word)] if len(codes) else flat
@@ -82,7 +111,7 @@ def cut(docs: DataFrame, vocabulary: str, *, text: str, capacity: int, max_piece
         return pieces
 
     taken = {f.name for f in PIECE_FIELDS}
-    return explode_texts(docs, setup, PIECE_FIELDS, text=text, keep=[c for c in docs.columns if c != text and c not in taken])
+    return explode_texts(docs, setup, PIECE_FIELDS, text=text, keep=[c for c in docs.columns if c != text and c not in taken], most=ENCODE_BYTES)
 
 
 def difference(sizes: list[int], windows: int) -> list[list[int]]:

@@ -106,3 +106,13 @@ def test_loss_is_the_assistant_s_text(spark):
     assert (back[-7].loss_text, back[-7].turns_text) == (said, f"user\n{said}\nassistant\n{said}\n")
     assert back[1].loss_text == " leadé😀漢 <|close|>\n" and back[1].n_turns == 3 and back[1].turns_text.startswith("\n\nassistant\n lead")
     assert back[2].loss_text == "" and back[3].loss_text == "long " * 40000 and back[None].n_turns == 1
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from("abcdeéIİ '’srtvml<|>endoftext \n.,!*0̸́"), st.characters(exclude_categories=["Cs"])), max_size=60), max_size=4))
+def test_ids_are_the_library_s(texts):
+    import pyarrow as pa
+
+    ids, before = packing.text_ids(pa.array(texts, pa.large_string()), PATH, 2)
+    for i, text in enumerate(texts):
+        assert ids[before[i]:before[i + 1]].tolist() == LIBRARY.encode(text, add_special_tokens=False).ids + [2]
