@@ -5,23 +5,45 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import line_dedup, packing
+from logloom.llm import contamination, line_dedup, near_duplicates, packing, quality_compression
 from logloom.session import stage
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier, learned from the labels, gives a score of at least 0.7."""
+    model = quality_compression.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), usable=~quality_compression.held_out())
+    return quality_compression.score(docs, model).where("score >= 0.7").select(*docs.columns)
+
+
 def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop lines that at least 10 documents share."""
-    return line_dedup.drop_shared_lines(docs).select(*docs.columns)
+    """All documents, without the lines that at least 10 of them share. n_chars follows the text."""
+    return with_length(line_dedup.drop_shared_lines(docs).select(*docs.columns))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every class of near copies."""
+    return near_duplicates.keep_one(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    found = contamination.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into windows of 4096 tokens."""
+    """What is left, packed into windows of 4096 tokens: a row a piece, as op9_packing gives them."""
     return packing.pack(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("shared_lines", shared_lines), ("windows", windows)]
+def with_length(docs: DataFrame) -> DataFrame:
+    """n_chars, where the table has it, as the length of the text."""
+    return docs.selectExpr(*["CAST(length(text) AS BIGINT) AS n_chars" if c == "n_chars" else f"`{c}`" for c in docs.columns]) if "n_chars" in docs.columns else docs
+
+
+STAGES = [("quality", quality), ("shared_lines", shared_lines), ("near_copies", near_copies), ("benchmark", benchmark), ("windows", windows)]
 
-#: The stages before the last learn, so SQL can't say the same.
+#: The first stage learns and the third and fourth search, so SQL can't say the same.
 ORACLE_SQL = None
 
 

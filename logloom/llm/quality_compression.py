@@ -97,6 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", usable: Colum
     """
     marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     marks = (marks if usable is None else marks.where(usable)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    counts = {r["quality"]: r["count"] for r in marks.groupBy("quality").count().collect()}
     chosen = [r for q in (0, 1) for r in marks.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label).collect()]
     if len({r["quality"] for r in chosen}) < 2:
         share = sum(r["quality"] for r in chosen) / len(chosen) if chosen else 0.5
@@ -137,7 +138,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", usable: Colum
     gain = raw * (n + NEUTRAL)
     neutral = float(np.median((gain / np.maximum(n, 1))[y == 1])) if (y == 1).any() else 0.0
     slope, base = logistic((gain + NEUTRAL * neutral) / (n + NEUTRAL), y)
-    return Model(*dictionaries, neutral, max(slope, 0.0), base)
+    # The sample takes both labels alike; the score is about labels as they occur.
+    drawn = math.log(max(y.sum(), 1) / max((1 - y).sum(), 1))
+    return Model(*dictionaries, neutral, max(slope, 0.0), base - drawn + math.log(counts[1] / counts[0]))
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", name: str = "score") -> DataFrame:

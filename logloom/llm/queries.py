@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logloom.llm import chat_format, line_dedup, near_duplicates, packing, pii, quality_compression, quality_rules, substring_dedup, token_count
+from logloom.llm import chat_format, contamination, line_dedup, near_duplicates, packing, pii, quality_compression, quality_rules, substring_dedup, token_count
 from logloom.session import local_table
 
 
@@ -50,6 +50,11 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classes(docs).select("doc_id", "class_id", "n_links")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "first_word", "last_word", F.round("common", 6).alias("common"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     extra = local_table(spark, [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
@@ -70,7 +75,7 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op2_pii, op3_line_dedup, op4_quality_classifier, op5_substring_dedup, op6_ngram_jaccard, op8_chat_format, op9_packing, op10_token_count)}
+    op1_quality_rules, op2_pii, op3_line_dedup, op4_quality_classifier, op5_substring_dedup, op6_ngram_jaccard, op7_decontamination, op8_chat_format, op9_packing, op10_token_count)}
 
 SQL: dict[str, str] = {}
 
