@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logloom.llm import contamination, line_dedup, near_duplicates, packing, quality_compression
+from logloom.llm.arrow_text import free_name, text_key
 from logloom.session import stage
 
 
@@ -27,8 +28,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
-    found = contamination.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    # By text, so that a document needs no id of its own.
+    names = tuple(free_name(n, docs.columns) for n in ("text_key", "text_key_again"))
+    keyed = docs.select("*", *text_key(F.coalesce("text", F.lit("")), names))
+    found = contamination.leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=names)
+    return keyed.join(found.select(*names).distinct(), list(names), "left_anti").select(*docs.columns)
 
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

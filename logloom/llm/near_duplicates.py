@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from logloom.llm.arrow_text import explode_texts, map_texts, quoted, ragged, split_words, text_key, word_hashes
+from logloom.llm.arrow_text import free_name, map_texts, quoted, ragged, split_words, text_key, word_hashes
 from logloom.llm.components import components
 from logloom.session import stage
 
@@ -97,8 +97,9 @@ def _members(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
         return of
 
     fields = [T.StructField("set_id", T.LongType()), T.StructField("signature", T.BinaryType()), T.StructField("n_shingles", T.LongType())]
-    keyed = docs.select(*map(quoted, keep), quoted(text).cast("string").alias("text"), *text_key(F.coalesce(quoted(text).cast("string"), F.lit(""))))
-    return map_texts(keyed, setup, fields, keep=[*keep, "k1", "k2"])
+    whole = free_name("whole_text", keep)
+    keyed = docs.select(*map(quoted, keep), quoted(text).cast("string").alias(whole), *text_key(F.coalesce(quoted(text).cast("string"), F.lit(""))))
+    return map_texts(keyed, setup, fields, text=whole, keep=[*keep, "k1", "k2"])
 
 
 def _tree_nodes(sets: DataFrame, k: int) -> DataFrame:
