@@ -13,6 +13,8 @@ from dataclasses import dataclass, replace
 import pandas as pd
 from pyspark.sql import Column, SparkSession, functions as F, types as T
 
+from logloom.functions.text import SPACE_MEMBERS
+
 NAMED_GROUP = r"\(\?P<[^>]+>"
 
 
@@ -51,22 +53,42 @@ class Pattern:
         return required_text(self.regex)
 
 
-def to_java(regex: str) -> str:
-    """Java spelling of a valid Python pattern.
+# Members of Python's classes, as both engines understand them: of texts, and under the flag ``a``.
+_MEMBERS = {"w": r"\p{L}\p{N}_", "s": SPACE_MEMBERS, "d": r"\p{Nd}"}
+_ASCII_MEMBERS = {"w": "A-Za-z0-9_", "s": r" \t\n\x0b\f\r", "d": "0-9"}
+
 
-    ``d`` keeps ``.`` and ``$`` to plain newlines, ``U`` makes the classes Unicode
-    aware; both are Python's defaults.
+def to_java(regex: str) -> str | None:
+    """Java spelling of a valid Python pattern, None where there is none.
+
+    ``d`` keeps ``.`` and ``$`` to plain newlines as in Python. The engines differ in what
+    ``\\w``, ``\\s``, ``\\d`` and ``\\b`` mean, so those are spelled out.
     """
     numbers = {name: index for name, index in re.compile(regex).groupindex.items()}
-    flags, out, i, in_class = "dU", [], 0, False
+    flags, out, i, in_class, members, negated = "d", [], 0, False, _MEMBERS, False
     lead = re.match(r"\(\?([aiLmsux]+)\)", regex)
     if lead:
         wanted = lead.group(1)
-        flags = ("d" if "a" in wanted else "dU") + "".join(c for c in wanted if c in "imsx")
+        members = _ASCII_MEMBERS if "a" in wanted else _MEMBERS
+        flags += "".join(c for c in wanted if c in "imsx") + ("u" if "i" in wanted and "a" not in wanted else "")
         i = lead.end()
     while i < len(regex):
         c, rest = regex[i], regex[i:]
-        if c == "\\":
+        if c == "\\" and rest[1:2].lower() in ("w", "s", "d"):
+            step, kind = 2, rest[1]
+            if not in_class:
+                text = f"[{'^' * kind.isupper()}{members[kind.lower()]}]"
+            elif kind.islower():
+                text = members[kind]
+            elif negated:
+                return None
+            else:
+                text = f"[^{members[kind.lower()]}]"
+        elif c == "\\" and rest[1:2] in ("b", "B") and not in_class:
+            w = f"[{members['w']}]"
+            step = 2
+            text = f"(?:(?<={w})(?!{w})|(?<!{w})(?={w}))" if rest[1] == "b" else f"(?:(?<={w})(?={w})|(?<!{w})(?!{w})(?!\\A\\z))"
+        elif c == "\\":
             step, text = _escape(rest, in_class)
         elif in_class:
             # Java reads a second '[' or '&&' inside a class as class algebra.
@@ -74,7 +96,7 @@ def to_java(regex: str) -> str:
             in_class = c != "]"
         elif c == "[":
             head = re.match(r"\[\^?\]?", rest).group(0)
-            step, text, in_class = len(head), head.replace("]", r"\]"), True
+            step, text, in_class, negated = len(head), head.replace("]", r"\]"), True, head.startswith("[^")
         elif named := re.match(r"\(\?P<(\w+)>", rest):
             step, text = named.end(), "("
         elif back := re.match(r"\(\?P=(\w+)\)", rest):
@@ -142,8 +164,8 @@ def jvm_accepts(spark: SparkSession, java: list[str]) -> list[bool]:
     """Which patterns the JVM can compile: one probe for many, halving on failure."""
     if not java:
         return []
-    if len(java) > JVM_PATTERNS:
-        return jvm_accepts(spark, java[:JVM_PATTERNS]) + jvm_accepts(spark, java[JVM_PATTERNS:])
+    if len(java) > PROBED:
+        return [ok for at in range(0, len(java), PROBED) for ok in jvm_accepts(spark, java[at:at + PROBED])]
     try:
         spark.range(1).select(*[F.rlike(F.lit(""), F.lit(j)).alias(f"p{i}") for i, j in enumerate(java)]).collect()
         return [True] * len(java)
@@ -155,14 +177,17 @@ def jvm_accepts(spark: SparkSession, java: list[str]) -> list[bool]:
 
 
 # A repeated group makes the JVM's engine recurse once per repetition: on a long message
-# that can exhaust the stack, so such patterns are left to Python.
-_REPEATED_GROUP = re.compile(r"(?<!\\)(?:\\\\)*\)(?:[*+]|\{\d*,\d*\})")
+# that can exhaust the stack, so such patterns are left to Python, unless the count is
+# bounded by two digits.
+_REPEATED_GROUP = re.compile(r"(?<!\\)(?:\\\\)*\)(?:[*+]|\{\d*,\}|\{\d*,?\d{3,}\})")
 
 
 def java_spellings(spark: SparkSession, regexes: list[str]) -> list[str | None]:
     """Java spelling of valid Python patterns, None for those only Python should run."""
     safe = [not _REPEATED_GROUP.search(r) for r in regexes]
-    javas = [to_java(r) for r, ok in zip(regexes, safe) if ok]
+    spelled = [to_java(r) if ok else None for r, ok in zip(regexes, safe)]
+    safe = [j is not None for j in spelled]
+    javas = [j for j in spelled if j is not None]
     accepted = iter([j if ok else None for j, ok in zip(javas, jvm_accepts(spark, javas))])
     return [next(accepted) if ok else None for ok in safe]
 
@@ -198,8 +223,8 @@ def python_group(regex: str, index: int):
     return group
 
 
-# So many patterns become literals of one expression; the others are run by Python.
-JVM_PATTERNS = 256
+# Patterns that one probe asks the JVM about.
+PROBED = 256
 
 
 def load_patterns(spark: SparkSession, rows: list) -> list[Pattern]:
@@ -216,5 +241,21 @@ def load_patterns(spark: SparkSession, rows: list) -> list[Pattern]:
         groups = tuple(sorted(compiled.groupindex.items(), key=lambda item: item[1]))
         found.append(Pattern(row["pattern_id"], row["regex"], get("label"), get("severity"),
                              get("component"), None, groups))
-    javas = java_spellings(spark, [p.regex for p in found[:JVM_PATTERNS]])
-    return [replace(p, java=java) for p, java in zip(found, javas)] + found[JVM_PATTERNS:]
+    javas = java_spellings(spark, [p.regex for p in found])
+    return [replace(p, java=java) for p, java in zip(found, javas)]
+
+
+# Branches of one CASE; longer lists are several, so that no expression grows deep or wide.
+BRANCHES = 64
+
+
+def first_of(branches: list[tuple[Column, Column]], otherwise: Column) -> Column:
+    """The value of the first branch whose test holds; a value that is NULL counts as none."""
+    cases = []
+    for at in range(0, len(branches), BRANCHES):
+        (test, value), *more = branches[at:at + BRANCHES]
+        case = F.when(test, value)
+        for test, value in more:
+            case = case.when(test, value)
+        cases.append(case)
+    return F.coalesce(*cases, otherwise)

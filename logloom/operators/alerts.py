@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logloom.functions.text import wall_time
+from logloom.operators.changes import first_per_key
 from logloom.operators.numbering import number_rows
 from logloom.schemas import ALERT_CHANNEL, ALERTS
 
@@ -87,8 +88,11 @@ def alert_payload() -> Column:
 
 
 def merge_deliveries(alerts: DataFrame, deliveries: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """Apply delivery results (log_id, ok, text, error) to the pending alerts of those logs."""
-    result = deliveries.select("log_id", "ok", F.col("text").alias("_text"), F.col("error").alias("_error"))
+    """Apply delivery results (log_id, ok, text, error) to the pending alerts of those logs.
+
+    A log's first result (by ``seq`` where there is one) settles all alerts of it that wait.
+    """
+    result = first_per_key(deliveries, "log_id").select("log_id", "ok", F.col("text").alias("_text"), F.col("error").alias("_error"))
     hit = (F.col("status") == "pending") & F.col("ok").isNotNull()
     sent = hit & F.col("ok")
     return (

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from logloom.functions.text import wall_time
 from logloom.functions.regexes import has_named_groups, is_valid_regex
 from logloom.functions.templates import template_of
+from logloom.operators.changes import last_per_key
 from logloom.operators.joins import max_id
 from logloom.operators.numbering import number_rows
 from logloom.schemas import CATALOG, LABELS
@@ -35,7 +36,8 @@ def add_patterns(
     """
     now = wall_time(as_of)
     reason = (
-        F.when(F.col("regex").isNull() | ~F.coalesce(is_valid_regex("regex"), F.lit(False)), F.lit("invalid regex"))
+        F.when(F.col("seq").isNull(), F.lit("seq is required"))
+        .when(F.col("regex").isNull() | ~F.coalesce(is_valid_regex("regex"), F.lit(False)), F.lit("invalid regex"))
         .when(~F.coalesce(F.col("label").isin(*LABELS), F.lit(False)), F.lit("invalid label"))
     )
     checked = new.withColumn("reject_reason", reason)
@@ -45,8 +47,8 @@ def add_patterns(
         F.min("seq").alias("first_seq"), F.count("*").alias("requests"),
         F.min_by(fields, "seq").alias("first"), F.max_by(fields, "seq").alias("last"),
     )
-    entries = catalog.select(F.coalesce("regex_rule", "manual_regex_rule").alias("regex"),
-                             F.col("pattern_id").alias("existing_id"))
+    # A text may stand in several rows; the lowest id has it.
+    entries = catalog.groupBy(F.coalesce("regex_rule", "manual_regex_rule").alias("regex")).agg(F.min("pattern_id").alias("existing_id"))
     looked_up = keyed.join(entries, "regex", "left")
     created = number_rows(looked_up.where("existing_id is null"), "first_seq",
                           max_id(catalog, "pattern_id"), "pattern_id")
@@ -87,9 +89,11 @@ def patterns_from_logs(
     """Learn the template of given logs and map those logs to it.
 
     ``requests``: log_id, label, severity, note. The template usually is in the
-    catalog already and keeps its label; the log takes the requested one. Returns
-    (catalog, logs, requests that name no log).
+    catalog already and keeps its label; the log takes the requested one, the last
+    where it is named twice. Returns (catalog, logs, requests that name no log).
     """
+    missing = requests.join(logs.select("log_id"), "log_id", "left_anti")
+    requests = last_per_key(requests, "log_id")
     subject = requests.join(logs.select("log_id", "message", F.col("component")), "log_id")
     new = subject.select(
         F.col("log_id").alias("seq"), template_of(F.col("message")).alias("regex"),
@@ -98,7 +102,6 @@ def patterns_from_logs(
     mapped = added.assigned.withColumnRenamed("seq", "log_id").join(
         requests.select("log_id", F.col("label").alias("_label"), F.col("severity").alias("_severity")), "log_id"
     ).withColumnRenamed("pattern_id", "_pattern")
-    missing = requests.join(logs.select("log_id"), "log_id", "left_anti")
     return added.catalog, _mapped(logs, mapped, as_of), missing
 
 
@@ -118,10 +121,11 @@ def _mapped(logs: DataFrame, mapped: DataFrame, as_of: dt.datetime) -> DataFrame
 def map_logs(
     logs: DataFrame, catalog: DataFrame, mapping: DataFrame, as_of: dt.datetime
 ) -> tuple[DataFrame, DataFrame]:
-    """Map logs to patterns by hand (log_id, pattern_id). Returns (logs, refused mappings)."""
+    """Map logs to patterns by hand (log_id, pattern_id), the last accepted mapping of a log counts. Returns (logs, refused mappings)."""
     labels = catalog.select(F.col("pattern_id").alias("_pattern"), F.col("label").alias("_label"),
                             F.col("severity").alias("_severity"))
-    wanted = mapping.select("log_id", F.col("pattern_id").alias("_pattern")).join(labels, "_pattern", "left")
+    order = ["seq"] if "seq" in mapping.columns else []
+    wanted = mapping.select("log_id", *order, F.col("pattern_id").alias("_pattern")).join(labels, "_pattern", "left")
     logged = logs.select("log_id", F.lit(True).alias("_logged"))
     refused = (
         wanted.join(logged, "log_id", "left")
@@ -130,7 +134,7 @@ def map_logs(
         .where("reject_reason is not null")
         .select("log_id", F.col("_pattern").alias("pattern_id"), "reject_reason")
     )
-    return _mapped(logs, wanted.where("_label is not null"), as_of), refused
+    return _mapped(logs, last_per_key(wanted.where("_label is not null"), "log_id").drop("seq"), as_of), refused
 
 
 def relabel(
@@ -139,12 +143,12 @@ def relabel(
     """Relabel patterns (pattern_id, label, severity, note) and all their logs.
 
     A pattern keeps its severity or note where none is given; its logs then get a
-    NULL severity. Labels outside the domain change nothing and come back as
-    rejected. Returns (catalog, logs, rejected).
+    NULL severity. A pattern's last change counts. Labels outside the domain change
+    nothing and come back as rejected. Returns (catalog, logs, rejected).
     """
     now = wall_time(as_of)
     fine = F.coalesce(F.col("label").isin(*LABELS), F.lit(False))
-    good = changes.where(fine).select(
+    good = last_per_key(changes.where(fine), "pattern_id").select(
         "pattern_id", F.col("label").alias("_label"), F.nullif(F.col("severity"), F.lit("")).alias("_given"),
         F.col("severity").alias("_severity"), F.nullif(F.col("note"), F.lit("")).alias("_note"))
     hit = F.col("_label").isNotNull()
@@ -163,8 +167,8 @@ def relabel(
 
 
 def edit_logs(logs: DataFrame, edits: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """Set classification and severity of single logs (log_id, classification, severity)."""
-    new = edits.select("log_id", F.col("classification").alias("_class"), F.col("severity").alias("_severity"))
+    """Set classification and severity of single logs (log_id, classification, severity); a log's last edit counts."""
+    new = last_per_key(edits, "log_id").select("log_id", F.col("classification").alias("_class"), F.col("severity").alias("_severity"))
     hit = F.col("_class").isNotNull()
     return logs.join(new, "log_id", "left").withColumns({
         "classification": F.coalesce("_class", "classification"),

@@ -7,10 +7,8 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logloom.functions.regexes import JVM_PATTERNS, Pattern, load_patterns
-
-CHAIN_LIMIT = JVM_PATTERNS
-MAX_PATTERNS = 100_000
+from logloom.functions.regexes import Pattern, first_of, load_patterns
+from logloom.operators.changes import last_per_key
 
 
 def manual_patterns(catalog: DataFrame) -> list[Pattern]:
@@ -18,10 +16,8 @@ def manual_patterns(catalog: DataFrame) -> list[Pattern]:
     rows = (
         catalog.where(F.col("manual_regex_rule").isNotNull())
         .select("pattern_id", F.col("manual_regex_rule").alias("regex"), "label", "severity", "component")
-        .limit(MAX_PATTERNS + 1).collect()
+        .collect()
     )
-    if len(rows) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} hand-written patterns")
     return load_patterns(catalog.sparkSession, rows)
 
 
@@ -36,20 +32,15 @@ def match_id(message: Column, patterns: list[Pattern], component: Column | None
     """Id of the matching pattern with the lowest id, NULL when none matches.
 
     With ``component``, a pattern that names a component applies to that one only.
-    Patterns are literals of one expression, so each is compiled once per task and
-    no row is multiplied. Patterns the JVM cannot run, and those beyond the length
-    at which a chain is still compiled well, are tested in Arrow batches.
+    Patterns are literals of an expression, so each is compiled once per task and no
+    row is multiplied, however many there are. Only patterns that have no spelling for
+    the JVM are tested in Arrow batches.
     """
-    runnable = [p for p in patterns if p.java is not None]
-    native, others = runnable[:CHAIN_LIMIT], runnable[CHAIN_LIMIT:]
-    others = sorted(others + [p for p in patterns if p.java is None], key=lambda p: p.pattern_id)
-    chain = F.lit(None).cast("bigint")
-    if native:
-        tests = [_in_scope(p, component) & found_in(message, p) if component is not None else found_in(message, p)
-                 for p in native]
-        chain = F.when(tests[0], F.lit(native[0].pattern_id).cast("bigint"))
-        for pattern, test in zip(native[1:], tests[1:]):
-            chain = chain.when(test, F.lit(pattern.pattern_id).cast("bigint"))
+    native = [p for p in patterns if p.java is not None]
+    others = [p for p in patterns if p.java is None]
+    chain = first_of([
+        (_in_scope(p, component) & found_in(message, p) if component is not None else found_in(message, p), F.lit(p.pattern_id).cast("bigint"))
+        for p in sorted(native, key=lambda p: p.pattern_id)], F.lit(None).cast("bigint"))
     if not others:
         return chain
     scope = F.lit(None).cast("string") if component is None else component
@@ -89,9 +80,7 @@ def match_by_component(logs: DataFrame, patterns: list[Pattern]) -> DataFrame:
     from logloom.operators.params import group_texts
 
     ids = F.col("matched_id")
-    severity = F.lit(None).cast("string")
-    for p in reversed([p for p in patterns if p.severity is not None]):
-        severity = F.when(ids == p.pattern_id, F.lit(p.severity)).otherwise(severity)
+    severity = first_of([(ids == p.pattern_id, F.lit(p.severity)) for p in patterns if p.severity is not None], F.lit(None).cast("string"))
     return (
         logs.withColumn("matched_id", match_id(F.col("message"), patterns, F.col("component")))
         .withColumn("matched_severity", severity)
@@ -100,8 +89,8 @@ def match_by_component(logs: DataFrame, patterns: list[Pattern]) -> DataFrame:
 
 
 def update_logs(logs: DataFrame, updates: DataFrame) -> DataFrame:
-    """Set known flag, classification and severity of logs; a NULL pattern keeps the old one."""
-    new = updates.select(
+    """Set known flag, classification and severity of logs; a NULL pattern keeps the old one, a log's last update counts."""
+    new = last_per_key(updates, "log_id").select(
         "log_id", F.col("pattern_id").alias("_pattern"), F.col("is_known").alias("_known"),
         F.col("classification").alias("_class"), F.col("severity").alias("_severity"),
         F.lit(True).alias("_hit"),

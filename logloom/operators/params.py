@@ -7,7 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logloom.functions.regexes import Pattern
+from logloom.functions.regexes import Pattern, first_of
 from logloom.functions.text import number_prefix
 
 _TEXTS = "map<string,string>"
@@ -22,14 +22,15 @@ def group_texts(message: Column, pattern_id: Column, patterns: list[Pattern]) ->
     named = [p for p in patterns if p.groups]
     native = [p for p in named if p.java is not None]
     others = [p for p in named if p.java is None]
-    texts = F.create_map().cast(_TEXTS)
-    for p in reversed(native):
+
+    def own(p: Pattern) -> Column:
         captured = F.array(*[
             F.struct(F.lit(name).alias("key"), F.regexp_extract(message, p.java, index).alias("value"))
             for name, index in p.groups
         ])
-        own = F.map_from_entries(F.filter(captured, lambda e: e["value"] != "")).cast(_TEXTS)
-        texts = F.when(pattern_id == p.pattern_id, own).otherwise(texts)
+        return F.map_from_entries(F.filter(captured, lambda e: e["value"] != "")).cast(_TEXTS)
+
+    texts = first_of([(pattern_id == p.pattern_id, own(p)) for p in native], F.create_map().cast(_TEXTS))
     if others:
         ids = [p.pattern_id for p in others]
         texts = F.when(pattern_id.isin(ids), _python_groups(others)(message, pattern_id)).otherwise(texts)

@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logloom.functions.regexes import compiles, java_spellings, python_search
+from logloom.functions.regexes import compiles, first_of, java_spellings, python_search
 from logloom.functions.text import float_text
-from logloom.operators.joins import fits_broadcast, max_id
-from logloom.operators.matching import MAX_PATTERNS
+from logloom.operators.joins import max_id
 from logloom.operators.numbering import number_rows
 from logloom.operators.params import pack_params
 from logloom.session import local_table
 from logloom.schemas import RULE_SEVERITIES, RULE_TYPES, RULES, THRESHOLD_OPS
 
-RULE_CHAIN_LIMIT = 256
 TOLERANCE = 1e-4
 _FIELDS = ("rule_id", "rule_type", "field_name", "op", "threshold1", "threshold2", "search_text",
            "severity_if_match", "is_abnormal_if_match", "message")
@@ -62,16 +60,6 @@ def rule_holds(rule, message: Column, params: Column) -> Column:
     )
 
 
-def _verdict(rule) -> Column:
-    """Severity, reason and classification of a rule that holds."""
-    fallback = F.concat(F.lit("Rule "), rule["rule_id"].cast("string"), F.lit(" matched"))
-    return F.struct(
-        rule["severity_if_match"].alias("severity"),
-        F.coalesce(F.nullif(rule["message"], F.lit("")), fallback).alias("reason"),
-        rule["is_abnormal_if_match"].alias("is_abnormal"),
-    )
-
-
 _RANK = {"info": 1, "warning": 2, "critical": 3}
 _VERDICT = "struct<severity:string,reason:string,is_abnormal:boolean>"
 
@@ -86,10 +74,7 @@ def active_rules(rules: DataFrame) -> tuple[DataFrame, list[int]]:
     A rule whose regex is invalid can never hold and is left out.
     """
     active = rules.where("is_active")
-    texts = (active.where("rule_type = 'regex' and search_text is not null").select("search_text").distinct()
-             .limit(MAX_PATTERNS + 1).collect())
-    if len(texts) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} regex rules")
+    texts = active.where("rule_type = 'regex' and search_text is not null").select("search_text").distinct().collect()
     regexes = [r[0] for r in texts if compiles(r[0])]
     spelled = list(zip(regexes, java_spellings(rules.sparkSession, regexes)))
     dialect = local_table(rules.sparkSession, spelled, "search_text string, _java string")
@@ -112,19 +97,13 @@ def judge(
     """Add ``verdict`` (severity, reason, is_abnormal): the winning rule of the row's pattern, else NULL.
 
     ``logs`` has pattern_id, message and the parameter map. Policy ``first`` takes
-    the lowest rule id, ``most_severe`` the highest severity. A short rule list
-    becomes one literal expression; a long one is joined as one array per pattern.
-    Either way no row is multiplied and nothing but the rule side moves.
+    the lowest rule id, ``most_severe`` the highest severity. Rules are written by hand
+    and become literals of an expression, guarded by their pattern: no row is
+    multiplied or moved, and each regex is compiled once per task.
     """
     usable, by_python = active_rules(rules)
-    fields = usable.select("pattern_id", *_FIELDS)
-    # Python tests cannot run inside an array expression, so with one of them all rules are chained.
-    listed = fields.collect() if by_python else fields.limit(RULE_CHAIN_LIMIT + 1).collect()
-    if by_python or len(listed) <= RULE_CHAIN_LIMIT:
-        verdict = _verdict_chain(listed, policy, params, set(by_python))
-        judged = logs.withColumn("verdict", verdict)
-    else:
-        judged = _verdict_join(logs, usable, policy, params)
+    listed = usable.select("pattern_id", *_FIELDS).collect()
+    judged = logs.withColumn("verdict", _verdict_chain(listed, policy, params, set(by_python)))
     if honor_is_abnormal:
         judged = judged.withColumn("verdict", F.when(F.col("verdict.is_abnormal"), F.col("verdict")))
     return judged
@@ -154,38 +133,20 @@ def _verdict_chain(listed, policy: str, params: str, by_python: set[int]) -> Col
     by_pattern: dict[int, list] = {}
     for row in sorted(listed, key=lambda r: r["rule_id"]):
         by_pattern.setdefault(row["pattern_id"], []).append(row)
-    chain = F.lit(None).cast(_VERDICT)
+    branches = []
     for pattern_id, rows in by_pattern.items():
         if policy == "most_severe":
             rows = sorted(rows, key=lambda r: -_severity_rank(r["severity_if_match"]))
-        own = None
+        own = []
         for row in rows:
             holds = literal_rule_holds(row, F.col("message"), F.col(params), row["rule_id"] in by_python)
             verdict = F.struct(
                 F.lit(row["severity_if_match"]).alias("severity"),
                 F.lit(row["message"] or f"Rule {row['rule_id']} matched").alias("reason"),
                 F.lit(row["is_abnormal_if_match"]).alias("is_abnormal"))
-            own = F.when(holds, verdict) if own is None else own.when(holds, verdict)
-        chain = F.when(F.col("pattern_id") == pattern_id, own).otherwise(chain)
-    return chain
-
-
-def _verdict_join(logs: DataFrame, usable: DataFrame, policy: str, params: str) -> DataFrame:
-    rank = F.when(F.col("severity_if_match") == "critical", 3).when(
-        F.col("severity_if_match") == "warning", 2).when(F.col("severity_if_match") == "info", 1).otherwise(0)
-    order = -rank if policy == "most_severe" else F.lit(0)
-    packed = usable.groupBy("pattern_id").agg(
-        F.array_sort(F.collect_list(F.struct(order.alias("_order"), *_FIELDS))).alias("_rules")
-    )
-    if fits_broadcast(usable):
-        packed = F.broadcast(packed)
-    hits = F.filter("_rules", lambda r: rule_holds(r, F.col("message"), F.col(params)))
-    return (
-        logs.join(packed, "pattern_id", "left")
-        .withColumn("_hit", F.try_element_at(hits, F.lit(1)))
-        .withColumn("verdict", F.when(F.col("_hit").isNotNull(), _verdict(F.col("_hit")).cast(_VERDICT)))
-        .drop("_rules", "_hit")
-    )
+            own.append((holds, verdict.cast(_VERDICT)))
+        branches.append((F.col("pattern_id") == pattern_id, first_of(own, F.lit(None).cast(_VERDICT))))
+    return first_of(branches, F.lit(None).cast(_VERDICT))
 
 
 def apply_verdict(logs: DataFrame) -> DataFrame:
@@ -224,7 +185,8 @@ def checked_rules(new_rules: DataFrame, catalog: DataFrame) -> DataFrame:
         .otherwise(F.concat_ws(" ", F.col("field_name"), op, t1))
     )
     reason = (
-        F.when(F.col("_exists").isNull(), F.lit("pattern not found"))
+        F.when(F.col("seq").isNull(), F.lit("seq is required"))
+        .when(F.col("_exists").isNull(), F.lit("pattern not found"))
         .when(~F.coalesce(kind.isin(*RULE_TYPES), F.lit(False)), F.lit("unknown rule type"))
         .when((kind == "threshold") & F.nullif(F.col("field_name"), F.lit("")).isNull(), F.lit("field_name is required"))
         .when((kind == "threshold") & ~F.coalesce(op.isin(*THRESHOLD_OPS), F.lit(False)), F.lit("op is required"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from logloom.functions.text import wall_time
 from logloom.functions.templates import template_of
+from logloom.operators.changes import last_per_key
 from logloom.operators.alerts import time_text, alert_rows
 from logloom.operators.catalog import add_patterns
 from logloom.operators.joins import max_id
@@ -77,8 +78,8 @@ def parse_verdict(response: Column, error: Column) -> Column:
 
 
 def score(subjects: DataFrame, answers: DataFrame) -> DataFrame:
-    """Attach answers (log_id, response, error) to candidates; a missing answer is a failed call."""
-    joined = subjects.join(answers, "log_id", "left")
+    """Attach answers (log_id, response, error) to candidates; a missing answer is a failed call, of several the last counts."""
+    joined = subjects.join(last_per_key(answers, "log_id"), "log_id", "left")
     lost = F.when(F.col("response").isNull() & F.col("error").isNull(), F.lit("no answer")).otherwise(F.col("error"))
     return joined.withColumn("error", lost).withColumn("prompt", prompt_text()).withColumn(
         "verdict", parse_verdict(F.col("response"), F.col("error")))

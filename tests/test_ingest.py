@@ -1,10 +1,14 @@
 import datetime as dt
 import random
+import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
+from logloom.functions.regexes import load_patterns
 from logloom.operators import joins
+from logloom.operators.matching import match_id
 from logloom.operators.reports import by_classification
 from logloom.plans.ingest import ingest_batch
 from logloom.plans.packs import bandwidth_pack
@@ -118,15 +122,30 @@ def test_large_template_table_is_joined_with_salt(spark, monkeypatch):
     assert logs_of(salted) == plain
 
 
-def test_many_hand_written_patterns_use_the_arrow_path(spark, monkeypatch):
+def test_more_patterns_change_no_answer(spark, monkeypatch):
     lines = random_lines(5, 200)
     args = dict(as_of=NOW, default_year=2025)
     rules = local_table(spark, RULE_ROWS, RULES)
     plain = logs_of(ingest_batch(lines_of(spark, lines), catalog_of(spark), rules, **args))
-    monkeypatch.setattr("logloom.operators.matching.CHAIN_LIMIT", 2)
+    monkeypatch.setattr("logloom.functions.regexes.java_spellings", lambda spark, regexes: [None] * len(regexes))
     assert logs_of(ingest_batch(lines_of(spark, lines), catalog_of(spark), rules, **args)) == plain
 
 
+def test_meaning_does_not_depend_on_the_number_of_patterns(spark):
+    """Texts on which the engines' own classes differ, with 2 and with 600 patterns, in either engine."""
+    texts = ["a\x1cb", "pre \u0915\u0947 post", "pre \u0915 post", "x\u00b2y", "na\u00efve cafe\u0301", "\u0663", "a_b", "tab\there", "\u00a0"]
+    regexes = [r"a\s+b", r"pre \w+ post", r"x\wy", r"\bcafe\b", r"^\d$", r"[\w]_[^\W]", r"[\s]here", r"^\S$", r"\Bcafe"]
+    want = [next((i for i, p in enumerate(regexes) if re.search(p, t)), None) for t in texts]
+    lines = local_table(spark, list(enumerate(texts)), "log_id bigint, message string")
+    for extra in (0, 600):
+        rows = local_table(spark, [(i, p) for i, p in enumerate(regexes + [f"never {k}" for k in range(extra)])], "pattern_id bigint, regex string").collect()
+        patterns = load_patterns(spark, rows)
+        assert all(p.java is not None for p in patterns if p.regex != regexes[5])
+        for chosen in (patterns, [replace(p, java=None) for p in patterns[:len(regexes)]]):
+            found = lines.select("log_id", match_id(F.col("message"), chosen).alias("m")).collect()
+            assert [r.m for r in sorted(found)] == want
+
+
 def test_gpu_exercise(spark):
     lines = [f"Jul 14 11:20:{17 + i} 172.20.224.102 kernel: [    0.00584{i}] GPU temp: {t}°C" for i, t in enumerate((75, 85, 90))]
     catalog = catalog_of(spark, [(1898, r"\[\s+\d+\.\d+\]\s+GPU\s+temp:\s+(?P<temp>\d+)°C", "normal", "info")])

@@ -69,12 +69,14 @@ def test_every_predicate(spark):
 
 
 @pytest.mark.parametrize("policy", ["first", "most_severe"])
-def test_joined_rules_judge_like_chained_ones(spark, monkeypatch, policy):
+def test_more_rules_change_no_verdict(spark, policy):
     rows = [r for r in rule_rows() if r[7] not in (r"(\w+ )+b",)]
     rows = [(*r[:1], r[1] % 4, *r[2:8], ("info", "critical", "warning")[r[0] % 3], *r[9:]) for r in rows]
     chained = judged(spark, rows, CASES, policy)
-    monkeypatch.setattr(ops, "RULE_CHAIN_LIMIT", 3)
-    assert judged(spark, rows, CASES, policy) == chained
+    last, own = max(r[0] for r in rows), {r[1] for r in rows}
+    more = [(last + 1 + i, next(k for k in range(i * 7 + 1000, i * 7 + 1007) if k not in own), *rows[i % len(rows)][2:]) for i in range(600)]
+    got = judged(spark, rows + more, CASES, policy)
+    assert {k: v for k, v in got.items() if k in chained} == chained
 
 
 def test_honor_is_abnormal(spark):

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -212,10 +213,8 @@ def test_component_match(spark, tables):
     logs = local_table(spark, [(1, "kernel", "disk 5"), (2, "sshd", "disk 6"), (3, None, "fan"), (4, "kernel", "fan"), (5, None, "disk 7")],
                        "log_id bigint, component string, message string")
     patterns = load_patterns(spark, rows)
-    for limit in (256, 0):
-        matching.CHAIN_LIMIT, kept = limit, matching.CHAIN_LIMIT
-        got = by_id(matching.match_by_component(logs, patterns), "matched_id", "matched_severity", "matched_groups")
-        matching.CHAIN_LIMIT = kept
+    for chosen in (patterns, [replace(p, java=None) for p in patterns]):
+        got = by_id(matching.match_by_component(logs, chosen), "matched_id", "matched_severity", "matched_groups")
         assert got == {1: (1, "critical", {"what": "disk", "n": "5"}), 2: (2, "info", {}), 3: (None, None, {}), 4: (3, None, {}), 5: (2, "info", {})}
 
 
@@ -240,3 +239,41 @@ def test_search_unknown_limits_lines_not_matches(spark, tables, monkeypatch):
     found, counted = reports.search_unknown(logs, r"((new )+)")
     assert [tuple(r) for r in found.collect()] == [(5, "new \tnew ", "new 7 thing")]
     assert tuple(counted.first()) == (1, 3)
+
+
+def test_repeated_keys_leave_one_row_a_log(spark, tables):
+    catalog, logs = tables
+    n = logs.count()
+    edits = local_table(spark, [(1, "ignore", "info", 1), (1, "abnormal", "critical", 2), (None, "ignore", None, 3)],
+                        "log_id bigint, classification string, severity string, seq bigint")
+    done = by_id(catalog_ops.edit_logs(logs, edits, NOW), "classification", "severity")
+    assert len(done) == n and done[1] == ("abnormal", "critical")
+    updates = local_table(spark, [(1, 2, True, "normal", None, 2), (1, None, False, "ignore", "info", 1)],
+                          "log_id bigint, pattern_id bigint, is_known boolean, classification string, severity string, seq bigint")
+    done = by_id(matching.update_logs(logs, updates), "classification", "is_known")
+    assert len(done) == n and done[1] == ("normal", True)
+    ids = sorted(r[0] for r in catalog.select("pattern_id").collect())
+    mapping = local_table(spark, [(1, ids[0], 1), (1, ids[1], 2), (1, -9, 3)], "log_id bigint, pattern_id bigint, seq bigint")
+    mapped, refused = catalog_ops.map_logs(logs, catalog, mapping, NOW)
+    assert mapped.count() == n and refused.count() == 1 and by_id(mapped, "pattern_id")[1] == (ids[1],)
+    changes = local_table(spark, [(ids[0], "ignore", None, None, 1), (ids[0], "normal", "info", None, 2)],
+                          "pattern_id bigint, label string, severity string, note string, seq bigint")
+    new_catalog, new_logs, _ = catalog_ops.relabel(catalog, logs, changes, NOW)
+    assert new_catalog.count() == len(ids) and new_logs.count() == n
+    assert {r["label"] for r in new_catalog.where(F.col("pattern_id") == ids[0]).collect()} == {"normal"}
+    requests = local_table(spark, [(1, "normal", "info", None, 1), (1, "ignore", None, None, 2)], "log_id bigint, label string, severity string, note string, seq bigint")
+    learnt, moved, _ = catalog_ops.patterns_from_logs(catalog, logs, requests, NOW)
+    assert moved.count() == n and by_id(moved, "classification")[1] == ("ignore",) and learnt.select("pattern_id").distinct().count() == learnt.count()
+
+
+def test_deliveries_settle_every_waiting_alert_once(spark):
+    waiting = local_table(spark, [(i, 7, t, "slack", "pending", None, NOW, None, None) for i, t in ((1, "unknown"), (2, "abnormal"))], ALERTS)
+    results = local_table(spark, [(7, False, None, "boom", 2), (7, True, "text", None, 1)], "log_id bigint, ok boolean, text string, error string, seq bigint")
+    got = alert_ops.merge_deliveries(waiting, results, LATER).collect()
+    assert sorted((r["alert_id"], r["status"], r["message"]) for r in got) == [(1, "sent", "text"), (2, "sent", "text")]
+
+
+def test_requests_without_seq_come_back(spark, tables):
+    catalog, _ = tables
+    added = catalog_ops.add_patterns(catalog, local_table(spark, [(None, "new one", "s", "normal", None, None, None)], NEW), NOW)
+    assert [r["reject_reason"] for r in added.rejected.collect()] == ["seq is required"] and added.assigned.count() == 0
