@@ -161,6 +161,29 @@ def explode_texts(df: DataFrame, setup: Callable[[], Callable[..., tuple[np.ndar
     return source.mapInArrow(run, T.StructType(kept + fields))
 
 
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches sorted by the first ``keys`` columns."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = [c.slice(batch.num_rows - 1) for c in batch.columns[:keys]]
+        same = np.ones(batch.num_rows, bool)
+        for column, last in zip(batch.columns[:keys], ends):
+            same &= pc.equal(column, last[0]).to_numpy(zero_copy_only=False)
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        joins = bool(held) and all(h.column(j)[0].equals(batch.column(j)[0]) for h in held[:1] for j in range(keys))
+        if held and not joins:
+            yield pa.Table.from_batches(held)
+            held = []
+        if cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def text_key(text: Column, names: tuple[str, str] = ("k1", "k2")) -> list[Column]:
     """128 bits of a text, as two columns."""
     return [F.xxhash64(text).alias(names[0]), F.xxhash64(F.lit("again"), text).alias(names[1])]

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from logloom.llm.arrow_text import free_name, map_texts, quoted, ragged, split_words, text_key, word_hashes
+from logloom.llm.arrow_text import free_name, map_texts, quoted, ragged, split_words, text_key, whole_groups, word_hashes
 from logloom.llm.components import components
 from logloom.session import stage
 
@@ -159,23 +159,37 @@ def _edges(nodes: DataFrame, sets: DataFrame, least: float, node_block: int) ->
     inside = inside.select("tree", "node", "set_id", "hub", "blocks", F.explode("block").alias("block")).join(sets.select("set_id", "signature"), "set_id")
     inside = stage(inside, "node-sets", compression="zstd")
 
-    def connect(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("set_id", ignore_index=True)
-        ids, signed, hub = pdf["set_id"].to_numpy(), _signed(pdf), int(np.flatnonzero(pdf["set_id"] == pdf["hub"])[0])
-        near = _close(signed, signed[hub], least)
-        forest, out = Forest(len(ids)), []
-        for i in np.flatnonzero(near):
-            if forest.join(hub, int(i)):
-                out.append((ids[hub], ids[i], None, None))
-        for r in np.flatnonzero(~near):
-            for i in np.flatnonzero(_close(signed, signed[r], least)):
-                if forest.join(int(r), int(i)):
-                    out.append((ids[min(r, i)], ids[max(r, i)], None, None))
-            if pdf["blocks"].iloc[0] > 1:
-                out.append((ids[r], None, pdf["tree"].iloc[0], pdf["node"].iloc[0]))
-        return pd.DataFrame(out, columns=["u", "v", "tree", "node"]).astype({"u": "Int64", "v": "Int64", "tree": "Int32", "node": "Int64"})
-
-    made = stage(inside.groupBy("tree", "node", "block").applyInPandas(connect, EDGE), "edges")
+    def connect(batches):
+        for table in whole_groups(batches, 3):
+            tree, node, block, ids, many = (table.column(j).to_numpy() for j in range(5))
+            signed = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint16).reshape(len(ids), -1)
+            first = np.flatnonzero(np.concatenate([[True], (tree[1:] != tree[:-1]) | (node[1:] != node[:-1]) | (block[1:] != block[:-1])]))
+            hub = np.repeat(first, np.diff(np.append(first, len(ids))))  # the least set stands first
+            near = np.concatenate([(signed[at:at + 8192] == signed[hub[at:at + 8192]]).mean(axis=1) >= least for at in range(0, len(ids), 8192)])
+            joined = near & (hub != np.arange(len(ids)))
+            u, v = [ids[hub[joined]]], [ids[joined]]
+            # Sets apart from the first one meet all sets of their block.
+            apart = np.flatnonzero(~near)
+            for start in np.unique(hub[apart]):
+                end = int(np.searchsorted(hub, start, "right"))
+                forest = Forest(end - start)
+                for i in np.flatnonzero(near[start:end]):
+                    forest.join(0, int(i))
+                for r in apart[(apart >= start) & (apart < end)] - start:
+                    for i in np.flatnonzero(_close(signed[start:end], signed[start + r], least)):
+                        if forest.join(int(r), int(i)):
+                            u.append(ids[start + min(r, i)][None])
+                            v.append(ids[start + max(r, i)][None])
+            u, v, left = np.concatenate(u), np.concatenate(v), apart[many[apart] > 1]
+            none = pa.nulls(len(u), pa.int64())
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate([u, ids[left]])), pa.concat_arrays([pa.array(v), pa.nulls(len(left), pa.int64())]),
+                pa.concat_arrays([pa.nulls(len(u), pa.int32()), pa.array(tree[left], pa.int32())]), pa.concat_arrays([none, pa.array(node[left])])],
+                names=["u", "v", "tree", "node"])
+
+    keys = ("tree", "node", "block")
+    dealt = inside.select(*keys, "set_id", "blocks", "signature").repartition(*keys).sortWithinPartitions(*keys, "set_id")
+    made = stage(dealt.mapInArrow(connect, EDGE), "edges")
     edges, apart = made.where("v is not null").select("u", "v"), made.where("v is null").select("tree", "node", F.col("u").alias("other"))
     if apart.isEmpty():
         return edges
