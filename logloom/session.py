@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
@@ -32,7 +35,31 @@ def build_session(app_name: str = "logloom", master: str | None = None, **conf:
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship_package(session)
+    return session
+
+
+@functools.cache
+def _archive() -> str:
+    """This package as an archive beside the driver, which Spark hands to the executors while the driver lives."""
+    root, archive = Path(__file__).resolve().parent, Path(tempfile.mkdtemp(prefix="logloom-package-")) / "logloom.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    return str(archive)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, so that functions over Arrow batches can be unpickled there.
+
+    Does nothing where the package was sent before.
+    """
+    sent = spark.conf.get("spark.logloom.shipped", None)
+    if sent == spark.sparkContext.applicationId:
+        return
+    spark.sparkContext.addPyFile(_archive())
+    spark.conf.set("spark.logloom.shipped", spark.sparkContext.applicationId)
 
 
 def staging_dir(spark: SparkSession) -> str:

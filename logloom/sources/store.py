@@ -15,7 +15,7 @@ from logloom.session import empty_table, local_table
 
 # Tables that only grow keep one folder per batch; the others are whole versions.
 APPENDED = ("logs", "params", "alerts", "analyses")
-_COMMITS = "batch_id bigint, committed_at timestamp_ntz, rewritten array<string>"
+_COMMITS = "batch_id bigint, committed_at timestamp_ntz, rewritten array<string>, source string, epoch bigint"
 
 
 @dataclass(frozen=True)
@@ -37,6 +37,10 @@ class Store:
             return []
         return sorted(rows, key=lambda r: r["batch_id"])
 
+    def has(self, source: str, epoch: int) -> bool:
+        """Whether an epoch of a stream was committed."""
+        return any(r["source"] == source and r["epoch"] == epoch for r in self.commits())
+
     def committed(self) -> list[int]:
         return [r["batch_id"] for r in self.commits()]
 
@@ -55,7 +59,8 @@ class Store:
         return self.spark.read.schema(TABLES[name]).parquet(*[self._path(name, b) for b in wanted])
 
     def commit(self, batch_id: int, tables: dict[str, DataFrame], as_of: dt.datetime,
-               rewritten: tuple[str, ...] = (), written: tuple[str, ...] = ()) -> None:
+               rewritten: tuple[str, ...] = (), written: tuple[str, ...] = (),
+               source: str | None = None, epoch: int | None = None) -> None:
         """Write the tables of a batch, carry the others over, then record the batch.
 
         ``rewritten`` names growing tables given as a whole (after a relabel or a
@@ -70,7 +75,7 @@ class Store:
             if df is None:
                 df = empty_table(self.spark, schema) if name in APPENDED else self.table(name)
             df.select(*schema.fieldNames()).write.mode("overwrite").parquet(self._path(name, batch_id))
-        record = local_table(self.spark, [(batch_id, as_of, list(rewritten))], _COMMITS)
+        record = local_table(self.spark, [(batch_id, as_of, list(rewritten), source, epoch)], _COMMITS)
         record.coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
 
     def next_batch(self) -> int:
@@ -81,14 +86,15 @@ class Store:
         self.commit(self.next_batch(), tables, as_of, rewritten)
 
     def ingest(self, lines: DataFrame, *, as_of: dt.datetime, default_year: int,
-               batch_id: int | None = None, policy: str = "first") -> Batch | None:
-        """Ingest lines as one batch; ``None`` when that batch was committed before.
+               batch_id: int | None = None, policy: str = "first",
+               source: str | None = None, epoch: int | None = None) -> Batch | None:
+        """Ingest lines as one batch; ``None`` when that batch, or that epoch of a stream, was committed before.
 
         The log rows are written once, with their parameter map; every other table
         comes from reading back the few columns it needs.
         """
         batch_id = self.next_batch() if batch_id is None else batch_id
-        if batch_id in self.committed():
+        if batch_id in self.committed() or source is not None and self.has(source, epoch):
             return None
         before, rules, logs, alerts = (self.table(t) for t in ("catalog", "rules", "logs", "alerts"))
         batch = ingest_batch(lines, before, rules, as_of=as_of, default_year=default_year,
@@ -99,5 +105,5 @@ class Store:
         self.commit(batch_id, {
             "params": done.params, "catalog": done.catalog,
             "alerts": done.alerts(max_id(alerts, "alert_id")),
-        }, as_of, written=("logs",))
+        }, as_of, written=("logs",), source=source, epoch=epoch)
         return done

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logloom.schemas import ALERTS
-from logloom.sources.lines import file_name, line_seq
+from logloom.sources.lines import numbered, scanned
 from logloom.sources.store import Store
 
 
@@ -25,34 +25,27 @@ def stream_ingest(
 ) -> StreamingQuery:
     """Ingest files as they appear; each micro-batch is one committed batch of the store.
 
-    ``as_of`` is a function of the batch id, so that a replayed batch gives the same
-    rows; a batch that was committed before a failure is skipped. Files of a
-    micro-batch count in order of their modification time and name.
+    ``as_of`` is a function of the epoch, so that a replayed batch gives the same rows.
+    A batch is known by the checkpoint and its epoch there: one that was committed
+    before a failure is skipped however often the stream starts anew, and one that was
+    not is written again over what the failed try left. Files of a micro-batch count in
+    order of their modification time and name.
     """
-    first = store.next_batch()
-    scanned = (
-        spark.readStream.option("maxFilesPerTrigger", max_files).text(directory)
-        .select("value", F.col("_metadata.file_path").alias("_path"),
-                file_name(),
-                F.col("_metadata.file_modification_time").alias("_time"),
-                F.col("_metadata.file_block_start").alias("_start"))
-    )
+    incoming = scanned(spark.readStream.option("maxFilesPerTrigger", max_files).text(directory),
+                       F.col("_metadata.file_modification_time").alias("_time"))
 
     def ingest(batch: DataFrame, epoch: int) -> None:
-        numbered = batch.withColumn("_row", F.monotonically_increasing_id())
-        # At most max_files rows.
-        files = batch.select("_path", "_time").distinct().withColumn(
-            "_rank", F.row_number().over(Window.orderBy("_time", "_path")) - 1)
-        lines = numbered.join(F.broadcast(files.select("_path", "_rank")), "_path").select(
-            "value", "source_file", line_seq(F.col("_rank"), F.col("_start"), F.col("_row")).alias("line_seq"))
-        store.ingest(lines, as_of=as_of(epoch), default_year=default_year, batch_id=first + epoch)
-
-    query = scanned.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)
+        if store.has(checkpoint, epoch):
+            return
+        lines = numbered(batch, ["_time", "_path"])
+        store.ingest(lines, as_of=as_of(epoch), default_year=default_year, source=checkpoint, epoch=epoch)
+
+    query = incoming.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)
     return query.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def stream_alerts(spark: SparkSession, store: Store) -> DataFrame:
-    """Alerts as a stream, as batches are committed."""
+    """Alerts as a stream, as their folders are written; a folder is written once its batch's logs are."""
     return spark.readStream.schema(ALERTS).parquet(f"{store.root}/alerts/batch=*")
 
 
