@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from logloom.functions.text import wall_time
 from logloom.functions.regexes import java_spellings, python_group, python_search
+from logloom.operators.params import explode_params
 from logloom.operators.numbering import number_rows
 from logloom.operators.triage import NOTE_PREFIX
 
@@ -341,9 +342,15 @@ def active_rule_list(rules: DataFrame, catalog: DataFrame) -> DataFrame:
 
 # --- parameters -------------------------------------------------------------------
 
-def params_of_pattern(params: DataFrame, logs: DataFrame, pattern_id: int) -> DataFrame:
-    own = logs.where(F.col("pattern_id") == pattern_id).select("log_id")
-    return params.join(own, "log_id", "left_semi").orderBy(F.desc("log_id"), "param_name")
+def own_params(subject: DataFrame, params: DataFrame | None) -> DataFrame:
+    """Long-form parameters of the given logs: from the map on their rows where they carry it, else from the table."""
+    if "params" in subject.columns:
+        return explode_params(subject)
+    return params.join(subject.select("log_id"), "log_id", "left_semi")
+
+
+def params_of_pattern(params: DataFrame | None, logs: DataFrame, pattern_id: int) -> DataFrame:
+    return own_params(logs.where(F.col("pattern_id") == pattern_id), params).orderBy(F.desc("log_id"), "param_name")
 
 
 def logs_with_param(logs: DataFrame, params: DataFrame, pattern_id: int, name: str,
@@ -360,18 +367,19 @@ def logs_with_param(logs: DataFrame, params: DataFrame, pattern_id: int, name: s
     return subject.join(value, "log_id", "left").orderBy(F.desc("ts"), "log_id")
 
 
-def abnormal_by_param(logs: DataFrame, params: DataFrame, name: str, below: float, limit: int = 20) -> DataFrame:
-    value = params.where((F.col("param_name") == name) & (F.col("param_value_num") < below)).select("log_id", "param_value_num")
-    return (
-        logs.where("classification = 'abnormal'")
-        .select("log_id", "ts", "host", "component", "classification", "severity", "anomaly_reason", "message")
-        .join(value, "log_id").orderBy(F.desc("log_id")).limit(limit)
-    )
+def abnormal_by_param(logs: DataFrame, params: DataFrame | None, name: str, below: float, limit: int = 20) -> DataFrame:
+    subject = logs.where("classification = 'abnormal'")
+    shown = ("log_id", "ts", "host", "component", "classification", "severity", "anomaly_reason", "message")
+    if "params" in logs.columns:
+        valued = subject.select(*shown, F.col("params")[name]["num"].alias("param_value_num")).where(F.col("param_value_num") < below)
+    else:
+        value = params.where((F.col("param_name") == name) & (F.col("param_value_num") < below)).select("log_id", "param_value_num")
+        valued = subject.select(*shown).join(value, "log_id")
+    return valued.orderBy(F.desc("log_id")).limit(limit)
 
 
-def param_statistics(params: DataFrame, logs: DataFrame, pattern_id: int) -> DataFrame:
-    own = logs.where(F.col("pattern_id") == pattern_id).select("log_id")
-    return params.join(own, "log_id", "left_semi").groupBy("param_name").agg(
+def param_statistics(params: DataFrame | None, logs: DataFrame, pattern_id: int) -> DataFrame:
+    return own_params(logs.where(F.col("pattern_id") == pattern_id), params).groupBy("param_name").agg(
         F.count("*").alias("count"), F.min("param_value_num").alias("min_value"),
         F.max("param_value_num").alias("max_value"), F.avg("param_value_num").alias("avg_value"),
     ).orderBy("param_name")
@@ -392,10 +400,14 @@ def latest_with_params(logs: DataFrame, params: DataFrame, pattern_id: int, limi
     return page.join(texts, "log_id", "left").orderBy(F.desc("ts"), "log_id")
 
 
-def params_for_message(logs: DataFrame, params: DataFrame, like: str) -> DataFrame:
+def params_for_message(logs: DataFrame, params: DataFrame | None, like: str) -> DataFrame:
     """Logs with a message like a pattern, one row per parameter, in log order."""
-    subject = logs.where(F.col("message").like(like)).select(
-        "log_id", "message", "classification", "severity", "anomaly_reason")
+    shown = ("log_id", "message", "classification", "severity", "anomaly_reason")
+    found = logs.where(F.col("message").like(like))
+    if "params" in logs.columns:
+        return found.select(*shown, F.explode_outer("params").alias("param_name", "value")).select(
+            *shown, "param_name", F.col("value.num").alias("param_value_num")).orderBy("log_id", "param_name")
+    subject = found.select(*shown)
     return subject.join(params.select("log_id", "param_name", "param_value_num"), "log_id", "left").orderBy(
         "log_id", "param_name")
 

@@ -159,13 +159,19 @@ def apply_verdict(logs: DataFrame) -> DataFrame:
     }).drop("verdict")
 
 
-def check_logs(logs: DataFrame, params: DataFrame, rules: DataFrame, policy: str = "first") -> DataFrame:
-    """Judge stored logs with their stored parameters (tables T2 and T3)."""
-    ruled = rules.where("is_active").select("pattern_id").distinct()
-    subject = logs.join(ruled, "pattern_id", "left_semi")
-    packed = pack_params(params)
-    none = F.create_map().cast("map<string,struct<num:double,text:string>>")
-    with_params = subject.join(packed, "log_id", "left").withColumn("params", F.coalesce("params", none))
+def check_logs(logs: DataFrame, params: DataFrame | None, rules: DataFrame, policy: str = "first") -> DataFrame:
+    """Judge stored logs with their stored parameters.
+
+    Log rows that carry their parameter map, as ingest writes them, are judged where
+    they are: nothing moves. Tables T2 and T3 apart are joined first.
+    """
+    if "params" in logs.columns:
+        with_params = logs
+    else:
+        ruled = rules.where("is_active").select("pattern_id").distinct()
+        none = F.create_map().cast("map<string,struct<num:double,text:string>>")
+        with_params = logs.join(ruled, "pattern_id", "left_semi").join(pack_params(params), "log_id", "left").withColumn(
+            "params", F.coalesce("params", none))
     judged = judge(with_params, rules, policy).where("verdict is not null")
     return judged.select("log_id", F.col("verdict.severity").alias("severity"),
                          F.col("verdict.reason").alias("anomaly_reason"),

@@ -10,18 +10,29 @@ from pyspark.sql import DataFrame, functions as F
 from logloom.functions.text import wall_time
 from logloom.functions.regexes import load_patterns
 from logloom.operators.matching import found_in, match_id
-from logloom.operators.params import explode_params, params_of
+from logloom.operators.params import explode_params, pack_params, params_of
 from logloom.operators.rules import apply_verdict, judge
 from logloom.plans.ingest import classify
 
 
 @dataclass(frozen=True)
 class Reprocessed:
-    """``logs`` and ``params`` after the run; ``matched`` are the rows the pattern took."""
+    """Log rows after the run, with their parameter map; ``is_taken`` are those the pattern took, ``is_judged`` those a rule hit."""
 
-    logs: DataFrame
-    params: DataFrame
-    matched: DataFrame
+    rows: DataFrame
+    columns: tuple[str, ...]
+
+    @property
+    def logs(self) -> DataFrame:
+        return self.rows.select(*self.columns)
+
+    @property
+    def params(self) -> DataFrame:
+        return explode_params(self.rows)
+
+    @property
+    def matched(self) -> DataFrame:
+        return self.rows.where("is_taken")
 
     @property
     def stats(self) -> DataFrame:
@@ -34,7 +45,7 @@ class Reprocessed:
 
 def reprocess_pattern(
     logs: DataFrame,
-    params: DataFrame,
+    params: DataFrame | None,
     catalog: DataFrame,
     rules: DataFrame,
     pattern_id: int,
@@ -43,8 +54,8 @@ def reprocess_pattern(
 ) -> Reprocessed:
     """Give every log the pattern is found in to that pattern, extract and judge anew.
 
-    One pass over the logs, without a shuffle; only the parameters of taken logs are
-    exchanged (by log id, which is unique).
+    One projection over the logs, without a shuffle, where the rows carry their parameter
+    map as ingest writes them; else the table of parameters is packed and joined first.
     """
     row = catalog.where(F.col("pattern_id") == pattern_id).select(
         "pattern_id", F.coalesce("manual_regex_rule", "regex_rule").alias("regex"), "label", "severity").first()
@@ -58,24 +69,24 @@ def reprocess_pattern(
     found = found_in(message, pattern) if pattern.java else match_id(message, loaded).isNotNull()
     own_rules = rules.where(F.col("pattern_id") == pattern_id)
 
-    def taken(rows: DataFrame) -> DataFrame:
-        new = rows.withColumns({
-            "pattern_id": F.lit(pattern_id).cast("bigint"),
-            "is_known": F.lit(True),
-            "classification": classify(F.lit(True), F.lit(pattern.label)),
-            "severity": F.lit(pattern.severity).cast("string"),
-            "updated_at": wall_time(as_of),
-            "params": params_of(message, F.lit(pattern_id), loaded),
-        })
-        judged = judge(new, own_rules, policy)
-        return apply_verdict(judged.withColumn("is_judged", F.col("verdict").isNotNull()))
-
-    found = F.coalesce(found, F.lit(False))
-    matched = taken(logs.where(found))
-    kept = logs.where(~found)
-    new_logs = kept.unionByName(matched.select(*logs.columns))
-    new_params = (
-        params.join(matched.select("log_id"), "log_id", "left_anti")
-        .unionByName(explode_params(matched))
-    )
-    return Reprocessed(new_logs, new_params, matched)
+    rows = logs if "params" in logs.columns else logs.join(pack_params(params), "log_id", "left")
+    taken = F.col("is_taken")
+
+    def now(value, column: str):
+        return F.when(taken, value).otherwise(F.col(column))
+
+    # Params apart, a log without any has no map; with the map it may be NULL as well.
+    none = F.create_map().cast("map<string,struct<num:double,text:string>>")
+    rows = rows.withColumn("is_taken", F.coalesce(found, F.lit(False)))
+    rows = rows.withColumns({
+        "pattern_id": now(F.lit(pattern_id).cast("bigint"), "pattern_id"),
+        "is_known": now(F.lit(True), "is_known"),
+        "classification": now(classify(F.lit(True), F.lit(pattern.label)), "classification"),
+        "severity": now(F.lit(pattern.severity).cast("string"), "severity"),
+        "updated_at": now(wall_time(as_of), "updated_at"),
+        "params": F.when(taken, params_of(message, F.lit(pattern_id), loaded)).otherwise(F.coalesce("params", none)),
+    })
+    # Logs that had the pattern before and are not taken keep what they have.
+    judged = judge(rows, own_rules, policy).withColumn("verdict", F.when(taken, F.col("verdict")))
+    done = apply_verdict(judged.withColumn("is_judged", F.col("verdict").isNotNull()))
+    return Reprocessed(done, tuple(c for c in logs.columns if c != "params"))

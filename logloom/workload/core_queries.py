@@ -315,7 +315,7 @@ def _(spark, sf):
     o.state_ctes(), f"SELECT log_id, severity, reason AS anomaly_reason FROM ({_JUDGED.format(pick='min(rule_id)')})"))
 def _(spark, sf):
     now = state(spark, sf)
-    return rules_ops.check_logs(now["logs"].where("is_known"), now["params"], now["rules"]).select(
+    return rules_ops.check_logs(now["rows"].where("is_known"), None, now["rules"]).select(
         "log_id", "severity", "anomaly_reason")
 
 

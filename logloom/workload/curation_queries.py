@@ -291,7 +291,7 @@ def _reprocessed(spark, sf):
                       "seq bigint, pattern_id bigint, rule_type string, field_name string, op string, threshold1 double, threshold2 double, "
                       "search_text string, severity_if_match string, is_abnormal_if_match boolean, message string, is_active boolean")
     rules, _ = rules_ops.add_rules(now["rules"], own, catalog)
-    return reprocess_pattern(now["logs"], now["params"], catalog, stage(rules, "reprocess-rules"), pattern_id, TRIAGE_RUN)
+    return reprocess_pattern(now["rows"], None, catalog, stage(rules, "reprocess-rules"), pattern_id, TRIAGE_RUN)
 
 
 _REPROCESS = [rf"""again AS (

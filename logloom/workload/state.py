@@ -142,9 +142,10 @@ def triaged(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     def build():
         now = state(spark, sf_dir)
         scored = stage(score(candidates(now["logs"], now["analyses"], limit=None), answers(spark, sf_dir)), "scored")
-        result = apply_verdicts(scored, now["logs"], now["catalog"], now["alerts"], TRIAGE_RUN)
+        result = apply_verdicts(scored, now["rows"], now["catalog"], now["alerts"], TRIAGE_RUN)
+        rows = stage(result.logs, "triage-rows")
         return {
-            **now, "scored": scored, "logs": stage(result.logs, "triage-logs"),
+            **now, "scored": scored, "rows": rows, "logs": rows.drop("params"),
             "catalog": stage(result.catalog, "triage-catalog"), "rejected": result.rejected, "stats": result.stats,
             "new_alerts": result.alerts, "alerts": stage(now["alerts"].unionByName(result.alerts), "triage-alerts"),
             "analyses": stage(analyses_of(scored, "table", TRIAGE_RUN), "triage-analyses"),
