@@ -11,8 +11,10 @@ from logloom.functions.regexes import group_names, has_named_groups
 from logloom.functions.syslog import parse_lines
 from logloom.functions.templates import fits_own_template, pattern_fits, template_of
 from logloom.operators import dedup, matching, params as params_ops, rules as rules_ops
+from logloom.operators.numbering import number_rows
 from logloom.plans.ingest import abstract_lines, count_templates, ingest_stats, resolve_templates
-from logloom.session import stage
+from logloom.session import stage, staging_path
+from logloom.sources.lines import read_lines
 from logloom.workload import oracle_tables as o
 from logloom.workload.lines import FIRST_RUN, YEAR, event_lines, order_lines, shipment_lines, table, text_lines
 from logloom.workload.registry import query, ts_sql, ts_text
@@ -160,6 +162,65 @@ def _(spark, sf):
         "pattern_id is not null or listed").select("log_id", "pattern_id", "is_known", "classification", "severity")
 
 
+# --- some hundred patterns and rules -------------------------------------------------
+
+# One pattern for each pair of brand and size class (of twelve) in ``part``, and a rule for each.
+
+def _pair_catalog(spark, sf):
+    pairs = table(spark, sf, "part").select("p_brand", (F.col("p_size") % 12).alias("p_size")).distinct()
+    numbered = number_rows(pairs.withColumn("place", F.expr("bigint(substr(p_brand, 7))") * 1000 + F.col("p_size")), "place", 0, "pattern_id")
+    regex = F.concat(F.lit(r"\bbrand\s"), F.col("p_brand"), F.lit(r"\b\ssize\s"), F.col("p_size"), F.lit(r"\s+costs (?P<price>\d+\.\d+)"))
+    return numbered.select("pattern_id", regex.alias("manual_regex_rule"), F.lit("normal").alias("label"),
+                           F.when(F.col("pattern_id") % 2 == 0, "info").otherwise("warning").alias("severity"), F.lit(None).cast("string").alias("component"))
+
+
+def _part_lines(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", F.concat(
+        F.lit("part "), F.col("p_partkey"), F.lit(" brand "), F.col("p_brand"), F.lit("\u00a0size "), F.col("p_size") % 12,
+        F.lit("  costs "), F.format_string("%.2f", "p_retailprice"), F.lit(" each")).alias("message"))
+
+
+_PAIR_IDS = """ids AS (SELECT p_brand, p_size, row_number() OVER (ORDER BY CAST(substr(p_brand, 7) AS BIGINT) * 1000 + p_size) AS pattern_id
+  FROM (SELECT DISTINCT p_brand, p_size % 12 AS p_size FROM part)),
+parts AS (SELECT p_partkey, p_brand, p_size % 12 AS p_size, p_retailprice FROM part)"""
+
+
+@query("manual_match_many", f"WITH {_PAIR_IDS} SELECT p_partkey, pattern_id FROM parts JOIN ids USING (p_brand, p_size)")
+def _(spark, sf):
+    patterns = matching.manual_patterns(_pair_catalog(spark, sf))
+    return _part_lines(spark, sf).select("p_partkey", matching.match_id(F.col("message"), patterns).alias("pattern_id"))
+
+
+@query("rules_many", f"""WITH {_PAIR_IDS} SELECT p_partkey, CASE WHEN pattern_id % 3 = 0 THEN 'critical' ELSE 'warning' END AS severity,
+  'price over ' || pattern_id AS reason FROM parts JOIN ids USING (p_brand, p_size) WHERE round(p_retailprice, 2) > 900 + pattern_id % 100""")
+def _(spark, sf):
+    catalog = stage(_pair_catalog(spark, sf), "catalog-many")
+    patterns = matching.manual_patterns(catalog)
+    none = F.lit(None)
+    rules = catalog.select(
+        F.col("pattern_id").alias("rule_id"), "pattern_id", F.lit("threshold").alias("rule_type"), F.lit("price").alias("field_name"), F.lit(">").alias("op"),
+        (F.lit(900.0) + F.col("pattern_id") % 100).alias("threshold1"), none.cast("double").alias("threshold2"), none.cast("string").alias("search_text"),
+        F.when(F.col("pattern_id") % 3 == 0, "critical").otherwise("warning").alias("severity_if_match"), F.lit(True).alias("is_abnormal_if_match"),
+        F.concat(F.lit("price over "), F.col("pattern_id")).alias("message"), F.lit(True).alias("is_active"))
+    lines = _part_lines(spark, sf).withColumn("pattern_id", matching.match_id(F.col("message"), patterns))
+    # Rows and rules are stored before they are judged, as ingest does.
+    with_params = stage(lines.withColumn("params", params_ops.params_of(F.col("message"), F.col("pattern_id"), patterns)), "rows-many")
+    judged = rules_ops.judge(with_params, stage(rules, "rules-many")).where("verdict is not null")
+    return judged.select("p_partkey", "verdict.severity", "verdict.reason")
+
+
+# --- text files -------------------------------------------------------------------------
+
+@query("read_lines", """SELECT row_number() OVER (ORDER BY event_id) - 1 AS line_seq, event_id || ' ' || event_type || ' ' || user_id AS value FROM events""")
+def _(spark, sf):
+    """The event table written as text files in order, and read back with dense line numbers."""
+    events = table(spark, sf, "events")
+    path = staging_path(spark, "event-text")
+    lines = events.select("event_id", F.concat_ws(" ", "event_id", "event_type", "user_id").alias("value"))
+    lines.repartitionByRange(16, "event_id").sortWithinPartitions("event_id").select("value").write.text(path)
+    return read_lines(spark, [path]).select("line_seq", "value")
+
+
 # --- ingest --------------------------------------------------------------------------
 
 _LOG_COLUMNS = ("log_id", "host", "component", "raw_line", "message", "is_known", "is_manual_mapped", "classification",
