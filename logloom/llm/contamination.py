@@ -4,7 +4,8 @@
    are blocks of words; document frequencies are counted over all passages.
 2. A randomised SVD of the TF-IDF matrix of all passages: one pass gives A'(A O) for random
    O, its orthonormal basis Q; a second gives (AQ)'(AQ), whose eigenvectors turn Q into the
-   leading right singular vectors. Tasks sum their own part; the driver sees matrices of
+   leading right singular vectors. Divided by their singular values they weigh topics and
+   languages, which all passages share, no more than what tells items apart. Tasks sum their own part; the driver sees matrices of
    the size of the vocabulary, never of the corpus.
 3. Windows of several lengths slide over every document. Prefix sums of latent word vectors
    give each window's vector in one subtraction; windows whose cosine with an item of
@@ -27,9 +28,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from logloom.llm.arrow_text import distinct_words, map_texts, quoted, split_words
 from logloom.session import stage
 
-PASSAGE, RANK, OVERSAMPLE = 64, 48, 16
+PASSAGE, RANK, OVERSAMPLE = 64, 64, 8
 #: Word occurrences that a task holds as latent vectors at once.
-HELD = 1 << 17
+HELD = 1 << 16
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|"
 
 
@@ -46,6 +47,7 @@ class Item:
     item_id: int | None
     terms: list[int]
     answer: list[int]
+    nth: int
 
 
 def items_of(rows: list[tuple[int | None, str | None]]) -> tuple[list[Item], dict[str, int]]:
@@ -58,15 +60,23 @@ def items_of(rows: list[tuple[int | None, str | None]]) -> tuple[list[Item], dic
         if terms:
             sentences = [s for s in re.split(r"(?<=[.?!])\s+|\n+", text) if terms_of(s)]
             answer = number(sentences[-1]) if len(sentences) > 1 else terms[-max(1, len(terms) // 4):]
-            items.append(Item(item_id, terms, answer))
+            items.append(Item(item_id, terms, answer, len(items)))
     return items, vocabulary
 
 
-def common_length(of: list[int], among: list[int]) -> int:
-    """Length of the longest common subsequence, a bit a position of ``of``."""
+def bits_of(terms: list[int]) -> dict[int, int]:
+    """Where each term stands, a bit a position."""
     places: dict[int, int] = {}
-    for i, t in enumerate(of):
+    for i, t in enumerate(terms):
         places[t] = places.get(t, 0) | 1 << i
+    return places
+
+
+def common_length(of: list[int], among: list[int], places: dict[int, int] | None = None, least: float = 0) -> int:
+    """Length of the longest common subsequence; 0 if too few words of ``among`` are common for ``least``."""
+    places = bits_of(of) if places is None else places
+    if least and sum(map(places.__contains__, among)) < least:
+        return 0
     full = (1 << len(of)) - 1
     open_ = full
     for t in among:
@@ -183,7 +193,7 @@ def inverse_frequencies(items: list[Item], counts: np.ndarray, total: int, *, ma
 
 
 def latent_vectors(coded: DataFrame, weights: np.ndarray, *, rank: int = RANK, oversample: int = OVERSAMPLE, seed: int = 7) -> np.ndarray:
-    """Leading right singular vectors (terms x rank) of the TF-IDF matrix of all passages."""
+    """Leading right singular vectors (terms x rank) of the TF-IDF matrix of all passages, each divided by its singular value."""
     size = len(weights)
     width = min(rank + oversample, size)
 
@@ -197,8 +207,10 @@ def latent_vectors(coded: DataFrame, weights: np.ndarray, *, rank: int = RANK, o
     def sketch(terms, places):
         passage, term, value, rows = rows_of(start, terms, places)
         out = np.zeros((size, width))
-        for j in range(width if len(passage) else 0):
-            out[:, j] = np.bincount(term, value * rows[passage, j], size)
+        if len(passage):
+            order = np.argsort(term, kind="stable")
+            first = np.flatnonzero(np.diff(term[order], prepend=-1))
+            out[term[order][first]] = np.add.reduceat(rows[passage[order]] * value[order, None], first)
         return out
 
     def gram(terms, places):
@@ -208,19 +220,20 @@ def latent_vectors(coded: DataFrame, weights: np.ndarray, *, rank: int = RANK, o
     start = np.random.default_rng(seed).standard_normal((size, width))
     basis = np.linalg.qr(_summed(coded, sketch, size, width))[0]
     values, turn = np.linalg.eigh(_summed(coded, gram, width, width))
-    return basis @ turn[:, np.argsort(-values)[:rank]]
+    leading = [j for j in np.argsort(-values)[:rank] if values[j] > 1e-9 * values.max()]
+    return basis @ turn[:, leading] / np.sqrt(values[leading])
 
 
 def _scale(n: int) -> int:
-    """Words of the window for an item of ``n`` words: a power of two with a third to spare."""
+    """Words of the window for an item of ``n`` words: a power of two."""
     s = 8
-    while 3 * s < 4 * n:
+    while s < n:
         s *= 2
     return s
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item: str = "item_id", item_text: str = "text",
-          least_cosine: float = 0.5, least_common: float = 0.7, least_with_answer: float = 0.5, rank: int = RANK) -> DataFrame:
+          least_cosine: float = 0.45, least_common: float = 0.7, least_with_answer: float = 0.5, rank: int = RANK) -> DataFrame:
     """``keep``, item_id, first_word, last_word, cosine, common, answer: a row for each document and item found in it.
 
     ``common`` is the share of the item's words (lower case, punctuation at the ends off) in
@@ -240,18 +253,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: tu
     coded = stage(_coded(docs, vocabulary, text, list(keep)), "coded", compression="zstd")
     counts, total = frequencies(coded, len(vocabulary))
     weights = inverse_frequencies(items, counts, total)
-    vectors = (latent_vectors(coded, weights, rank=rank) * weights[:, None]).astype(np.float32)
+    vectors = latent_vectors(coded, weights, rank=rank) * weights[:, None]
     scales = sorted({_scale(len(i.terms)) for i in items})
     of_scale = {s: [i for i in items if _scale(len(i.terms)) == s] for s in scales}
 
     def unit(rows):
-        return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+        rows = rows.astype(np.float32)
+        return rows / np.maximum(np.sqrt(np.einsum("ij,ij->i", rows, rows)), 1e-12)[:, None]
 
     wanted = {s: unit(np.stack([vectors[i.terms].sum(axis=0) for i in group])) for s, group in of_scale.items()}
     k = len(names)
 
-    def candidates(terms, places, end):
-        """(place, scale, item, cosine) of windows close to an item."""
+    bits = {i.nth: (bits_of(i.terms), bits_of(i.answer)) for i in items}
+
+    def candidates(terms, places, start, cut):
+        """(row, place, scale, item, cosine, occurrences around it) of windows close to an item."""
+        end = int(start[-1])
         held = weights[terms] > 0
         at, sums = places[held], np.zeros((int(held.sum()) + 1, vectors.shape[1]))
         np.cumsum(vectors[terms[held]], axis=0, out=sums[1:])
@@ -261,25 +278,30 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: tu
                 lo, hi = np.searchsorted(at, starts), np.searchsorted(at, starts + s)
                 some = np.flatnonzero(hi > lo)
                 cosine = unit(sums[hi[some]] - sums[lo[some]]) @ wanted[s].T
-                for w, i in zip(*np.nonzero(cosine >= least_cosine)):
-                    yield int(starts[some[w]]), s, of_scale[s][i], float(cosine[w, i])
+                w, i = np.nonzero(cosine >= least_cosine)
+                place = starts[some[w]]
+                row = np.searchsorted(start, place, "right") - 1
+                # Half a window more on either side, inside the document.
+                lo = np.maximum(np.searchsorted(places, place - s // 2), cut[row])
+                hi = np.minimum(np.searchsorted(places, place + s + s // 2), cut[row + 1])
+                for r, p, k, value, a, b in zip(row.tolist(), place.tolist(), i.tolist(), cosine[w, i].tolist(), lo.tolist(), hi.tolist()):
+                    yield r, p, s, of_scale[s][k], value, a, b
 
     def run(batches):
         # A document's places are followed by more room than the longest window, so no window meets two.
         for part, terms, places, start, cut in _pieces(batches, k, 2 * scales[-1]):
             best: dict[tuple[int, int], tuple] = {}
-            for place, s, found, cosine in candidates(terms, places, int(start[-1])):
-                row = int(np.searchsorted(start, place, "right")) - 1
-                lo, hi = np.searchsorted(places[cut[row]:cut[row + 1]], [place - s // 2, place + s + s // 2]) + cut[row]
-                near = terms[lo:hi].tolist()
-                common = common_length(found.terms, near) / len(found.terms)
+            listed = terms.tolist()
+            for row, place, s, found, cosine, lo, hi in candidates(terms, places, start, cut):
+                near, (own, own_answer) = listed[lo:hi], bits[found.nth]
+                common = common_length(found.terms, near, own, least_with_answer * len(found.terms)) / len(found.terms)
                 if common < least_with_answer:
                     continue
-                answer = common_length(found.answer, near) / len(found.answer)
+                answer = common_length(found.answer, near, own_answer) / len(found.answer)
                 if common >= least_common or answer >= least_with_answer:
                     at = int(place - start[row])
                     value = (common, cosine, -at, (found.item_id, at, min(at + s, int(part.column(k)[row].as_py())), cosine, common, answer))
-                    best[row, id(found)] = max(best.get((row, id(found)), value), value, key=lambda v: v[:3])
+                    best[row, found.nth] = max(best.get((row, found.nth), value), value, key=lambda v: v[:3])
             rows = pa.array([row for row, _ in best], pa.int64())
             made = [v[3] for v in best.values()]
             yield pa.RecordBatch.from_arrays(
