@@ -147,19 +147,17 @@ def _(spark, sf):
 
 @query("update_logs", o.with_ctes(
     o.state_ctes(),
-    """SELECT l.log_id, CASE WHEN b.doc_id IS NOT NULL AND b.quality = 1 THEN 2 ELSE l.pattern_id END AS pattern_id,
+    """SELECT l.log_id, CASE WHEN b.doc_id IS NOT NULL AND b.quality = 1 THEN 2 ELSE coalesce(l.pattern_id, -1) END AS pattern_id,
       CASE WHEN b.doc_id IS NOT NULL THEN b.quality = 1 ELSE l.is_known END AS is_known,
       CASE WHEN b.doc_id IS NOT NULL THEN 'abnormal' ELSE l.classification END AS classification,
       CASE WHEN b.doc_id IS NOT NULL THEN 'warning' ELSE l.severity END AS severity
-    FROM logs l LEFT JOIN labels b ON b.doc_id = l.log_id WHERE coalesce(l.pattern_id, b.doc_id) IS NOT NULL"""))
+    FROM logs l LEFT JOIN labels b ON b.doc_id = l.log_id"""))
 def _(spark, sf):
     updates = table(spark, sf, "labels").select(
         F.col("doc_id").alias("log_id"), F.when(F.col("quality") == 1, F.lit(2).cast("bigint")).alias("pattern_id"),
         (F.col("quality") == 1).alias("is_known"), F.lit("abnormal").alias("classification"), F.lit("warning").alias("severity"))
-    logs = state(spark, sf)["logs"]
-    labelled = updates.select("log_id", F.lit(True).alias("listed"))
-    return matching.update_logs(logs, updates).join(labelled, "log_id", "left").where(
-        "pattern_id is not null or listed").select("log_id", "pattern_id", "is_known", "classification", "severity")
+    return matching.update_logs(state(spark, sf)["logs"], updates).select(
+        "log_id", F.coalesce("pattern_id", F.lit(-1)).alias("pattern_id"), "is_known", "classification", "severity")
 
 
 # --- some hundred patterns and rules -------------------------------------------------

@@ -98,16 +98,16 @@ def _(spark, sf):
 
 @query("patterns_from_logs_mapped", o.with_ctes(
     _STATE + [_REQUESTED],
-    """SELECT l.log_id, coalesce(c.pattern_id, n.pattern_id, l.pattern_id) AS pattern_id, w.log_id IS NOT NULL OR l.is_known AS is_known,
+    """SELECT l.log_id, coalesce(c.pattern_id, n.pattern_id, l.pattern_id, -1) AS pattern_id, w.log_id IS NOT NULL OR l.is_known AS is_known,
       w.log_id IS NOT NULL AS is_manual_mapped, coalesce(w.label, l.classification) AS classification,
       CASE WHEN w.log_id IS NOT NULL THEN w.severity ELSE l.severity END AS severity
     FROM logs l LEFT JOIN wanted_logs w USING (log_id) LEFT JOIN catalog c ON coalesce(c.regex_rule, c.manual_regex_rule) = w.regex
-    LEFT JOIN learned n ON n.regex = w.regex WHERE coalesce(c.pattern_id, n.pattern_id, l.pattern_id) IS NOT NULL"""))
+    LEFT JOIN learned n ON n.regex = w.regex"""))
 def _(spark, sf):
     now = state(spark, sf)
     _, logs, _ = catalog_ops.patterns_from_logs(now["catalog"], now["logs"], _requests(spark, sf), TRIAGE_RUN)
-    return logs.where("pattern_id is not null").select(
-        "log_id", "pattern_id", "is_known", "is_manual_mapped", "classification", "severity")
+    return logs.select(
+        "log_id", F.coalesce("pattern_id", F.lit(-1)).alias("pattern_id"), "is_known", "is_manual_mapped", "classification", "severity")
 
 
 # --- relabel, map, edit --------------------------------------------------------------
@@ -183,7 +183,9 @@ def _(spark, sf):
       CASE WHEN quality = 1 THEN 'warning' ELSE severity END AS severity FROM logs l LEFT JOIN labels b ON b.doc_id = l.log_id"""))
 def _(spark, sf):
     edits = table(spark, sf, "labels").select(F.col("doc_id").alias("log_id"), F.lit("abnormal").alias("classification"),
-                                              F.when(F.col("quality") == 1, "warning").alias("severity"))
+                                              F.when(F.col("quality") == 1, "warning").alias("severity"), F.lit(2).cast("bigint").alias("seq"))
+    # Earlier edits of the same logs, which these replace.
+    edits = edits.unionByName(edits.withColumns({"classification": F.lit("ignore"), "severity": F.lit("info"), "seq": F.lit(1).cast("bigint")}))
     return catalog_ops.edit_logs(state(spark, sf)["logs"], edits, TRIAGE_RUN).select("log_id", "classification", "severity")
 
 
@@ -429,12 +431,13 @@ def _keyword_scorer(batches):
 # --- alerts -----------------------------------------------------------------------------------
 
 @query("pending_alerts", o.with_ctes(
-    _TRIAGE, """SELECT alert_id, log_id, alert_type, l.host, l.classification, l.severity, l.anomaly_reason
-    FROM t_alerts JOIN t_logs l USING (log_id) WHERE status = 'pending'"""))
+    _TRIAGE, f"""SELECT alert_id, log_id, alert_type, l.host, l.component, l.message, l.raw_line, l.classification, l.severity, l.anomaly_reason, {ts_sql('l.ts')},
+      {ts_sql('t_alerts.created_at', 'alerted_at')} FROM t_alerts JOIN t_logs l USING (log_id) WHERE status = 'pending'"""))
 def _(spark, sf):
     now = triaged(spark, sf)
     return alert_ops.pending_alerts(now["alerts"], now["logs"]).select(
-        "alert_id", "log_id", "alert_type", "host", "classification", "severity", "anomaly_reason")
+        "alert_id", "log_id", "alert_type", "host", "component", "message", "raw_line", "classification", "severity", "anomaly_reason",
+        ts_text("ts"), ts_text("alerted_at"))
 
 
 _TEXT_SQL = """'*Alert Type:* ' || alert_type || chr(10) || '*Log ID:* ' || log_id || chr(10) || '*Timestamp:* ' || strftime(l.ts, '%Y-%m-%d %H:%M:%S')
@@ -468,7 +471,9 @@ def _(spark, sf):
 def _(spark, sf):
     labels = table(spark, sf, "labels")
     deliveries = labels.select(F.col("doc_id").alias("log_id"), (F.col("quality") == 1).alias("ok"),
-                               F.concat(F.lit("text "), F.col("doc_id").cast("string")).alias("text"), F.lit("timeout").alias("error"))
+                               F.concat(F.lit("text "), F.col("doc_id").cast("string")).alias("text"), F.lit("timeout").alias("error"), F.lit(1).cast("bigint").alias("seq"))
+    # A second result of the same log comes too late.
+    deliveries = deliveries.unionByName(deliveries.withColumns({"ok": ~F.col("ok"), "text": F.lit("late"), "error": F.lit("late"), "seq": F.lit(2).cast("bigint")}))
     return alert_ops.merge_deliveries(triaged(spark, sf)["alerts"], deliveries, TRIAGE_RUN).select(
         "alert_id", "status", "message", ts_text("sent_at"))
 
