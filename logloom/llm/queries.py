@@ -93,6 +93,21 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS
 FROM marked GROUP BY r, doc_id
 """
 
+SQL["op5_substring_dedup"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+windows AS (
+  SELECT r, i, array_to_string(list_slice(ws, i, i + 34), ' ') AS k FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM d WHERE len(ws) >= 35)),
+twice AS (SELECT r, i AS start FROM windows WHERE k IN (SELECT k FROM windows GROUP BY k HAVING count(*) > 1)),
+marked AS (
+  SELECT r, i, word, coalesce(max(s) OVER (PARTITION BY r ORDER BY i) >= i - 34, FALSE) AS gone
+  FROM (SELECT w.r, w.i, word, t.start AS s FROM w LEFT JOIN twice t ON t.r = w.r AND t.start = w.i))
+SELECT doc_id, count(i)::BIGINT AS n_words, (count(*) FILTER (gone))::BIGINT AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM d LEFT JOIN marked USING (r) GROUP BY r, doc_id
+"""
+
 SQL["op8_chat_format"] = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
