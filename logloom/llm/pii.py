@@ -7,7 +7,9 @@ from the corpus: for an entity c and a term t that stands within ``window`` word
 
 is the share of c's information that t alone gives; 1 means that t never occurs without c.
 p counts documents, all of them. A term is sanitised in documents that name the entity if
-its disclosure reaches the threshold and at least ``support`` different texts show both.
+its disclosure reaches the threshold. Most values stand in one text, so no pair is left out
+for being rare; one seen in fewer than ``support`` different texts is smoothed: its term
+counts as seen without the entity in as many more documents as texts are missing.
 """
 
 from __future__ import annotations
@@ -163,16 +165,14 @@ def disclosing_terms(docs: DataFrame, *, text: str = "text", threshold: float =
     pairs = explode_texts(named, setup, fields, text=text, keep=["k1", "k2"])
     # First a row a text, then a row a pair: copies of a text count as documents, not as support.
     pairs = pairs.groupBy("entity", "term", "k1", "k2").agg(F.count(F.lit(1)).alias("n"))
-    pairs = stage(pairs.groupBy("entity", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support), "pii-pairs")
-    near = pairs.where(F.col("term").isNotNull()).select("entity", "term", F.col("n").alias("both"))
-    if near.isEmpty():
-        return near.select("entity", "term", F.lit(1.0).alias("disclosure"))
+    pairs = stage(pairs.groupBy("entity", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")), "pii-pairs")
+    near = pairs.where(F.col("term").isNotNull()).select("entity", "term", F.col("n").alias("both"), F.greatest(F.lit(support) - F.col("texts"), F.lit(0)).alias("missing"))
     total = docs.count()
     entities = pairs.where(F.col("term").isNull()).select("entity", F.col("n").alias("with_entity"))
     terms = term_documents(docs, text).join(near.select("term").distinct(), "term").withColumnRenamed("n", "with_term")
     every = float(total)
     found = near.join(entities, "entity").join(terms, "term")
-    pmi = F.log(F.col("both") * every / (F.col("with_entity") * F.col("with_term")))
+    pmi = F.log(F.col("both") * every / (F.col("with_entity") * (F.col("with_term") + F.col("missing"))))
     content = -F.log(F.col("with_entity") / every)
     found = found.withColumn("disclosure", F.when(content > 0, pmi / content)).where(F.col("disclosure") >= threshold)
     return stage(found.select("entity", "term", "disclosure"), "pii-terms")
@@ -196,17 +196,26 @@ def find(docs: DataFrame, *, text: str = "text", threshold: float = 0.8, support
     docs = docs.select(*[quoted(c) for c in docs.columns if c.lower() != "pii_spans"])
     revealing = disclosing_terms(docs.select(quoted(text).alias("text")), threshold=threshold, support=support, window=window)
 
-    def entities():
+    def contents():
         def of(texts):
-            found = [(row, e) for row, t in enumerate(texts.to_pylist()) for e in sorted({entity_key(k, t[a:b]) for k, a, b in base_spans(t)})]
-            return np.array([r for r, _ in found], np.int64), [pa.array([e for _, e in found], pa.int64())]
+            rows, entities, terms = [], [], []
+            for row, t in enumerate(texts.to_pylist()):
+                if spans := base_spans(t):
+                    rows.append(row)
+                    entities.append(sorted({entity_key(k, t[a:b]) for k, a, b in spans}))
+                    terms.append(sorted({term_key(term) for w in set(_WORD.findall(t)) if (term := term_of(w))}))
+            return np.array(rows, np.int64), [pa.array(entities, pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.int64()))]
 
         return of
 
     held = likely(quoted(text))
     some = docs.where(held).select(quoted(text).alias("text"), *text_key(quoted(text)))
-    named = explode_texts(some, entities, [T.StructField("entity", T.LongType())], keep=["k1", "k2"]).distinct()
-    reveals = named.join(revealing.select("entity", "term"), "entity").groupBy("k1", "k2").agg(F.collect_set("term").alias("terms"))
+    keys = [T.StructField(c, T.ArrayType(T.LongType())) for c in ("entities", "held_terms")]
+    contained = stage(explode_texts(some, contents, keys, keep=["k1", "k2"]), "pii-texts")
+    named, holding = (contained.select("k1", "k2", F.explode(c).alias(n)).distinct() for c, n in (("entities", "entity"), ("held_terms", "term")))
+    # By the terms a text holds: an entity of many texts has terms from all of them, few of them in any one.
+    reveals = holding.join(revealing.select("entity", "term"), "term").join(named, ["k1", "k2", "entity"], "left_semi") \
+        .groupBy("k1", "k2").agg(F.collect_set("term").alias("terms"))
     k1, k2, terms = (free_name(c, [*docs.columns, "pii_spans"]) for c in ("text_key", "text_key_again", "revealing_terms"))
     a, b = text_key(quoted(text))
     keyed = docs.where(held).withColumns({k1: a, k2: b}).join(

@@ -201,6 +201,45 @@ def test_sanitising(spark, docs, rows, empty):
     assert "[TERM]" not in removed[500] and "nightingale" not in removed[500]
 
 
+def test_terms_of_rare_entities(spark):
+    """Disclosure by its formula over all documents, for entities of one, two and more texts."""
+    texts = [prose(700 + i, 25) for i in range(300)]
+    texts += ["Reached Nightingale-X, by jd@ex.org today. " + prose(41, 30) + " codename", f"{prose(42, 20)} kestrel +1 (202) 555-0100 {prose(43, 20)}",
+              f"{prose(44, 20)} kestrel +12025550100 osprey {prose(45, 20)}"]
+    texts += [f"{prose(46, 15)} robin 10.1.2.3 {prose(47, 15)}"] * 3 + [f"{prose(900 + i, 20)} heron 10.9.9.9 {prose(920 + i, 20)}" for i in range(5)] + ["heron", "", None]
+    base = [[(pii.entity_key(k, t[a:b]), a, b) for k, a, b in simple_spans(t or "")] for t in texts]
+    term = lambda w: w.strip(pii.EDGES).lower()
+    with_entity, with_term, both, seen = Counter(), Counter(), Counter(), defaultdict(set)
+    for t, spans in zip(texts, base):
+        t = t or ""
+        with_entity.update({e for e, _, _ in spans})
+        with_term.update({term(w) for w in words(t)})
+        at = [(m.start(), m.end()) for m in WORD.finditer(t)]
+        free = [term(t[a:b]) if not any(a < y and x < b for _, x, y in spans) else "" for a, b in at]
+        pairs = set()
+        for e, x, y in spans:
+            before, after = [w for (_, b), w in zip(at, free) if b <= x][-10:], [w for (a, _), w in zip(at, free) if a >= y][:10]
+            pairs |= {(e, w) for w in before + after if w}
+        both.update(pairs)
+        for p in pairs:
+            seen[p].add(t)
+    n = len(texts)
+    want = {}
+    for (e, w), k in both.items():
+        d = np.log(k * n / (with_entity[e] * (with_term[w] + max(0, 3 - len(seen[e, w]))))) / -np.log(with_entity[e] / n)
+        if d >= 0.8:
+            want[e, pii.term_key(w)] = d
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {(r.entity, r.term): r.disclosure for r in pii.disclosing_terms(df).collect()}
+    assert got == pytest.approx(want)
+    found = {r.doc_id: {texts[r.doc_id][s.start:s.end].lower() for s in r.pii_spans if s.kind == "term"} for r in pii.find(df).collect()}
+    shown = {e: {w for w in with_term if (e, pii.term_key(w)) in want} for e in with_entity}
+    for i, (t, spans) in enumerate(zip(texts, base)):
+        assert found[i] == {term(w) for w in words(t)} & set().union(*(shown[e] for e, _, _ in spans))
+    assert "nightingale-x" in found[300] and "codename" not in found[300]
+    assert all("kestrel" in found[i] for i in (301, 302)) and all("robin" in found[i] for i in (303, 304, 305)) and all("heron" in found[i] for i in range(306, 311)) and not found[311]
+
+
 def test_statistics(docs, rows, empty):
     def stats(t):
         t = t or ""
