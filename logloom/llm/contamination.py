@@ -7,7 +7,10 @@
    leading right singular vectors. Divided by their singular values they weigh topics and
    languages, which all passages share, no more than what tells items apart. Tasks sum their own part; the driver sees matrices of
    the size of the vocabulary, never of the corpus.
-3. Windows of several lengths slide over every document. Prefix sums of latent word vectors
+3. Windows of several lengths, for each item one hardly longer than it and one with room for
+   words put in, slide over every document. Places where two neighbours that
+   are rare in the corpus stand as in the item are candidates at any cosine: an item of two words or more that stands
+   unchanged is never missed. Prefix sums of latent word vectors
    give each window's vector in one subtraction; windows whose cosine with an item of
    their length is high are candidates.
 4. A candidate is a leak if the longest common subsequence with the item covers enough of
@@ -29,6 +32,8 @@ from logloom.llm.arrow_text import distinct_words, map_texts, quoted, split_word
 from logloom.session import stage
 
 PASSAGE, RANK, OVERSAMPLE = 64, 64, 8
+#: Pairs of neighbours by which an item is looked for besides its windows.
+ANCHORS = 4
 #: Word occurrences that a task holds as latent vectors at once.
 HELD = 1 << 16
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|"
@@ -232,6 +237,21 @@ def _scale(n: int) -> int:
     return s
 
 
+def _scales(n: int) -> set[int]:
+    """The windows for an item of ``n`` words: the power of two, and the least of 5, 6 and 7 eighths of it that holds the item."""
+    s = _scale(n)
+    return {s, next((s * k // 8 for k in (5, 6, 7) if s * k // 8 >= n), s)} if s > 8 else {s}
+
+
+def anchors_of(items: list[Item], counts: np.ndarray) -> list[tuple[int, int, int]]:
+    """(key of two neighbours, item, place of the first in it), sorted: the pairs of each item whose rarer term is in the fewest passages."""
+    out = []
+    for i in items:
+        pairs = sorted(range(len(i.terms) - 1), key=lambda j: (min(counts[i.terms[j]], counts[i.terms[j + 1]]), j))
+        out += [(i.terms[j] << 32 | i.terms[j + 1], i.nth, j) for j in pairs[:ANCHORS]]
+    return sorted(out)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item: str = "item_id", item_text: str = "text",
           least_cosine: float = 0.45, least_common: float = 0.7, least_with_answer: float = 0.6, rank: int = RANK) -> DataFrame:
     """``keep``, item_id, first_word, last_word, cosine, common, answer: a row for each document and item found in it.
@@ -254,8 +274,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: tu
     counts, total = frequencies(coded, len(vocabulary))
     weights = inverse_frequencies(items, counts, total)
     vectors = latent_vectors(coded, weights, rank=rank) * weights[:, None]
-    scales = sorted({_scale(len(i.terms)) for i in items})
-    of_scale = {s: [i for i in items if _scale(len(i.terms)) == s] for s in scales}
+    scales = sorted(set().union(*(_scales(len(i.terms)) for i in items)))
+    of_scale = {s: [i for i in items if s in _scales(len(i.terms))] for s in scales}
 
     def unit(rows):
         rows = rows.astype(np.float32)
@@ -264,14 +284,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: tu
     wanted = {s: unit(np.stack([vectors[i.terms].sum(axis=0) for i in group])) for s, group in of_scale.items()}
     k = len(names)
 
+    anchors = anchors_of(items, counts)
+    anchor_keys = np.array([a[0] for a in anchors], np.int64)
+    alone = unit(np.stack([vectors[i.terms].sum(axis=0) for i in items]))
+
     bits = {i.nth: (bits_of(i.terms), bits_of(i.answer)) for i in items}
 
     def candidates(terms, places, start, cut):
-        """(row, place, scale, item, cosine, occurrences around it) of windows close to an item."""
+        """(row, place, scale, item, cosine, occurrences around it) of windows close to an item, or where an anchor of it stands."""
         end = int(start[-1])
         held = weights[terms] > 0
         at, sums = places[held], np.zeros((int(held.sum()) + 1, vectors.shape[1]))
         np.cumsum(vectors[terms[held]], axis=0, out=sums[1:])
+        pair = terms[:-1].astype(np.int64) << 32 | terms[1:]
+        first, last = np.searchsorted(anchor_keys, pair), np.searchsorted(anchor_keys, pair, "right")
+        for x in np.flatnonzero(last > first).tolist():
+            row = int(np.searchsorted(cut, x, "right")) - 1
+            for _, nth, j in anchors[first[x]:last[x]] if x + 1 < cut[row + 1] else ():
+                s = min(_scales(len(items[nth].terms)))
+                place = max(int(places[x]) - j, int(start[row]))
+                lo, hi = np.searchsorted(at, (place, place + s))
+                lo_near, hi_near = np.searchsorted(places, (place + s // 2 - _scale(s), place + s // 2 + _scale(s)))
+                yield row, place, s, items[nth], float(unit((sums[hi] - sums[lo])[None])[0] @ alone[nth]), max(lo_near, cut[row]), min(hi_near, cut[row + 1])
         for s in scales:
             for block in range(0, end, (s // 4) << 15):
                 starts = np.arange(block, min(end, block + ((s // 4) << 15)), s // 4)
@@ -281,9 +315,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: tu
                 w, i = np.nonzero(cosine >= least_cosine)
                 place = starts[some[w]]
                 row = np.searchsorted(start, place, "right") - 1
-                # Half a window more on either side, inside the document.
-                lo = np.maximum(np.searchsorted(places, place - s // 2), cut[row])
-                hi = np.minimum(np.searchsorted(places, place + s + s // 2), cut[row + 1])
+                # A power of two on either side of the middle, inside the document.
+                lo = np.maximum(np.searchsorted(places, place + s // 2 - _scale(s)), cut[row])
+                hi = np.minimum(np.searchsorted(places, place + s // 2 + _scale(s)), cut[row + 1])
                 for r, p, k, value, a, b in zip(row.tolist(), place.tolist(), i.tolist(), cosine[w, i].tolist(), lo.tolist(), hi.tolist()):
                     yield r, p, s, of_scale[s][k], value, a, b
 

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -156,6 +157,38 @@ def test_leaks(spark, docs, empty):
     assert contamination.leaks(empty, bench).count() == 0 and contamination.leaks(docs, bench.where("item_id in (2, 3)")).count() == 0
 
 
+def test_recall_of_leaks(spark):
+    """Items put into random documents, as they are and changed, against the common subsequence with the whole document."""
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()]
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text is not null").orderBy("doc_id").select("text").collect()]
+    r = random.Random(5)
+    pool = [w for t in texts[:2000] for w in t.split()]
+    planted = []
+    for item_id, text in items:
+        for kind in ["exact"] * 15 + ["inserted", "substituted"] * 8:
+            w = text.split()
+            for _ in range(len(w) // 4 if kind == "inserted" else 0):
+                w.insert(r.randrange(len(w) + 1), r.choice(pool))
+            for k in r.sample(range(len(w)), len(w) // 4) if kind == "substituted" else []:
+                w[k] = r.choice(pool)
+            d = r.choice(texts).split()[:400]
+            at = r.randrange(len(d) + 1)
+            planted.append((kind, item_id, " ".join(d[:at] + w + d[at:])))
+    rows = [(-1, t) for t in texts] + [(i, t) for i, (_, _, t) in enumerate(planted)]
+    df = spark.createDataFrame(pa.table({"doc_id": [d for d, _ in rows], "text": [t for _, t in rows]})).repartition(16)
+    got = {(x.doc_id, x.item_id) for x in contamination.leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    of, lost, tried = {i: contamination.terms_of(t) for i, t in items}, Counter(), Counter()
+    for n, (kind, item_id, text) in enumerate(planted):
+        own = of[item_id]
+        if contamination.common_length(own, contamination.terms_of(text)) >= 0.7 * len(own):
+            for key in (kind, f"{kind}, just above a power of two") if len(own) in {*range(17, 21), *range(33, 41)} else (kind,):
+                tried[key] += 1
+                lost[key] += (n, item_id) not in got
+    print({k: f"{lost[k]} of {tried[k]} lost" for k in tried})
+    assert len(tried) == 6 and lost["exact"] == 0
+    assert all(lost[k] <= 0.003 * tried[k] for k in tried)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 5), max_size=12), st.lists(st.integers(0, 5), max_size=12))
 def test_common_subsequence(a, b):
