@@ -28,14 +28,14 @@ def chunks(text: bytes) -> list[bytes]:
     return [text[i:i + CHUNK] for i in range(0, len(text), CHUNK)]
 
 
-def train(samples: list[bytes]) -> bytes:
-    """A dictionary of the samples; too few for training are taken as they are."""
+def train(samples: list[bytes], size: int = DICTIONARY) -> bytes:
+    """A dictionary of at most ``size`` bytes of the samples; too few for training are taken as they are."""
     import zstandard
 
     try:
-        return zstandard.train_dictionary(DICTIONARY, samples, level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(samples)[-DICTIONARY:]
+        return b"".join(samples)[-size:]
 
 
 def compressor(dictionary: bytes):
@@ -88,9 +88,13 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / scale), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", usable: Column | None = None, per_label: int = 2000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", usable: Column | None = None, per_label: int = 2000,
+        chunks_kept: int = CHUNKS_KEPT, dictionary_bytes: int = DICTIONARY) -> Model:
     """Learn from at most ``per_label`` documents of each label, chosen by a hash of doc_id.
 
+    Every other one of them goes to the dictionary of its label, with at most ``chunks_kept`` chunks of 512
+    bytes, those of least crc32; a dictionary has at most ``dictionary_bytes``. The rest calibrates.
+
     ``usable`` says which rows of ``labels`` may be learned from. A document with both
     labels counts as 0; one with several rows gives its least text. With one label only, or
     none, every text gets the same score: the share of label 1, or 0.5.
@@ -116,13 +120,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", usable: Colum
         def of(texts):
             out = []
             for t in texts.cast(pa.large_binary()).to_pylist():
-                out.append(sorted((c for c in chunks(t) if len(c) >= 16), key=lambda c: (zlib.crc32(c), c))[:CHUNKS_KEPT])
+                out.append(sorted((c for c in chunks(t) if len(c) >= 16), key=lambda c: (zlib.crc32(c), c))[:chunks_kept])
             return [pa.array(out, pa.list_(pa.binary()))]
         return of
 
     pieces = map_texts(sampled(first), pick, [T.StructField("pieces", T.ArrayType(T.BinaryType()))], keep=["doc_id"]).collect()
     pieces.sort(key=lambda r: r["doc_id"])
-    dictionaries = [train([bytes(c) for r in pieces if quality[r["doc_id"]] == q for c in r["pieces"]]) for q in (1, 0)]
+    dictionaries = [train([bytes(c) for r in pieces if quality[r["doc_id"]] == q for c in r["pieces"]], dictionary_bytes) for q in (1, 0)]
     rest = set(quality) - first if all(len(ids) > 1 for ids in turn.values()) else set(quality)
     plain = Model(*dictionaries, 0.0, 0.0, 0.0)
 

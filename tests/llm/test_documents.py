@@ -329,6 +329,14 @@ def test_compression_learns(labelled, docs, empty):
     assert {r.score for r in quality_compression.score(docs, none).collect()} == {0.5}
 
 
+def test_bounds_of_dictionaries(labelled):
+    labels = labelled.select("doc_id", "quality")
+    small = quality_compression.fit(labelled, labels, chunks_kept=1, dictionary_bytes=4096)
+    assert 0 < len(small.good) <= 4096 and 0 < len(small.bad) <= 4096
+    named = quality_compression.fit(labelled, labels, chunks_kept=8, dictionary_bytes=1 << 16)
+    assert named == quality_compression.fit(labelled, labels) and len(named.good) > 4096
+
+
 @pytest.mark.parametrize("name", list(queries.SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
