@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
 from logloom.operators.joins import max_id
@@ -39,7 +39,11 @@ class Store:
 
     def has(self, source: str, epoch: int) -> bool:
         """Whether an epoch of a stream was committed."""
-        return any(r["source"] == source and r["epoch"] == epoch for r in self.commits())
+        try:
+            rows = self.spark.read.schema(_COMMITS).parquet(f"{self.root}/commits")
+            return not rows.where((F.col("source") == source) & (F.col("epoch") == epoch)).isEmpty()
+        except AnalysisException:
+            return False
 
     def committed(self) -> list[int]:
         return [r["batch_id"] for r in self.commits()]

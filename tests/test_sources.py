@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from logloom.schemas import CATALOG, RULES
@@ -148,3 +149,12 @@ def test_exports(spark, tmp_path):
     exports.to_json(df, str(tmp_path / "json"))
     rows = [json.loads(line) for f in (tmp_path / "json").glob("*.json") for line in f.read_text().splitlines()]
     assert {"log_id": 1, "message": 'say "hi", all\nof you', "severity": None} in rows
+
+
+def test_epochs_are_looked_up_without_the_log(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "state"))
+    assert not store.has("a", 0)
+    for batch, (source, epoch) in enumerate([("a", 0), ("b", 1), (None, None)]):
+        store.commit(batch, {}, dt.datetime(2025, 1, 1), source=source, epoch=epoch)
+    monkeypatch.setattr(Store, "commits", lambda self: pytest.fail("the commit log was collected"))
+    assert [store.has(*x) for x in (("a", 0), ("b", 1), ("a", 1), ("b", 0))] == [True, True, False, False]
