@@ -113,6 +113,18 @@ def joined_words(words: pa.Array, before: np.ndarray) -> pa.Array:
     return pc.binary_join(lists, " ")
 
 
+def map_in_arrow(df: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` whatever the columns are called, dots included; ``run`` goes by the order of columns."""
+    given, plain = [f"c{i}" for i in range(len(df.columns))], [f"c{i}" for i in range(len(schema))]
+
+    def unnamed(batches):
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=plain)
+
+    made = T.StructType([T.StructField(n, f.dataType) for n, f in zip(plain, schema)])
+    return df.toDF(*given).mapInArrow(unnamed, made).toDF(*schema.names)
+
+
 def _prepared(df: DataFrame, fields: list[T.StructField], text: str, keep: list[str] | None, extra: list[str]) -> tuple[DataFrame, list[T.StructField]]:
     """The columns a function over texts needs: those that pass through, the extra ones, the text last."""
     new = {f.name.lower() for f in fields}
@@ -142,7 +154,7 @@ def map_texts(df: DataFrame, setup: Callable[[], Callable[..., list[pa.Array]]],
             columns = made(as_texts(piece.column(piece.num_columns - 1)), *piece.columns[k:-1])
             yield pa.RecordBatch.from_arrays([*piece.columns[:k], *columns], names=names)
 
-    return source.mapInArrow(run, T.StructType(kept + fields))
+    return map_in_arrow(source, run, T.StructType(kept + fields))
 
 
 def explode_texts(df: DataFrame, setup: Callable[[], Callable[..., tuple[np.ndarray, list[pa.Array]]]], fields: list[T.StructField], *,
@@ -158,7 +170,7 @@ def explode_texts(df: DataFrame, setup: Callable[[], Callable[..., tuple[np.ndar
             rows = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([*[c.take(rows) for c in piece.columns[:k]], *columns], names=names)
 
-    return source.mapInArrow(run, T.StructType(kept + fields))
+    return map_in_arrow(source, run, T.StructType(kept + fields))
 
 
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
