@@ -26,9 +26,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from logloom.llm.arrow_text import distinct_words, map_texts, quoted, split_words
+from logloom.llm.arrow_text import map_in_arrow, map_texts, quoted, ragged, split_words
 from logloom.session import stage
 
 PASSAGE, RANK, OVERSAMPLE = 64, 64, 8
@@ -39,12 +40,13 @@ HELD = 1 << 16
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|"
 
 
-def term_of(word: str) -> str:
-    return word.strip(EDGES).lower()
+def as_terms(words: pa.Array) -> pa.Array:
+    """Words in lower case, punctuation at their ends off."""
+    return pc.utf8_lower(pc.utf8_trim(words, EDGES))
 
 
 def terms_of(text: str) -> list[str]:
-    return [t for w in re.findall(r"[^\x20\x09-\x0D]+", text) if (t := term_of(w))]
+    return [t for t in as_terms(pa.array(re.findall(r"[^\x20\x09-\x0D]+", text), pa.large_string())).to_pylist() if t]
 
 
 @dataclass(frozen=True)
@@ -77,11 +79,9 @@ def bits_of(terms: list[int]) -> dict[int, int]:
     return places
 
 
-def common_length(of: list[int], among: list[int], places: dict[int, int] | None = None, least: float = 0) -> int:
-    """Length of the longest common subsequence; 0 if too few words of ``among`` are common for ``least``."""
+def common_length(of: list[int], among: list[int], places: dict[int, int] | None = None) -> int:
+    """Length of the longest common subsequence."""
     places = bits_of(of) if places is None else places
-    if least and sum(map(places.__contains__, among)) < least:
-        return 0
     full = (1 << len(of)) - 1
     open_ = full
     for t in among:
@@ -95,11 +95,13 @@ def _coded(docs: DataFrame, vocabulary: dict[str, int], text: str, keep: list[st
     """``keep``, n_words, and for each word of the vocabulary its number and the gap to the one before."""
 
     def setup():
+        known = pa.array(list(vocabulary), pa.large_string())  # in order of their numbers
+
         def of(texts):
             words, before = split_words(texts)
-            distinct, codes = distinct_words(words)
-            numbers = np.fromiter((vocabulary.get(term_of(w), -1) for w in distinct), np.int32, len(distinct))
-            term = numbers[codes] if len(codes) else np.zeros(0, np.int32)
+            encoded = words.dictionary_encode()
+            numbers = pc.index_in(as_terms(encoded.dictionary), known).fill_null(-1).to_numpy(zero_copy_only=False)
+            term = numbers[encoded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int32)
             at = np.flatnonzero(term >= 0)
             bounds = np.searchsorted(at, before).astype(np.int32)
             row = np.repeat(np.arange(len(texts)), np.diff(bounds))
@@ -166,7 +168,7 @@ def _summed(coded: DataFrame, part, size: int, width: int) -> np.ndarray:
             pa.array((np.arange(len(rows) + 1) * width).astype(np.int32)), pa.array(total[rows].reshape(-1)))], names=["r", "x"])
 
     out = np.zeros((size, width))
-    sums = coded.select("n_words", "terms", "gaps").mapInArrow(run, "r long, x array<double>")
+    sums = map_in_arrow(coded.select("n_words", "terms", "gaps"), run, T.StructType([T.StructField("r", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType()))]))
     for row in sums.groupBy("r").agg(F.array(*[F.sum(F.get("x", F.lit(j))) for j in range(width)]).alias("x")).collect():
         out[row["r"]] = row["x"]
     return out
@@ -201,13 +203,14 @@ def latent_vectors(coded: DataFrame, weights: np.ndarray, *, rank: int = RANK, o
     """Leading right singular vectors (terms x rank) of the TF-IDF matrix of all passages, each divided by its singular value."""
     size = len(weights)
     width = min(rank + oversample, size)
+    single = np.float32  # inside a task; sums over tasks are doubles
 
     def rows_of(basis, terms, places):
         passage, term, value = _passages(terms, places, weights)
         if not len(passage):
             return passage, term, value, np.zeros((0, width))
         starts = np.flatnonzero(np.diff(passage, prepend=-1))
-        return passage, term, value, np.add.reduceat(basis[term] * value[:, None], starts)
+        return passage, term, value.astype(single), np.add.reduceat(basis[term] * value.astype(single)[:, None], starts)
 
     def sketch(terms, places):
         passage, term, value, rows = rows_of(start, terms, places)
@@ -219,14 +222,15 @@ def latent_vectors(coded: DataFrame, weights: np.ndarray, *, rank: int = RANK, o
         return out
 
     def gram(terms, places):
-        *_, rows = rows_of(basis, terms, places)
+        *_, rows = rows_of(leading, terms, places)
         return rows.T @ rows
 
-    start = np.random.default_rng(seed).standard_normal((size, width))
+    start = np.random.default_rng(seed).standard_normal((size, width)).astype(single)
     basis = np.linalg.qr(_summed(coded, sketch, size, width))[0]
+    leading = basis.astype(single)
     values, turn = np.linalg.eigh(_summed(coded, gram, width, width))
-    leading = [j for j in np.argsort(-values)[:rank] if values[j] > 1e-9 * values.max()]
-    return basis @ turn[:, leading] / np.sqrt(values[leading])
+    kept = [j for j in np.argsort(-values)[:rank] if values[j] > 1e-6 * values.max()]
+    return basis @ turn[:, kept] / np.sqrt(values[kept])
 
 
 def _scale(n: int) -> int:
@@ -285,50 +289,82 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: tu
     k = len(names)
 
     anchors = anchors_of(items, counts)
-    anchor_keys = np.array([a[0] for a in anchors], np.int64)
+    anchor_keys, anchor_item, anchor_place = (np.array([x[j] for x in anchors], np.int64) for j in range(3))
     alone = unit(np.stack([vectors[i.terms].sum(axis=0) for i in items]))
-
+    narrow = np.array([min(_scales(len(i.terms))) for i in items], np.int64)
+    reach = {s: _scale(s) for s in scales}
+    nths = {s: np.array([i.nth for i in group], np.int64) for s, group in of_scale.items()}
     bits = {i.nth: (bits_of(i.terms), bits_of(i.answer)) for i in items}
+    # Words in common that a place needs at least, and how often a word stands in an item, by hash of the pair: perhaps too many, never too few.
+    needed = np.array([np.ceil(least_with_answer * len(i.terms) - 1e-9) for i in items], np.int64)
+    pairs, often = np.unique(np.concatenate([i.nth * len(vocabulary) + np.array(i.terms, np.int64) for i in items]), return_counts=True)
+    slots = np.int64((1 << max(10, int(16 * len(pairs)).bit_length())) - 1)
+    slot_of = lambda pair: (pair * np.int64(0x9E3779B1) >> np.int64(7)) & slots
+    times = np.zeros(slots + 1, np.int32)
+    np.maximum.at(times, slot_of(pairs), often)
+
+    def around(places, place, s, row, cut):
+        """The occurrences in a power of two of places on either side of a window's middle, inside the document."""
+        wide = np.array([reach[x] for x in scales])[np.searchsorted(scales, s)]
+        lo = np.searchsorted(places, place + s // 2 - wide)
+        return np.maximum(lo, cut[row]), np.minimum(np.searchsorted(places, place + s // 2 + wide), cut[row + 1])
 
     def candidates(terms, places, start, cut):
-        """(row, place, scale, item, cosine, occurrences around it) of windows close to an item, or where an anchor of it stands."""
+        """Arrays (row, place, scale, item, cosine) of windows close to an item, or where an anchor of it stands."""
         end = int(start[-1])
         held = weights[terms] > 0
         at, sums = places[held], np.zeros((int(held.sum()) + 1, vectors.shape[1]))
         np.cumsum(vectors[terms[held]], axis=0, out=sums[1:])
         pair = terms[:-1].astype(np.int64) << 32 | terms[1:]
-        first, last = np.searchsorted(anchor_keys, pair), np.searchsorted(anchor_keys, pair, "right")
-        for x in np.flatnonzero(last > first).tolist():
-            row = int(np.searchsorted(cut, x, "right")) - 1
-            for _, nth, j in anchors[first[x]:last[x]] if x + 1 < cut[row + 1] else ():
-                s = min(_scales(len(items[nth].terms)))
-                place = max(int(places[x]) - j, int(start[row]))
-                lo, hi = np.searchsorted(at, (place, place + s))
-                lo_near, hi_near = np.searchsorted(places, (place + s // 2 - _scale(s), place + s // 2 + _scale(s)))
-                yield row, place, s, items[nth], float(unit((sums[hi] - sums[lo])[None])[0] @ alone[nth]), max(lo_near, cut[row]), min(hi_near, cut[row + 1])
+        first = np.searchsorted(anchor_keys, pair)
+        x = np.flatnonzero((anchor_keys[np.minimum(first, len(anchors) - 1)] == pair) if len(anchors) else np.zeros(len(pair), bool))
+        row = np.searchsorted(cut, x, "right") - 1
+        x, row = x[x + 1 < cut[row + 1]], row[x + 1 < cut[row + 1]]
+        count = np.searchsorted(anchor_keys, pair[x], "right") - first[x]
+        hit = ragged(first[x], count)
+        x, row, nth = np.repeat(x, count), np.repeat(row, count), anchor_item[hit]
+        place = np.maximum(places[x] - anchor_place[hit], start[row])
+        lo, hi = np.searchsorted(at, place), np.searchsorted(at, place + narrow[nth])
+        yield row, place, narrow[nth], nth, np.einsum("ij,ij->i", unit(sums[hi] - sums[lo]), alone[nth])
+        upto = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=end + scales[-1]))]).astype(np.int32)
         for s in scales:
             for block in range(0, end, (s // 4) << 15):
                 starts = np.arange(block, min(end, block + ((s // 4) << 15)), s // 4)
-                lo, hi = np.searchsorted(at, starts), np.searchsorted(at, starts + s)
+                lo, hi = upto[starts], upto[starts + s]
                 some = np.flatnonzero(hi > lo)
                 cosine = unit(sums[hi[some]] - sums[lo[some]]) @ wanted[s].T
                 w, i = np.nonzero(cosine >= least_cosine)
                 place = starts[some[w]]
-                row = np.searchsorted(start, place, "right") - 1
-                # A power of two on either side of the middle, inside the document.
-                lo = np.maximum(np.searchsorted(places, place + s // 2 - _scale(s)), cut[row])
-                hi = np.minimum(np.searchsorted(places, place + s // 2 + _scale(s)), cut[row + 1])
-                for r, p, k, value, a, b in zip(row.tolist(), place.tolist(), i.tolist(), cosine[w, i].tolist(), lo.tolist(), hi.tolist()):
-                    yield r, p, s, of_scale[s][k], value, a, b
+                yield np.searchsorted(start, place, "right") - 1, place, np.full(len(w), s), nths[s][i], cosine[w, i]
+
+    def possible(terms, places, cut, found):
+        """Candidates with enough words of their item around them: (row, place, scale, item, cosine, occurrences)."""
+        row, place, s, nth, cosine = found
+        a, b = around(places, place, s, row, cut)
+        # 2^20 occurrences at a time.
+        bounds = np.searchsorted(np.cumsum(np.maximum(b - a, 0)) >> 20, np.arange(int(np.maximum(b - a, 0).sum() >> 20) + 2))
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            part = np.arange(lo, hi)[b[lo:hi] - a[lo:hi] >= needed[nth[lo:hi]]]
+            size = b[part] - a[part]
+            of, term = np.repeat(np.arange(len(part)), size), terms[ragged(a[part], size)]
+            own = times[slot_of(nth[part][of] * len(vocabulary) + term)] > 0
+            enough = np.bincount(of[own], minlength=len(part)) >= needed[nth[part]]
+            # Each word of the item counts as often as the item has it, however often it stands here.
+            own &= enough[of]
+            key = np.unique(of[own] * len(vocabulary) + term[own])
+            of, term = key // len(vocabulary), key % len(vocabulary)
+            part = part[np.bincount(of, times[slot_of(nth[part][of] * len(vocabulary) + term)], minlength=len(part)) >= needed[nth[part]]]
+            yield from zip(*(x[part].tolist() for x in (row, place, s, nth, cosine, a, b)))
 
     def run(batches):
         # A document's places are followed by more room than the longest window, so no window meets two.
         for part, terms, places, start, cut in _pieces(batches, k, 2 * scales[-1]):
             best: dict[tuple[int, int], tuple] = {}
             listed = terms.tolist()
-            for row, place, s, found, cosine, lo, hi in candidates(terms, places, start, cut):
-                near, (own, own_answer) = listed[lo:hi], bits[found.nth]
-                common = common_length(found.terms, near, own, least_with_answer * len(found.terms)) / len(found.terms)
+            passing = (c for found in candidates(terms, places, start, cut) for c in possible(terms, places, cut, found))
+            for row, place, s, nth, cosine, lo, hi in passing:
+                found, near, (own, own_answer) = items[nth], listed[lo:hi], bits[nth]
+                common = common_length(found.terms, near, own) / len(found.terms)
                 if common < least_with_answer:
                     continue
                 answer = common_length(found.answer, near, own_answer) / len(found.answer)
@@ -342,4 +378,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: tu
                 [*[part.column(j).take(rows) for j in range(k)], *[pa.array([m[j] for m in made], kind) for j, kind in enumerate(
                     [pa.int64()] * 3 + [pa.float64()] * 3)]], names=schema.names)
 
-    return coded.select(*[quoted(f.name) for f in names], "n_words", "terms", "gaps").mapInArrow(run, schema)
+    return map_in_arrow(coded.select(*[quoted(f.name) for f in names], "n_words", "terms", "gaps"), run, schema)
