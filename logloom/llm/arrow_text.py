@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import itertools
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
@@ -113,13 +116,30 @@ def joined_words(words: pa.Array, before: np.ndarray) -> pa.Array:
     return pc.binary_join(lists, " ")
 
 
-def map_in_arrow(df: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
-    """``mapInArrow`` whatever the columns are called, dots included; ``run`` goes by the order of columns."""
+@functools.lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    """glibc's malloc_trim, where the C library has it."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Hand freed memory back to the system: workers live on between tasks, and with them what they once needed."""
+    pa.default_memory_pool().release_unused()
+    if (trim := _trim()) is not None:
+        trim(0)
+
+
+def map_in_arrow(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` whatever the columns are called, dots included; ``run`` goes by the order of columns. Memory is released when a task ends."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     given, plain = [f"c{i}" for i in range(len(df.columns))], [f"c{i}" for i in range(len(schema))]
 
     def unnamed(batches):
-        for batch in run(batches):
-            yield pa.RecordBatch.from_arrays(batch.columns, names=plain)
+        try:
+            for batch in run(batches):
+                yield pa.RecordBatch.from_arrays(batch.columns, names=plain)
+        finally:
+            release()
 
     made = T.StructType([T.StructField(n, f.dataType) for n, f in zip(plain, schema)])
     return df.toDF(*given).mapInArrow(unnamed, made).toDF(*schema.names)
@@ -196,6 +216,55 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
+class WordTable:
+    """Values of words, each a run of 32-bit numbers, under 128-bit hashes in sorted arrays: about 30 bytes a word.
+
+    ``make`` gives the values of words that aren't remembered; words of at most ``longest``
+    characters are remembered until there are ``most`` of them.
+    """
+
+    def __init__(self, make: Callable[[list[str]], Iterable[Sequence[int]]], most: int, longest: int):
+        self.make, self.most, self.longest = make, most, longest
+        self.high = self.low = np.zeros(0, np.uint64)
+        self.starts, self.values = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The values of all words one after another, and where each word's values start, the end included."""
+        if not words:
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
+        at = np.searchsorted(self.high, hashes[:, 0])
+        held = np.minimum(at, max(len(self.high) - 1, 0))
+        known = (self.high[held] == hashes[:, 0]) & (self.low[held] == hashes[:, 1]) if len(self.high) else np.zeros(len(words), bool)
+        new = np.flatnonzero(~known)
+        made = list(self.make([words[i] for i in new.tolist()])) if len(new) else []
+        lengths = np.zeros(len(words), np.int64)
+        lengths[known] = np.diff(self.starts)[held[known]]
+        lengths[new] = [len(m) for m in made]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        out = np.empty(ends[-1], np.uint32)
+        out[ragged(ends[:-1][known], lengths[known])] = self.values[ragged(self.starts[held[known]], lengths[known])]
+        flat = np.fromiter(itertools.chain.from_iterable(made), np.uint32, int(lengths[new].sum()))
+        out[ragged(ends[new], lengths[new])] = flat
+        short = np.fromiter((len(words[i]) <= self.longest for i in new.tolist()), bool, len(new))
+        self._remember(hashes[new[short]], flat[ragged((np.cumsum(lengths[new]) - lengths[new])[short], lengths[new[short]])], lengths[new[short]])
+        return out, ends
+
+    def _remember(self, hashes: np.ndarray, values: np.ndarray, lengths: np.ndarray) -> None:
+        room = max(self.most - len(self.high), 0)
+        hashes, lengths = hashes[:room], lengths[:room]
+        if not len(hashes):
+            return
+        starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
+        values = np.concatenate([self.values, values[:lengths.sum()]])
+        high, low = np.concatenate([self.high, hashes[:, 0]]), np.concatenate([self.low, hashes[:, 1]])
+        # Two words with the same first half are kept once: the other is made anew each time.
+        high, order = np.unique(high, return_index=True)
+        size = np.diff(starts)[order]
+        self.high, self.low = high, low[order]
+        self.values, self.starts = values[ragged(starts[order], size)], np.concatenate([[0], np.cumsum(size)])
+
+
 def text_key(text: Column, names: tuple[str, str] = ("k1", "k2")) -> list[Column]:
     """128 bits of a text, as two columns."""
     return [F.xxhash64(text).alias(names[0]), F.xxhash64(F.lit("again"), text).alias(names[1])]

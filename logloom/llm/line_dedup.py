@@ -187,13 +187,13 @@ def prober(path: str, n_shards: int) -> Callable[[np.ndarray], np.ndarray]:
 
 
 def drop_shared_lines(docs: DataFrame, *, text: str = "text", min_docs: int = 10, min_chars: int = 1,
-                      shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """``docs`` with the lines of at least ``min_docs`` documents dropped, and ``n_lines, n_dropped``.
+                      shard_keys: int = SHARD_KEYS, names: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` with the lines of at least ``min_docs`` documents dropped, and ``n_lines, n_dropped`` (or the ``names`` given).
 
     A document is a row: repeated rows count each. A line's key is the line without blanks
     at its ends and with A-Z in lower case; keys under ``min_chars`` code points stay. A null
     or empty text is one empty line and comes back as the empty text. A text whose lines
-    all go is empty. Columns named n_lines or n_dropped give way to the new ones. An empty
+    all go is empty. Columns with the new names give way to the new ones. An empty
     table gives an empty table.
     """
     counts = line_counts(docs, text=text, min_chars=min_chars).where(F.col("n_docs") >= min_docs)
@@ -213,6 +213,6 @@ def drop_shared_lines(docs: DataFrame, *, text: str = "text", min_docs: int = 10
 
         return dropped
 
-    fields = [T.StructField(text, T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
-    made = map_texts(docs, setup, fields, text=text, most=32 << 20)
+    fields = [T.StructField(text, T.StringType()), *[T.StructField(n, T.LongType()) for n in names]]
+    made = map_texts(docs, setup, fields, text=text, most=8 << 20)
     return made

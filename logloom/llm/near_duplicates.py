@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from logloom.llm.arrow_text import free_name, map_texts, quoted, ragged, split_words, text_key, whole_groups, word_hashes
+from logloom.llm.arrow_text import free_name, map_in_arrow, map_texts, quoted, ragged, split_words, text_key, whole_groups, word_hashes
 from logloom.llm.components import components
 from logloom.session import stage
 
@@ -118,7 +118,7 @@ def _tree_nodes(sets: DataFrame, k: int) -> DataFrame:
                 pa.array(np.tile(np.arange(TREES, dtype=np.int32), len(ids))), pa.array(node.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, TREES))],
                 names=["tree", "node", "set_id"])
 
-    return sets.select("set_id", "signature").mapInArrow(run, "tree int, node long, set_id long")
+    return map_in_arrow(sets.select("set_id", "signature"), run, "tree int, node long, set_id long")
 
 
 class Forest:
@@ -189,7 +189,7 @@ def _edges(nodes: DataFrame, sets: DataFrame, least: float, node_block: int) ->
 
     keys = ("tree", "node", "block")
     dealt = inside.select(*keys, "set_id", "blocks", "signature").repartition(*keys).sortWithinPartitions(*keys, "set_id")
-    made = stage(dealt.mapInArrow(connect, EDGE), "edges")
+    made = stage(map_in_arrow(dealt, connect, EDGE), "edges")
     edges, apart = made.where("v is not null").select("u", "v"), made.where("v is null").select("tree", "node", F.col("u").alias("other"))
     if apart.isEmpty():
         return edges
@@ -316,12 +316,12 @@ def classes(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("do
 
 
 def keep_one(docs: DataFrame, *, text: str = "text", order: str = "doc_id", **how) -> DataFrame:
-    """``docs`` with one row of every class: the least ``order`` (nulls last), then the least text key."""
+    """``docs`` with one row of every class: the least ``order`` (nulls last), then the least text key, then the least hash of all columns."""
     found = classes(docs, text=text, keep=(order,), **how)
-    first = F.min(F.struct(F.col(order).isNull().alias("none"), quoted(order).alias("first"), F.col("k1"), F.col("k2"))).alias("x")
+    first = F.min(F.struct(quoted(order).isNull().alias("none"), quoted(order).alias("first"), F.col("k1"), F.col("k2"))).alias("x")
     chosen = found.groupBy("class_id").agg(first).select(F.col("x.k1").alias("chosen_1"), F.col("x.k2").alias("chosen_2"), F.col("x.first").alias("chosen_order"))
     a, b = text_key(F.coalesce(quoted(text).cast("string"), F.lit("")))
-    keyed = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), quoted(order).alias("own_order"), a, b)
+    keyed = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.xxhash64(*map(quoted, docs.columns)).alias("row_hash"), quoted(order).alias("own_order"), a, b)
     same = (F.col("k1") == F.col("chosen_1")) & (F.col("k2") == F.col("chosen_2")) & F.col("own_order").eqNullSafe(F.col("chosen_order"))
     # Rows that agree in text and order are one document.
-    return keyed.join(chosen, same).groupBy("k1", "k2").agg(F.first("row").alias("row")).select("row.*")
+    return keyed.join(chosen, same).groupBy("k1", "k2").agg(F.min_by("row", "row_hash").alias("row")).select("row.*")

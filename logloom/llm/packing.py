@@ -16,7 +16,6 @@ import functools
 import heapq
 import os
 import zlib
-from array import array
 
 import numpy as np
 import pandas as pd
@@ -24,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from logloom.llm.arrow_text import distinct_words, explode_texts, free_name, quoted, ragged, split_words
+from logloom.llm.arrow_text import WordTable, distinct_words, explode_texts, free_name, quoted, ragged, split_words
 from logloom.session import stage
 
 PIECE_FIELDS = [
@@ -33,10 +32,10 @@ PIECE_FIELDS = [
 ]
 
 
-#: Parts whose ids a worker remembers, and the longest such part in characters.
+#: Parts whose ids a worker remembers (about 20 MB), and the longest such part in characters.
 REMEMBERED, SHORT = 600_000, 24
 #: Text whose distinct parts are encoded together.
-ENCODE_BYTES = 8 << 20
+ENCODE_BYTES = 4 << 20
 #: How every special string of the vocabularies begins.
 SPECIAL = "<|"
 
@@ -50,19 +49,16 @@ def library(path: str):
 
 
 @functools.lru_cache(maxsize=2)
-def word_ids(path: str):
-    """Ids of words as bytes; one table a worker process, of the first short words that it meets."""
-    encode, known = library(path).encode_batch, {}
+def word_ids(path: str) -> WordTable:
+    """Ids of words; one table a worker process, of the first short words that it meets."""
+    encode = library(path).encode_batch
 
-    def of(words: list[str]) -> list[bytes]:
-        new = [w for w in words if w not in known]
-        made = {w: array("I", e.ids).tobytes() for w, e in zip(new, encode(new, add_special_tokens=False))}
-        found = [known[w] if w in known else made[w] for w in words]
-        if len(known) < REMEMBERED:
-            known.update((w, ids) for w, ids in made.items() if len(w) <= SHORT)
-        return found
+    def made(words):
+        # The library's results are large: a few thousand words at a time.
+        for at in range(0, len(words), 4096):
+            yield from [e.ids for e in encode(words[at:at + 4096], add_special_tokens=False)]
 
-    return of
+    return WordTable(made, REMEMBERED, SHORT)
 
 
 def text_ids(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,10 +72,8 @@ def text_ids(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.nd
     special = bool(pc.any(pc.match_substring(texts, SPECIAL)).as_py())
     words, before = split_words(texts, finer=not special)
     distinct, codes = distinct_words(words)
-    coded = word_ids(path)(distinct)
-    lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-    flat = np.frombuffer(b"".join(coded), np.uint32)
-    starts = np.cumsum(lengths) - lengths
+    flat, starts = word_ids(path)(distinct)
+    lengths = np.diff(starts)
     per_word = lengths[codes] if len(codes) else np.zeros(0, np.int64)
     ids = flat[ragged(starts[codes], per_word)] if len(codes) else flat
     ends = np.concatenate([[0], np.cumsum(per_word)])[before]

@@ -19,10 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from logloom.llm.arrow_text import distinct_words, map_texts, split_words, sums_by_row
+from logloom.llm.arrow_text import WordTable, distinct_words, map_texts, split_words, sums_by_row
 
-#: Words whose count a worker remembers, and the longest such word in characters.
-REMEMBERED, SHORT = 200_000, 48
+#: Words whose count a worker remembers (about 20 MB), and the longest such word in characters.
+REMEMBERED, SHORT = 600_000, 48
 
 
 class PairMerger:
@@ -91,11 +91,10 @@ class PairMerger:
 
 
 @functools.lru_cache(maxsize=2)
-def word_counter(path: str):
-    """A word's count, remembered for short words; one a worker process."""
+def word_counter(path: str) -> WordTable:
+    """Counts of words, remembered for short words; one table a worker process."""
     merger = PairMerger(path)
-    remembered = functools.lru_cache(maxsize=REMEMBERED)(merger.count)
-    return lambda word: remembered(word) if len(word) <= SHORT else merger.count(word)
+    return WordTable(lambda words: ([merger.count(w)] for w in words), REMEMBERED, SHORT)
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, *, text: str = "text", name: str = "n_tokens") -> DataFrame:
@@ -112,7 +111,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, *, text: str = "text", name:
         def counted(texts):
             words, before = split_words(texts)
             distinct, codes = distinct_words(words)
-            counts = np.fromiter(map(count, distinct), np.int64, len(distinct))
+            counts = count(distinct)[0].astype(np.int64)
             return [pa.array(sums_by_row(counts[codes] if len(codes) else np.zeros(0, np.int64), before))]
 
         return counted

@@ -366,3 +366,25 @@ def test_pipeline(spark):
     run = corpus_pipeline.run(spark, SF)
     digest = lambda df: hashlib.md5(repr(sorted(tuple(r) for r in df.select("doc_id", "start", "length", "ids_crc32").collect())).encode()).hexdigest()
     assert digest(run) == digest(packed)
+
+
+def test_stages_return_what_they_were_given(spark, rows):
+    """Columns with the names of outputs, dots and backquotes; null, empty and repeated rows; an empty table."""
+    names = ["doc_id", "text", "lang", "source", "n_chars", "score", "n_lines", "n_dropped", "a.b", "back`quote", "row", "k1", "set_id", "text_key", "cosine"]
+    data = [(d, t, "en", "s", None if t is None else len(t), *[f"{i}:{n}" for n in names[5:]]) for i, (d, t) in enumerate(rows)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"c{i} string" for i in range(5, len(names)))).toDF(*names).repartition(3)
+    given = {tuple(r)[5:] for r in docs.collect()}
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        made = step(spark, docs, SF)
+        assert made.columns == names, name
+        got = made.collect()
+        assert {tuple(r)[5:] for r in got} <= given and (name == "quality" or got), name
+        assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got), name
+        none = step(spark, docs.where("false"), SF)
+        assert none.columns == names and none.count() == 0, name
+    lines = corpus_pipeline.shared_lines(spark, docs, SF)
+    assert lines.count() == len(rows) and lines.where("text is null").count() == 0
+    kept = corpus_pipeline.near_copies(spark, docs, SF)
+    assert Counter(tuple(r) for r in kept.collect()) == Counter(tuple(r) for r in corpus_pipeline.near_copies(spark, docs.repartition(5, "score"), SF).collect())
+    packed = corpus_pipeline.STAGES[-1][1]
+    assert packed(spark, docs, SF).select("doc_id").distinct().count() == len({d for d, _ in rows}) and packed(spark, docs.where("false"), SF).count() == 0

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from logloom.llm import chat_format, packing, token_count
+from logloom.llm.arrow_text import WordTable
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -39,10 +40,21 @@ def test_any_text(text):
     from logloom.llm.arrow_text import split_words
 
     words, _ = split_words(pa.array([text], pa.large_string()))
-    counted = sum(map(token_count.word_counter(PATH), words.to_pylist()))
+    counted = int(token_count.word_counter(PATH)(words.to_pylist())[0].sum())
     assert counted == len(LIBRARY.encode(text, add_special_tokens=False).ids)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.text(max_size=4), max_size=12), max_size=8), st.integers(0, 20))
+def test_remembered_words(slices, most):
+    made = lambda words: ([len(w), *map(ord, w)] for w in words)
+    table = WordTable(made, most, 3)
+    for words in slices:
+        values, starts = table(words)
+        assert [values[a:b].tolist() for a, b in zip(starts, starts[1:])] == list(made(words))
+        assert len(table.high) <= most
+
+
 def test_packing_round_trip(docs):
     rows = packing.pack(docs.withColumn("copy", F.col("text")), PATH, capacity=256, max_piece=64, group_windows=4, keep_ids=True).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
