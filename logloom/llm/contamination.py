@@ -35,8 +35,8 @@ from logloom.session import stage
 PASSAGE, RANK, OVERSAMPLE = 64, 64, 8
 #: Pairs of neighbours by which an item is looked for besides its windows.
 ANCHORS = 4
-#: Word occurrences that a task holds as latent vectors at once.
-HELD = 1 << 16
+#: Word occurrences that a task holds as latent vectors at once: 4 MB, which stay in a core's cache.
+HELD = 1 << 13
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|"
 
 
@@ -157,12 +157,12 @@ def _passages(terms: np.ndarray, places: np.ndarray, weights: np.ndarray) -> tup
 
 
 def _summed(coded: DataFrame, part, size: int, width: int) -> np.ndarray:
-    """The sum over all documents of a ``size`` x ``width`` matrix that ``part(terms, places)`` gives; rows are summed by Spark."""
+    """The sum over all documents of a ``size`` x ``width`` matrix, to which ``part(total, terms, places)`` adds; rows are summed by Spark."""
 
     def run(batches):
         total = np.zeros((size, width))
         for _, terms, places, _, _ in _pieces(batches, 0):
-            total += part(terms, places)
+            part(total, terms, places)
         rows = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(rows), pa.ListArray.from_arrays(
             pa.array((np.arange(len(rows) + 1) * width).astype(np.int32)), pa.array(total[rows].reshape(-1)))], names=["r", "x"])
@@ -177,12 +177,10 @@ def _summed(coded: DataFrame, part, size: int, width: int) -> np.ndarray:
 def frequencies(coded: DataFrame, size: int) -> tuple[np.ndarray, int]:
     """In how many passages each term occurs, and the number of passages that hold any."""
 
-    def part(terms, places):
+    def part(total, terms, places):
         key = np.unique((places // PASSAGE) << 32 | terms)
-        out = np.zeros((size + 1, 1))
-        out[:size, 0] = np.bincount(key & 0xFFFFFFFF, minlength=size)
-        out[size, 0] = len(np.unique(key >> 32))
-        return out
+        total[:size, 0] += np.bincount(key & 0xFFFFFFFF, minlength=size)
+        total[size, 0] += len(np.unique(key >> 32))
 
     found = _summed(coded, part, size + 1, 1)[:, 0]
     return found[:size], int(found[size])
@@ -212,18 +210,16 @@ def latent_vectors(coded: DataFrame, weights: np.ndarray, *, rank: int = RANK, o
         starts = np.flatnonzero(np.diff(passage, prepend=-1))
         return passage, term, value.astype(single), np.add.reduceat(basis[term] * value.astype(single)[:, None], starts)
 
-    def sketch(terms, places):
+    def sketch(total, terms, places):
         passage, term, value, rows = rows_of(start, terms, places)
-        out = np.zeros((size, width))
         if len(passage):
             order = np.argsort(term, kind="stable")
             first = np.flatnonzero(np.diff(term[order], prepend=-1))
-            out[term[order][first]] = np.add.reduceat(rows[passage[order]] * value[order, None], first)
-        return out
+            total[term[order][first]] += np.add.reduceat(rows[passage[order]] * value[order, None], first)
 
-    def gram(terms, places):
+    def gram(total, terms, places):
         *_, rows = rows_of(leading, terms, places)
-        return rows.T @ rows
+        total += rows.T @ rows
 
     start = np.random.default_rng(seed).standard_normal((size, width)).astype(single)
     basis = np.linalg.qr(_summed(coded, sketch, size, width))[0]
@@ -313,8 +309,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: tu
         """Arrays (row, place, scale, item, cosine) of windows close to an item, or where an anchor of it stands."""
         end = int(start[-1])
         held = weights[terms] > 0
-        at, sums = places[held], np.zeros((int(held.sum()) + 1, vectors.shape[1]))
-        np.cumsum(vectors[terms[held]], axis=0, out=sums[1:])
+        at, sums = places[held], np.zeros((int(held.sum()) + 1, vectors.shape[1]), np.float32)
+        sums[1:] = np.cumsum(vectors[terms[held]], axis=0)
         pair = terms[:-1].astype(np.int64) << 32 | terms[1:]
         first = np.searchsorted(anchor_keys, pair)
         x = np.flatnonzero((anchor_keys[np.minimum(first, len(anchors) - 1)] == pair) if len(anchors) else np.zeros(len(pair), bool))
@@ -332,10 +328,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: tu
                 starts = np.arange(block, min(end, block + ((s // 4) << 15)), s // 4)
                 lo, hi = upto[starts], upto[starts + s]
                 some = np.flatnonzero(hi > lo)
-                cosine = unit(sums[hi[some]] - sums[lo[some]]) @ wanted[s].T
-                w, i = np.nonzero(cosine >= least_cosine)
+                own = sums[hi[some]] - sums[lo[some]]
+                length = np.sqrt(np.einsum("ij,ij->i", own, own))
+                product = own @ wanted[s].T
+                w, i = np.nonzero(product >= least_cosine * np.maximum(length, 1e-12)[:, None])
                 place = starts[some[w]]
-                yield np.searchsorted(start, place, "right") - 1, place, np.full(len(w), s), nths[s][i], cosine[w, i]
+                yield np.searchsorted(start, place, "right") - 1, place, np.full(len(w), s), nths[s][i], product[w, i] / length[w]
 
     def possible(terms, places, cut, found):
         """Candidates with enough words of their item around them: (row, place, scale, item, cosine, occurrences)."""
