@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from logloom.functions.text import wall_time
 from logloom.functions.regexes import has_named_groups, is_valid_regex
@@ -185,30 +186,34 @@ def backfill_has_params(catalog: DataFrame) -> DataFrame:
 
 def integrity(catalog: DataFrame, logs: DataFrame, params: DataFrame, rules: DataFrame,
               alerts: DataFrame, analyses: DataFrame) -> DataFrame:
-    """Violations per check: exactly one pattern text, unique keys, no orphans."""
-    def report(name: str, bad: DataFrame, weight=F.lit(1)) -> DataFrame:
-        total = F.coalesce(F.sum(weight), F.lit(0)).cast("bigint")
-        return bad.agg(total.alias("violations")).select(F.lit(name).alias("check_name"), "violations")
-
-    def duplicated(table: DataFrame, key: str) -> DataFrame:
-        return table.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1")
-
-    def orphans(name: str, table: DataFrame, key: str, parent: DataFrame) -> DataFrame:
-        # Only distinct keys travel, so one key used by many rows costs one row.
-        used = table.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("uses"))
-        return report(name, used.join(parent.select(key), key, "left_anti"), F.col("uses"))
-
-    checks = [
-        report("one_pattern_text", catalog.where("(regex_rule is null) = (manual_regex_rule is null)")),
-        report("unique_regex_rule", duplicated(catalog, "regex_rule")),
-        report("unique_manual_regex_rule", duplicated(catalog, "manual_regex_rule")),
-        orphans("log_pattern", logs, "pattern_id", catalog),
-        orphans("rule_pattern", rules, "pattern_id", catalog),
-        orphans("param_log", params, "log_id", logs),
-        orphans("alert_log", alerts, "log_id", logs),
-        orphans("analysis_log", analyses, "log_id", logs),
-    ]
-    whole = checks[0]
-    for part in checks[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    """Violations per check: exactly one pattern text, unique keys, no orphans.
+
+    Every table is read once and gives (domain, key, tag); one grouping by domain and key
+    counts each tag, so a key used by many rows costs one row a task. A key used without
+    a row that owns it is an orphan, as often as it is used; a key owned twice is a duplicate.
+    """
+    def tagged(table: DataFrame, *tags: tuple[str, str, Column]) -> DataFrame:
+        entries = [F.struct(F.lit(domain).alias("domain"), key.cast("string").alias("key"), F.lit(tag).alias("tag")) for domain, tag, key in tags]
+        return table.select(F.explode(F.array(*entries)).alias("e")).select("e.*").where("key is not null")
+
+    both_or_none = F.when(F.col("regex_rule").isNull() == F.col("manual_regex_rule").isNull(), F.lit(""))
+    every = reduce(DataFrame.unionByName, [
+        tagged(catalog, ("pattern", "owner", F.col("pattern_id")), ("row", "one_pattern_text", both_or_none),
+               ("regex_rule", "owner", F.col("regex_rule")), ("manual_regex_rule", "owner", F.col("manual_regex_rule"))),
+        tagged(logs, ("pattern", "log_pattern", F.col("pattern_id")), ("log", "owner", F.col("log_id"))),
+        tagged(rules, ("pattern", "rule_pattern", F.col("pattern_id"))),
+        tagged(params, ("log", "param_log", F.col("log_id"))),
+        tagged(alerts, ("log", "alert_log", F.col("log_id"))),
+        tagged(analyses, ("log", "analysis_log", F.col("log_id"))),
+    ])
+    orphans = ("log_pattern", "rule_pattern", "param_log", "alert_log", "analysis_log")
+    counted = every.groupBy("domain", "key").agg(*[F.count_if(F.col("tag") == t).alias(t) for t in ("owner", "one_pattern_text", *orphans)])
+    alone = F.col("owner") == 0
+    totals = {
+        "one_pattern_text": F.sum("one_pattern_text"),
+        **{f"unique_{c}": F.count_if((F.col("domain") == c) & (F.col("owner") > 1)) for c in ("regex_rule", "manual_regex_rule")},
+        **{t: F.sum(F.when(alone, F.col(t))) for t in orphans},
+    }
+    summed = counted.agg(*[F.coalesce(v, F.lit(0)).cast("bigint").alias(name) for name, v in totals.items()])
+    return summed.select(F.explode(F.array(*[
+        F.struct(F.lit(name).alias("check_name"), F.col(name).alias("violations")) for name in totals])).alias("e")).select("e.*")

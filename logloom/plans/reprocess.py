@@ -17,11 +17,18 @@ from logloom.plans.ingest import classify
 
 @dataclass(frozen=True)
 class Reprocessed:
-    """Log rows after the run, with their parameter map; ``is_taken`` are those the pattern took, ``is_judged`` those a rule hit."""
+    """Log rows after the run, with their parameter map; ``is_taken`` are those the pattern took, ``is_judged`` those a rule hit.
+
+    A job that keeps several of the results writes ``rows`` first and derives the rest from
+    what was written (:meth:`over`).
+    """
 
     rows: DataFrame
     columns: tuple[str, ...]
 
+    def over(self, rows: DataFrame) -> "Reprocessed":
+        return Reprocessed(rows, self.columns)
+
     @property
     def logs(self) -> DataFrame:
         return self.rows.select(*self.columns)

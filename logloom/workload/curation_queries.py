@@ -11,7 +11,7 @@ from logloom.session import local_table, stage
 from logloom.workload import oracle_tables as o
 from logloom.workload.lines import TRIAGE_RUN, table
 from logloom.workload.registry import query, ts_sql, ts_text
-from logloom.workload.state import after_first, answers, state, triaged
+from logloom.workload.state import after_first, answers, once, state, triaged
 
 _STATE = o.state_ctes()
 _TRIAGE = o.triage_ctes()
@@ -282,6 +282,7 @@ _JOB_REGEX = r"failed: code 0x(?P<code>[0-9a-f]+) after (?P<secs>\d+\.\d+) s"
 
 
 def _reprocessed(spark, sf):
+    """The pattern run over the stored logs; its rows are written once, and logs, parameters and counts read from them."""
     now = state(spark, sf)
     new = local_table(spark, [(1, _JOB_REGEX, "sample", "unknown", "info", None, None)],
                       "seq bigint, regex string, sample_message string, label string, severity string, component string, note string")
@@ -293,7 +294,8 @@ def _reprocessed(spark, sf):
                       "seq bigint, pattern_id bigint, rule_type string, field_name string, op string, threshold1 double, threshold2 double, "
                       "search_text string, severity_if_match string, is_abnormal_if_match boolean, message string, is_active boolean")
     rules, _ = rules_ops.add_rules(now["rules"], own, catalog)
-    return reprocess_pattern(now["rows"], None, catalog, stage(rules, "reprocess-rules"), pattern_id, TRIAGE_RUN)
+    done = reprocess_pattern(now["rows"], None, catalog, stage(rules, "reprocess-rules"), pattern_id, TRIAGE_RUN)
+    return done.over(once(spark, sf, "reprocessed", lambda: {"rows": stage(done.rows, "reprocessed")})["rows"])
 
 
 _REPROCESS = [rf"""again AS (

@@ -69,7 +69,7 @@ def _still_there(spark: SparkSession, folders: set[str]) -> bool:
         return False
 
 
-def _once(spark: SparkSession, sf_dir: str, name: str, build) -> dict[str, DataFrame]:
+def once(spark: SparkSession, sf_dir: str, name: str, build) -> dict[str, DataFrame]:
     """State tables written once per application and data folder, as a running system has them.
 
     They are built again when someone has emptied the shared folder in between.
@@ -90,7 +90,7 @@ def after_first(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         return {"rows": done.rows, "logs": done.logs, "params": done.params, "templates": done.templates,
                 "catalog": stage(done.catalog, "first-catalog"), "alerts": stage(done.alerts(), "first-alerts")}
 
-    return _once(spark, sf_dir, "first", build)
+    return once(spark, sf_dir, "first", build)
 
 
 def second_batch(spark: SparkSession, sf_dir: str) -> Batch:
@@ -117,7 +117,7 @@ def state(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             "rules": seed_rules(spark), "analyses": empty_table(spark, ANALYSES),
         }
 
-    return _once(spark, sf_dir, "both", build)
+    return once(spark, sf_dir, "both", build)
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,4 +151,4 @@ def triaged(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             "analyses": stage(analyses_of(scored, "table", TRIAGE_RUN), "triage-analyses"),
         }
 
-    return _once(spark, sf_dir, "triage", build)
+    return once(spark, sf_dir, "triage", build)
