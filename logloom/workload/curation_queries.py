@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from logloom.operators import alerts as alert_ops, catalog as catalog_ops, rules as rules_ops, triage
 from logloom.plans.packs import BANDWIDTH_LIMITS, BANDWIDTH_NOTE, BANDWIDTH_REGEX, BANDWIDTH_SAMPLE, bandwidth_pack
 from logloom.plans.reprocess import reprocess_pattern
-from logloom.session import local_table, stage
+from logloom.session import local_table, stage, staging_path
+from logloom.sources.log_ranges import LogRanges
 from logloom.workload import oracle_tables as o
 from logloom.workload.lines import TRIAGE_RUN, table
 from logloom.workload.registry import query, ts_sql, ts_text
@@ -112,15 +113,18 @@ def _(spark, sf):
 
 # --- relabel, map, edit --------------------------------------------------------------
 
-def _relabelled(spark, sf):
+def _relabellings(spark, sf):
     """New labels for the templates of two kinds of messages, and a bad one for the link pattern."""
-    now = state(spark, sf)
     text = F.coalesce("regex_rule", "manual_regex_rule")
-    changes = now["catalog"].where(text.like("volume%") | text.like("job%") | (F.col("pattern_id") == 2)).select(
+    return state(spark, sf)["catalog"].where(text.like("volume%") | text.like("job%") | (F.col("pattern_id") == 2)).select(
         "pattern_id",
         F.when(F.col("pattern_id") == 2, "bogus").when(text.like("job%"), "abnormal").otherwise("ignore").alias("label"),
         F.when(text.like("job%"), "critical").alias("severity"), F.when(text.like("job%"), "by hand").alias("note"))
-    return catalog_ops.relabel(now["catalog"], now["logs"], changes, TRIAGE_RUN)
+
+
+def _relabelled(spark, sf):
+    now = state(spark, sf)
+    return catalog_ops.relabel(now["catalog"], now["logs"], _relabellings(spark, sf), TRIAGE_RUN)
 
 
 _JOB = "coalesce({c}regex_rule, {c}manual_regex_rule) LIKE 'job%'"
@@ -189,6 +193,38 @@ def _(spark, sf):
     return catalog_ops.edit_logs(state(spark, sf)["logs"], edits, TRIAGE_RUN).select("log_id", "classification", "severity")
 
 
+_LABEL_EDITS = """edited AS (SELECT l.* REPLACE (CASE WHEN doc_id IS NOT NULL THEN 'abnormal' ELSE classification END AS classification,
+    CASE WHEN quality = 1 THEN 'warning' ELSE severity END AS severity) FROM logs l LEFT JOIN labels b ON b.doc_id = l.log_id)"""
+
+
+def _in_ranges(spark, sf):
+    """The stored rows in ranges of 1024 ids, edited by ``labels``: one folder after the other is named, the rest stays."""
+    rows = state(spark, sf)["rows"]
+    store = LogRanges(spark, staging_path(spark, "log-ranges"), rows.schema, 1024)
+    store.append(rows)
+    edits = table(spark, sf, "labels").select(F.col("doc_id").alias("log_id"), F.lit("abnormal").alias("classification"),
+                                              F.when(F.col("quality") == 1, "warning").alias("severity"))
+    store.rewrite(store.ranges_of_logs(edits), lambda part: catalog_ops.edit_logs(part, edits, TRIAGE_RUN))
+    return store
+
+
+@query("edit_ranges", o.with_ctes(_STATE + [_LABEL_EDITS], "SELECT log_id, classification, severity, coalesce(pattern_id, -1) AS pattern_id FROM edited"))
+def _(spark, sf):
+    return _in_ranges(spark, sf).rows().select("log_id", "classification", "severity", F.coalesce("pattern_id", F.lit(-1)).alias("pattern_id"))
+
+
+@query("relabel_ranges", o.with_ctes(
+    _STATE + [_LABEL_EDITS],
+    f"""SELECT log_id, CASE WHEN {_JOB.format(c='c.')} THEN 'abnormal' WHEN {_VOL.format(c='c.')} THEN 'ignore' ELSE classification END AS classification,
+      CASE WHEN {_JOB.format(c='c.')} THEN 'critical' WHEN {_VOL.format(c='c.')} THEN NULL ELSE l.severity END AS severity
+    FROM edited l LEFT JOIN catalog c USING (pattern_id)"""))
+def _(spark, sf):
+    store, changes = _in_ranges(spark, sf), _relabellings(spark, sf)
+    catalog = state(spark, sf)["catalog"]
+    store.rewrite(store.ranges_of_patterns(changes), lambda part: catalog_ops.relabel(catalog, part, changes, TRIAGE_RUN)[1])
+    return store.rows().select("log_id", "classification", "severity")
+
+
 @query("backfill_has_params", o.with_ctes(
     _STATE, "SELECT pattern_id, contains(coalesce(manual_regex_rule, regex_rule), '(?P<') AS has_params FROM catalog"))
 def _(spark, sf):

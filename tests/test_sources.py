@@ -5,9 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.schemas import CATALOG, RULES
-from logloom.session import local_table
+from logloom.session import empty_table, local_table
+from logloom.operators import catalog
 from logloom.sources import exports
 from logloom.sources.lines import read_lines, read_ordered_files
+from logloom.sources.log_ranges import LogRanges
 from logloom.sources.store import Store
 from logloom.streaming.ingest import fixed_clock, stream_alerts, stream_ingest
 from tests.test_ingest import PATTERNS, RULE_ROWS, catalog_of, lines_of, logs_of, model_of, random_lines
@@ -158,3 +160,36 @@ def test_epochs_are_looked_up_without_the_log(spark, tmp_path, monkeypatch):
         store.commit(batch, {}, dt.datetime(2025, 1, 1), source=source, epoch=epoch)
     monkeypatch.setattr(Store, "commits", lambda self: pytest.fail("the commit log was collected"))
     assert [store.has(*x) for x in (("a", 0), ("b", 1), ("a", 1), ("b", 0))] == [True, True, False, False]
+
+
+def test_edits_write_the_ranges_they_touch(spark, tmp_path):
+    rows = spark.range(5000).selectExpr("id AS log_id", "id % 7 AS pattern_id", "'normal' AS classification", "CAST(NULL AS STRING) AS severity",
+                                        "CAST(NULL AS TIMESTAMP_NTZ) AS updated_at", "map('a', id) AS params")
+    rows = rows.withColumn("pattern_id", F.when(F.col("log_id").between(2300, 2450), 99).otherwise(F.col("pattern_id")))
+    store = LogRanges(spark, str(tmp_path / "logs"), rows.schema, 100)
+    store.append(rows.where("log_id < 2000"))
+    store.append(rows.where("log_id >= 2000"))
+
+    def files():
+        return {p.parent.name: p.name for p in (tmp_path / "logs").glob("log_range=*/*.parquet")}
+
+    def written(run):
+        before = files()
+        run()
+        after = files()
+        assert len(after) == 50 == len(before)
+        return {name for name in after if after[name] != before[name]}
+
+    edit = local_table(spark, [(1234, "abnormal", "critical"), (None, "ignore", None), (10 ** 9, "ignore", None)], "log_id bigint, classification string, severity string")
+    now = dt.datetime(2025, 1, 2)
+    assert written(lambda: store.rewrite(store.ranges_of_logs(edit), lambda part: catalog.edit_logs(part, edit, now))) == {"log_range=12"}
+    labels = local_table(spark, [(99, "ignore", None, None), (12345, "normal", None, None)], "pattern_id bigint, label string, severity string, note string")
+    patterns = empty_table(spark, CATALOG)
+    assert store.ranges_of_patterns(labels) == [23, 24]
+    assert written(lambda: store.rewrite(store.ranges_of_patterns(labels), lambda part: catalog.relabel(patterns, part, labels, now)[1])) == {"log_range=23", "log_range=24"}
+    assert written(lambda: store.rewrite([], lambda part: part)) == set()
+    got = store.rows().orderBy("log_id").collect()
+    assert [r.log_id for r in got] == list(range(5000)) and store.rows().columns == rows.columns
+    for r in got:
+        want = ("abnormal", "critical") if r.log_id == 1234 else ("ignore", None) if 2300 <= r.log_id <= 2450 else ("normal", None)
+        assert (r.classification, r.severity) == want and (r.updated_at is not None) == (want != ("normal", None)) and r.params == {"a": r.log_id}
