@@ -15,6 +15,9 @@ from pyspark.sql import Column, SparkSession, functions as F, types as T
 
 from logloom.functions.text import SPACE_MEMBERS
 
+#: Patterns that are tried one after the other in an expression; more of them are looked up, by the plain texts they require or by id.
+TRIED = 64
+
 NAMED_GROUP = r"\(\?P<[^>]+>"
 
 
@@ -132,10 +135,10 @@ def _escape(rest: str, in_class: bool) -> tuple[int, str]:
 def required_text(regex: str) -> str:
     """The longest plain text every match must contain, ``''`` if none is certain.
 
-    Only text outside groups, classes and alternatives counts, and only in
-    patterns without flags.
+    Only text outside groups and classes counts, and only in patterns without flags
+    and without alternatives outside groups.
     """
-    if "|" in regex or "(?" in re.sub(r"\(\?(P<\w+>|:)", "(", regex):
+    if "(?" in re.sub(r"\(\?(P<\w+>|:)", "(", regex):
         return ""
     runs, run, depth, i = [], "", 0, 0
     token = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|.", re.S)
@@ -144,6 +147,8 @@ def required_text(regex: str) -> str:
         piece = token.match(regex, i).group(0)
         i += len(piece)
         depth += (piece == "(") - (piece == ")")
+        if piece == "|" and not depth:
+            return ""
         literal = piece[1:] if re.fullmatch(r"\\[^A-Za-z0-9]", piece, re.S) else (
             piece if re.fullmatch(r"[^\\\[\](){}.^$*+?]", piece, re.S) else None
         )

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logloom.functions.regexes import Pattern, first_of, load_patterns
+from logloom.functions.regexes import TRIED, Pattern, first_of, load_patterns
 from logloom.operators.changes import last_per_key
 
 
@@ -28,23 +30,50 @@ def found_in(message: Column, pattern: Pattern) -> Column:
     return F.contains(message, F.lit(text)) & test if text else test
 
 
-def match_id(message: Column, patterns: list[Pattern], component: Column | None = None) -> Column:
+def match_id(message: Column, patterns: list[Pattern], component: Column | None = None, tried: int = TRIED) -> Column:
     """Id of the matching pattern with the lowest id, NULL when none matches.
 
     With ``component``, a pattern that names a component applies to that one only.
-    Patterns are literals of an expression, so each is compiled once per task and no
-    row is multiplied, however many there are. Only patterns that have no spelling for
-    the JVM are tested in Arrow batches.
+    Up to ``tried`` patterns are literals of an expression, each compiled once per task; only those
+    that have no spelling for the JVM are tested in Arrow batches. More patterns are looked up in one
+    pass over the message (:class:`Literals`), so a line costs what its candidates cost,
+    whatever their number. A pattern means the same on both ways.
     """
-    native = [p for p in patterns if p.java is not None]
-    others = [p for p in patterns if p.java is None]
+    native = [p for p in patterns if p.java is not None] if len(patterns) <= tried else []
+    others = [p for p in patterns if p.java is None] if len(patterns) <= tried else patterns
     chain = first_of([
         (_in_scope(p, component) & found_in(message, p) if component is not None else found_in(message, p), F.lit(p.pattern_id).cast("bigint"))
         for p in sorted(native, key=lambda p: p.pattern_id)], F.lit(None).cast("bigint"))
     if not others:
         return chain
     scope = F.lit(None).cast("string") if component is None else component
-    return F.least(chain, _python_match(others, component is not None)(message, scope))
+    found = _python_match(others, component is not None)(message, scope)
+    return F.least(chain, found) if native else found
+
+
+class Literals:
+    """Which patterns can match a text: one pass over it finds the plain texts that every match must contain.
+
+    An Aho-Corasick automaton over the required texts; patterns that require none are always candidates.
+    """
+
+    def __init__(self, fragments: list[str]):
+        self.always, held = [], {}
+        for place, fragment in enumerate(fragments):
+            (held.setdefault(fragment, []) if fragment else self.always).append(place)
+        self.automaton = ahocorasick.Automaton()
+        for fragment, places in held.items():
+            self.automaton.add_word(fragment, places)
+        if held:
+            self.automaton.make_automaton()
+        self.empty = not held
+
+    def candidates(self, text: str) -> list[int]:
+        """Places of the patterns whose required text occurs, in ascending order."""
+        if self.empty:
+            return self.always
+        met = {place for _, places in self.automaton.iter(text) for place in places}
+        return sorted([*met, *self.always]) if met else self.always
 
 
 def _in_scope(pattern: Pattern, component: Column) -> Column:
@@ -54,23 +83,27 @@ def _in_scope(pattern: Pattern, component: Column) -> Column:
 
 
 def _python_match(patterns: list[Pattern], scoped: bool):
-    tests = [(p.pattern_id, p.regex, p.fragment, p.component) for p in patterns]
+    tests = [(p.pattern_id, p.regex, p.fragment, p.component) for p in sorted(patterns, key=lambda p: p.pattern_id)]
 
     @F.pandas_udf("bigint")
-    def lowest_match(message: pd.Series, component: pd.Series) -> pd.Series:
-        compiled = [(i, re.compile(r), text, c) for i, r, text, c in tests]
+    def lowest_match(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        literals, compiled = Literals([t[2] for t in tests]), {}
 
         def first(text, comp):
             if text is None:
                 return None
-            for i, regex, fragment, scope in compiled:
+            for place in literals.candidates(text):
+                i, regex, _, scope = tests[place]
                 if scoped and scope is not None and scope != comp:
                     continue
-                if fragment in text and regex.search(text):
+                if place not in compiled:
+                    compiled[place] = re.compile(regex)
+                if compiled[place].search(text):
                     return i
             return None
 
-        return pd.Series([first(m, c) for m, c in zip(message, component)], dtype="Int64")
+        for message, component in batches:
+            yield pd.Series([first(m, c) for m, c in zip(message, component)], dtype="Int64")
 
     return lowest_match
 

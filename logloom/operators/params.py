@@ -3,25 +3,27 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logloom.functions.regexes import Pattern, first_of
+from logloom.functions.regexes import TRIED, Pattern, first_of
 from logloom.functions.text import number_prefix
 
 _TEXTS = "map<string,string>"
 _VALUES = "map<string,struct<num:double,text:string>>"
 
 
-def group_texts(message: Column, pattern_id: Column, patterns: list[Pattern]) -> Column:
+def group_texts(message: Column, pattern_id: Column, patterns: list[Pattern], tried: int = TRIED) -> Column:
     """Map of group name to captured text for the row's pattern; empty when it has none.
 
     A group that took no part in the match, or captured nothing, is left out.
     """
     named = [p for p in patterns if p.groups]
-    native = [p for p in named if p.java is not None]
-    others = [p for p in named if p.java is None]
+    # Many patterns are looked up by id instead of being compared with it one after the other.
+    native = [p for p in named if p.java is not None] if len(named) <= tried else []
+    others = [p for p in named if p.java is None] if len(named) <= tried else named
 
     def own(p: Pattern) -> Column:
         captured = F.array(*[
@@ -31,9 +33,11 @@ def group_texts(message: Column, pattern_id: Column, patterns: list[Pattern]) ->
         return F.map_from_entries(F.filter(captured, lambda e: e["value"] != "")).cast(_TEXTS)
 
     texts = first_of([(pattern_id == p.pattern_id, own(p)) for p in native], F.create_map().cast(_TEXTS))
-    if others:
+    if others and native:
         ids = [p.pattern_id for p in others]
         texts = F.when(pattern_id.isin(ids), _python_groups(others)(message, pattern_id)).otherwise(texts)
+    elif others:
+        texts = _python_groups(others)(message, pattern_id)
     return texts
 
 
@@ -41,15 +45,19 @@ def _python_groups(patterns: list[Pattern]):
     regexes = {p.pattern_id: p.regex for p in patterns}
 
     @F.pandas_udf(_TEXTS)
-    def groups(message: pd.Series, pattern_id: pd.Series) -> pd.Series:
-        compiled = {i: re.compile(r) for i, r in regexes.items()}
+    def groups(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        compiled = {}
 
         def one(text, i):
-            regex = compiled.get(i)
-            match = regex.search(text) if regex and text is not None else None
+            if text is None or i not in regexes:
+                return {}
+            if i not in compiled:
+                compiled[i] = re.compile(regexes[i])
+            match = compiled[i].search(text)
             return {k: v for k, v in match.groupdict().items() if v} if match else {}
 
-        return pd.Series([one(m, i) for m, i in zip(message, pattern_id)], dtype=object)
+        for message, pattern_id in batches:
+            yield pd.Series([one(m, i) for m, i in zip(message, pattern_id)], dtype=object)
 
     return groups
 

@@ -207,6 +207,37 @@ def _(spark, sf):
     return judged.select("p_partkey", "verdict.severity", "verdict.reason")
 
 
+# Some thousand patterns: one for each brand, size and class of key in ``part``; lines of ``lineitem``.
+
+_KIND = "concat_ws('/', p_brand, CAST(p_size AS STRING), CAST(p_partkey % 3 AS STRING))"
+_KIND_SQL = _KIND.replace("STRING", "VARCHAR")
+
+
+def _kind_catalog(spark, sf):
+    kinds = table(spark, sf, "part").groupBy(F.expr(_KIND).alias("kind")).agg(F.min("p_partkey").alias("place"))
+    regex = F.concat(F.lit(r"\bof kind "), F.col("kind"), F.lit(r";\s+qty (?P<qty>\d+)\s(?:left|gone)"))
+    return number_rows(kinds, "place", 0, "pattern_id").select(
+        "pattern_id", regex.alias("manual_regex_rule"), F.lit("normal").alias("label"), F.lit(None).cast("string").alias("severity"), F.lit(None).cast("string").alias("component"))
+
+
+def _kind_lines(spark, sf):
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.expr(_KIND).alias("kind"))
+    lines = table(spark, sf, "lineitem").join(parts, "l_partkey")
+    return lines.select("l_orderkey", "l_linenumber", F.concat(
+        F.lit("line "), F.col("l_linenumber"), F.lit(" of kind "), F.col("kind"), F.lit(";  qty "), F.col("l_quantity").cast("bigint"),
+        F.when(F.col("l_returnflag") == "R", " back").otherwise(" gone")).alias("message"))
+
+
+@query("manual_match_thousands", f"""WITH kinds AS (SELECT {_KIND_SQL} AS kind, p_partkey FROM part),
+ids AS (SELECT kind, row_number() OVER (ORDER BY min(p_partkey)) AS pattern_id FROM kinds GROUP BY kind)
+SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag <> 'R' THEN pattern_id END AS pattern_id, CASE WHEN l_returnflag <> 'R' THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS qty
+FROM lineitem JOIN kinds ON p_partkey = l_partkey JOIN ids USING (kind)""")
+def _(spark, sf):
+    patterns = matching.manual_patterns(_kind_catalog(spark, sf))
+    lines = _kind_lines(spark, sf).withColumn("pattern_id", matching.match_id(F.col("message"), patterns))
+    return lines.select("l_orderkey", "l_linenumber", "pattern_id", params_ops.group_texts(F.col("message"), F.col("pattern_id"), patterns)["qty"].alias("qty"))
+
+
 # --- text files -------------------------------------------------------------------------
 
 @query("read_lines", """SELECT row_number() OVER (ORDER BY event_id) - 1 AS line_seq, event_id || ' ' || event_type || ' ' || user_id AS value FROM events""")

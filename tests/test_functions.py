@@ -124,7 +124,7 @@ def test_patterns_the_jvm_should_not_run(spark):
     assert [(p.pattern_id, p.java is None) for p in loaded] == [(2, True), (3, True), (4, False), (5, False)]
 
 
-_PIECES = st.sampled_from([r"\s+", r"\d+", "abc", "GPU temp", r"\.", "(x|y)", "(?P<n>q)?", "[a-f]", "z*", r"\[", "k{2}", "w?", ".", "(?:ab)+", "-", "m{0,1}"])
+_PIECES = st.sampled_from([r"\s+", r"\d+", "abc", "GPU temp", r"\.", "(x|y)", "(?P<n>q)?", "[a-f]", "z*", r"\[", "k{2}", "w?", ".", "(?:ab)+", "-", "m{0,1}", "|", "[q|]"])
 
 
 @settings(max_examples=300, deadline=None)

@@ -1,10 +1,13 @@
 import datetime as dt
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from logloom.functions.regexes import load_patterns
 from logloom.operators import rules as ops
-from logloom.operators.params import pack_params
+from logloom.operators.matching import Literals, match_id
+from logloom.operators.params import group_texts, pack_params
 from logloom.schemas import CATALOG, PARAMS, RULES
 from logloom.session import local_table
 from tests.sequential import holds
@@ -112,3 +115,21 @@ def test_add_rules(spark):
     assert got == {4: (None, None), 5: (">", "temp > 80.0"), 6: ("between", "temp between 1.5 and 2.0"), 7: ("contains", "Message contains 'ERR'"),
                    8: ("matches", "own"), 9: ("not_between", "temp not between 1.0 and None")}
     assert {r["seq"] for r in rejected.collect()} == {5, 6, 7, 8, 9, 10, 11}
+
+
+def test_many_patterns_are_looked_up(spark):
+    """The index of required texts gives what trying one pattern after the other gives."""
+    regexes = [r"alpha \d+ beta", r"beta", r"\d{3,}", r"(alpha|gamma) x", r"alpha (?P<n>\d+)", r"a.*z", r"gamma\s+(?P<n>\w+)", r"(?i)DELTA", r"\bbeta\b.* (?P<n>\d)$", r"\(x\)\+"]
+    rows = local_table(spark, [(10 * i + 5, r, "normal", "info", "k" if i % 4 == 3 else None) for i, r in enumerate(regexes)],
+                       "pattern_id bigint, regex string, label string, severity string, component string").collect()
+    patterns = load_patterns(spark, rows)
+    texts = ["alpha 1 beta", "beta", "alphabeta", "x 1234", "gamma x", "gamma  word", "dElta", "the beta has 7", "(x)+", "", None, "nothing", "a bc z", "alpha 12", "alpha  beta 9"]
+    messages = local_table(spark, [(t, c) for t in texts for c in ("k", "other", None)], "message string, component string").repartition(3)
+
+    def run(tried):
+        message, ids = F.col("message"), F.col("plain")
+        got = messages.withColumn("plain", match_id(message, patterns, tried=tried)).withColumn("scoped", match_id(message, patterns, F.col("component"), tried))
+        return Counter(map(repr, got.select("*", group_texts(message, ids, patterns, tried).alias("groups")).collect()))
+
+    assert run(0) == run(512) == run(5)
+    assert Literals(["ab", "", "b", "ab"]).candidates("xaby") == [0, 1, 2, 3] and Literals(["q"]).candidates("") == [] and Literals([""]).candidates("") == [0]
