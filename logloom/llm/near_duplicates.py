@@ -1,10 +1,11 @@
 """Documents whose word 5-grams overlap: a MinHash LSH forest proposes, exact counting decides.
 
 1. Equal shingle sets are one set: copies cost nothing further.
-2. A set's signature has ``trees`` x ``depth`` minima. Each tree is a trie of signatures
-   sorted by their minima, so a prefix of the label is a node. Prefixes are shortened from
-   ``depth`` until sets at the threshold share a node in some tree with the target
-   recall: 1 - (1 - s^k)^trees.
+2. A set's signature has ``trees`` x ``depth`` minima. In each tree the first k minima are
+   hashed, and sets with the same hash meet: prefixes of one length for all sets, shortened
+   from ``depth`` by the formula 1 - (1 - s^k)^trees until sets at the threshold meet in
+   some tree with the target recall. No tries are stored or walked, and the length doesn't
+   follow from what was found: the README names this as a departure from an LSH forest.
 3. In each node sets are joined by the similarity that whole signatures estimate, with a
    margin of several standard errors below the threshold, and only edges that connect
    something are kept: as many as sets, not pairs. A node of many sets is worked in
@@ -75,7 +76,7 @@ def signatures(values: np.ndarray, before: np.ndarray, count: int) -> np.ndarray
 
 
 def prefix_length(threshold: float, target_recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
-    """Shorten the prefix until a pair at the threshold meets in some tree with the target recall."""
+    """The longest prefix, the same for all sets, with which a pair at the threshold meets in some tree with the target recall."""
     k = depth
     while k > 1 and 1 - (1 - threshold ** k) ** trees < target_recall:
         k -= 1
@@ -103,7 +104,7 @@ def _members(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
 
 def _tree_nodes(sets: DataFrame, k: int) -> DataFrame:
-    """``tree, node, set_id``: the trie node of depth ``k`` of every set in every tree."""
+    """``tree, node, set_id``: the hash of the first ``k`` minima of every set in every tree."""
 
     def run(batches):
         for batch in batches:

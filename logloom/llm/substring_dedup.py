@@ -1,18 +1,15 @@
-"""Word windows that occur more than once, removed wherever they occur, by suffix trees over prefix groups.
+"""Word windows that occur more than once, removed wherever they occur.
 
-The tree of all suffixes of all texts does not fit anywhere, so it is built in parts:
+The windows of all texts are sorted in groups, as no order of all of them fits anywhere. No
+suffix tree is built; the README names this as a departure.
 
 1. A window of ``window`` words has a least k-gram (by hash). Equal windows have the same
    one, so only windows whose least k-gram occurs elsewhere as a least k-gram can repeat.
-   Neighbouring windows with the same least k-gram form one run; a run's words hold the
-   suffixes that start in it, to the depth that matters.
-2. Runs are grouped by that k-gram, the short prefix. Groups are dealt into parts that fit
-   in memory; a group too large for one part is split by a longer prefix, up to the whole
-   window, where a subtree is a single node and counting its leaves is all there is.
-3. A part sorts its suffixes by doubling prefixes: ranks of 1, 2, 4, ... words. The rank
-   of a suffix among the prefixes of ``window`` words is its node at that depth; a node with
-   two leaves is a deep internal node, and its leaves are repeats. Runs of repeated
-   windows are the maximal repeats.
+   Neighbouring windows with the same least k-gram form one run.
+2. Runs are grouped by that k-gram. Groups are dealt into parts that fit in memory; a group too
+   large for one part has its windows counted by a hash of all their words.
+3. A part ranks its suffixes by doubling prefixes: ranks of 1, 2, 4, ... words, up to
+   ``window``. Suffixes with the same rank there start equal windows.
 
 Equal runs are summed before the shuffle, so copies of a text cost one run.
 """
@@ -119,9 +116,9 @@ RANGES = T.StructField("ranges", T.ArrayType(T.IntegerType()))
 
 
 def _part_repeats(runs: DataFrame, window: int, parts: int) -> DataFrame:
-    """``gram, run_key, ranges`` of the runs of each part: one suffix tree a part."""
+    """``gram, run_key, ranges`` of the runs of each part: its windows ranked together."""
 
-    def tree(table: pa.Table) -> pa.Table:
+    def ranked(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         words, before = split_words(table.column("run").combine_chunks().cast(pa.large_string()) if table.num_rows else pa.array([], pa.large_string()))
         _, codes = distinct_words(words)
@@ -130,7 +127,7 @@ def _part_repeats(runs: DataFrame, window: int, parts: int) -> DataFrame:
         return out.filter(pa.array(sums_by_row(flags.astype(np.int64), before) > 0))
 
     part = F.pmod(F.xxhash64("gram"), F.lit(parts))
-    return runs.groupBy(part.alias("part")).applyInArrow(tree, "gram long, run_key long, ranges array<int>")
+    return runs.groupBy(part.alias("part")).applyInArrow(ranked, "gram long, run_key long, ranges array<int>")
 
 
 def _window_repeats(runs: DataFrame, window: int) -> DataFrame:
