@@ -15,6 +15,7 @@ from logloom.operators.catalog import add_patterns
 from logloom.operators.joins import max_id
 from logloom.operators.numbering import number_rows
 from logloom.schemas import ALERTS, ANALYSES
+from logloom.session import stage
 
 # The verdict's fields and the note put on patterns added by triage.
 VERDICT = ("is_abnormal boolean, label string, severity string, reason string, pattern_suggestion string")
@@ -147,11 +148,11 @@ def apply_verdicts(
     )
     added = add_patterns(catalog, new, as_of)
     mapped = added.assigned.select(F.col("seq").alias("log_id"), F.col("pattern_id").alias("_pattern"))
-    changes = (
+    # Written once: logs and counts both follow from it, and the plan behind it adds the patterns.
+    changes = stage(
         acted.select("log_id", "action", v["label"].alias("_label"), v["severity"].alias("_severity"),
                      v["reason"].alias("_reason"))
-        .join(mapped, "log_id", "left")
-    )
+        .join(mapped, "log_id", "left"), "triage-changes")
     abnormal = F.coalesce(F.col("action") == "abnormal", F.lit(False))
     by_hand = F.col("_pattern").isNotNull()
     changed = abnormal | by_hand
