@@ -317,7 +317,7 @@ def _(spark, sf):
 _JOB_REGEX = r"failed: code 0x(?P<code>[0-9a-f]+) after (?P<secs>\d+\.\d+) s"
 
 
-def _reprocessed(spark, sf):
+def reprocessed(spark, sf):
     """The pattern run over the stored logs; its rows are written once, and logs, parameters and counts read from them."""
     now = state(spark, sf)
     new = local_table(spark, [(1, _JOB_REGEX, "sample", "unknown", "info", None, None)],
@@ -353,7 +353,7 @@ _REPROCESS = [rf"""again AS (
       CASE h.severity WHEN 'critical' THEN 'secs > 100.0' WHEN 'warning' THEN 'code has f' ELSE l.anomaly_reason END AS anomaly_reason
     FROM logs l LEFT JOIN again_hits h USING (log_id)"""))
 def _(spark, sf):
-    return _reprocessed(spark, sf).logs.select(
+    return reprocessed(spark, sf).logs.select(
         "log_id", F.coalesce("pattern_id", F.lit(-1)).alias("pattern_id"), "is_known", "classification", "severity", "anomaly_reason")
 
 
@@ -361,13 +361,13 @@ def _(spark, sf):
     _STATE + _REPROCESS,
     "SELECT log_id, param_name, param_value_num, param_value_text FROM params WHERE log_id NOT IN (SELECT log_id FROM again) UNION ALL SELECT * FROM again_params"))
 def _(spark, sf):
-    return _reprocessed(spark, sf).params
+    return reprocessed(spark, sf).params
 
 
 @query("reprocess_stats", o.with_ctes(
     _STATE + _REPROCESS, "SELECT count(*) AS matched_logs, count(*) AS logs_with_params, count(severity) AS abnormal_logs FROM again_hits"))
 def _(spark, sf):
-    return _reprocessed(spark, sf).stats
+    return reprocessed(spark, sf).stats
 
 
 # --- triage --------------------------------------------------------------------------------
