@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from logloom.operators import alerts as alert_ops, catalog as catalog_ops, rules as rules_ops, triage
 from logloom.plans.packs import BANDWIDTH_LIMITS, BANDWIDTH_NOTE, BANDWIDTH_REGEX, BANDWIDTH_SAMPLE, bandwidth_pack
-from logloom.plans.reprocess import reprocess_pattern
+from logloom.plans.reprocess import Reprocessed, reprocess_pattern
 from logloom.session import local_table, stage, staging_path
 from logloom.sources.log_ranges import LogRanges
 from logloom.workload import oracle_tables as o
@@ -320,18 +320,22 @@ _JOB_REGEX = r"failed: code 0x(?P<code>[0-9a-f]+) after (?P<secs>\d+\.\d+) s"
 def reprocessed(spark, sf):
     """The pattern run over the stored logs; its rows are written once, and logs, parameters and counts read from them."""
     now = state(spark, sf)
-    new = local_table(spark, [(1, _JOB_REGEX, "sample", "unknown", "info", None, None)],
-                      "seq bigint, regex string, sample_message string, label string, severity string, component string, note string")
-    # A change of the catalog is written before it is used, as the store does.
-    catalog = stage(catalog_ops.add_patterns(now["catalog"], new, TRIAGE_RUN).catalog, "reprocess-catalog")
-    pattern_id = now["catalog"].agg(F.max("pattern_id")).first()[0] + 1
-    own = local_table(spark, [(1, pattern_id, "threshold", "secs", ">", 100.0, None, None, "critical", True, None, True),
-                              (2, pattern_id, "contains", "code", None, None, None, "f", "warning", True, "code has f", True)],
-                      "seq bigint, pattern_id bigint, rule_type string, field_name string, op string, threshold1 double, threshold2 double, "
-                      "search_text string, severity_if_match string, is_abnormal_if_match boolean, message string, is_active boolean")
-    rules, _ = rules_ops.add_rules(now["rules"], own, catalog)
-    done = reprocess_pattern(now["rows"], None, catalog, stage(rules, "reprocess-rules"), pattern_id, TRIAGE_RUN)
-    return done.over(once(spark, sf, "reprocessed", lambda: {"rows": stage(done.rows, "reprocessed")})["rows"])
+
+    def build():
+        new = local_table(spark, [(1, _JOB_REGEX, "sample", "unknown", "info", None, None)],
+                          "seq bigint, regex string, sample_message string, label string, severity string, component string, note string")
+        # A change of the catalog is written before it is used, as the store does.
+        catalog = stage(catalog_ops.add_patterns(now["catalog"], new, TRIAGE_RUN).catalog, "reprocess-catalog")
+        pattern_id = now["catalog"].agg(F.max("pattern_id")).first()[0] + 1
+        own = local_table(spark, [(1, pattern_id, "threshold", "secs", ">", 100.0, None, None, "critical", True, None, True),
+                                  (2, pattern_id, "contains", "code", None, None, None, "f", "warning", True, "code has f", True)],
+                          "seq bigint, pattern_id bigint, rule_type string, field_name string, op string, threshold1 double, threshold2 double, "
+                          "search_text string, severity_if_match string, is_abnormal_if_match boolean, message string, is_active boolean")
+        rules, _ = rules_ops.add_rules(now["rules"], own, catalog)
+        done = reprocess_pattern(now["rows"], None, catalog, stage(rules, "reprocess-rules"), pattern_id, TRIAGE_RUN)
+        return {"rows": stage(done.rows, "reprocessed")}
+
+    return Reprocessed(once(spark, sf, "reprocessed", build)["rows"], tuple(now["logs"].columns))
 
 
 _REPROCESS = [rf"""again AS (
@@ -359,7 +363,7 @@ def _(spark, sf):
 
 @query("reprocess_params", o.with_ctes(
     _STATE + _REPROCESS,
-    "SELECT log_id, param_name, param_value_num, param_value_text FROM params WHERE log_id NOT IN (SELECT log_id FROM again) UNION ALL SELECT * FROM again_params"))
+    "SELECT log_id, param_name, param_value_num, param_value_text FROM params ANTI JOIN again USING (log_id) UNION ALL SELECT * FROM again_params"))
 def _(spark, sf):
     return reprocessed(spark, sf).params
 
