@@ -2,7 +2,8 @@
 
 Reports that relate patterns to logs first count the logs per pattern: that
 aggregate combines before its shuffle, so a pattern with most of the logs weighs
-no more than any other, and only one row per pattern is joined.
+no more than any other, and only one row per pattern is joined. Where a report only
+counts, ``logs`` may be log rows or their summary (:mod:`logloom.operators.summaries`).
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from logloom.functions.text import wall_time
 from logloom.functions.regexes import java_spellings, python_group, python_search
 from logloom.operators.params import explode_params
 from logloom.operators.numbering import number_rows
+from logloom.operators.summaries import is_summary, line_count, since
 from logloom.operators.triage import NOTE_PREFIX
 
 # Up to here a sorted head is found with a heap per task.
@@ -28,7 +30,7 @@ def _pattern_text() -> Column:
 
 
 def _count(df: DataFrame, *keys: str, name: str = "count") -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("*").alias(name))
+    return df.groupBy(*keys).agg(line_count(df).alias(name))
 
 
 def logs_per_pattern(catalog: DataFrame, logs: DataFrame) -> DataFrame:
@@ -56,7 +58,7 @@ def unknown_patterns(catalog: DataFrame, limit: int = 100) -> DataFrame:
 
 def totals(logs: DataFrame, catalog: DataFrame) -> DataFrame:
     """One row: number of logs and of patterns."""
-    both = logs.agg(F.count("*").alias("log_total"), F.lit(0).cast("bigint").alias("pattern_total")).unionByName(
+    both = logs.agg(line_count(logs).alias("log_total"), F.lit(0).cast("bigint").alias("pattern_total")).unionByName(
         catalog.agg(F.lit(0).cast("bigint").alias("log_total"), F.count("*").alias("pattern_total")))
     return both.agg(F.sum("log_total").alias("log_total"), F.sum("pattern_total").alias("pattern_total"))
 
@@ -73,18 +75,22 @@ def by_alert_status(alerts: DataFrame) -> DataFrame:
     return _count(alerts, "status").orderBy("status")
 
 
-def recent(logs: DataFrame, as_of: dt.datetime, hours: int = 24) -> DataFrame:
-    """Abnormal and unknown lines of the hours before ``as_of``."""
-    since = wall_time(as_of - dt.timedelta(hours=hours))
-    return logs.where(F.col("ts") >= since).agg(
-        F.count_if(F.col("classification") == "abnormal").alias("abnormal"),
-        F.count_if(F.col("classification") == "unknown").alias("unknown"))
+def recent(logs: DataFrame, as_of: dt.datetime, hours: int = 24, cut_hour: DataFrame | None = None) -> DataFrame:
+    """Abnormal and unknown lines of the hours before ``as_of``.
+
+    A summary counts whole hours; ``cut_hour`` gives the logs for a start inside an hour.
+    """
+    start = as_of - dt.timedelta(hours=hours)
+    subject = since(logs, start, cut_hour) if is_summary(logs) else logs.where(F.col("ts") >= wall_time(start))
+    return subject.agg(
+        line_count(subject, F.col("classification") == "abnormal").alias("abnormal"),
+        line_count(subject, F.col("classification") == "unknown").alias("unknown"))
 
 
 def log_overview(logs: DataFrame) -> DataFrame:
     return logs.agg(
-        F.count("*").alias("total_logs"), F.count_if("is_known").alias("known_logs"),
-        F.count_if(~F.col("is_known")).alias("unknown_logs"), F.count_distinct("host").alias("unique_hosts"))
+        line_count(logs).alias("total_logs"), line_count(logs, F.col("is_known")).alias("known_logs"),
+        line_count(logs, ~F.col("is_known")).alias("unknown_logs"), F.count_distinct("host").alias("unique_hosts"))
 
 
 def pattern_overview(catalog: DataFrame) -> DataFrame:
@@ -98,7 +104,7 @@ def pattern_overview(catalog: DataFrame) -> DataFrame:
 
 def known_share(logs: DataFrame) -> DataFrame:
     """Known and unknown lines with their share in percent."""
-    counts = logs.agg(F.count_if("is_known").alias("k"), F.count("*").alias("n"))
+    counts = logs.agg(line_count(logs, F.col("is_known")).alias("k"), line_count(logs).alias("n"))
     sides = F.array(F.struct(F.lit(True).alias("is_known"), F.col("k").alias("count")),
                     F.struct(F.lit(False).alias("is_known"), (F.col("n") - F.col("k")).alias("count")))
     return (
@@ -109,7 +115,7 @@ def known_share(logs: DataFrame) -> DataFrame:
 
 def known_distribution(logs: DataFrame, known: str = "known", unknown: str = "unknown") -> DataFrame:
     status = F.when(F.col("is_known"), F.lit(known)).otherwise(F.lit(unknown))
-    return logs.groupBy(status.alias("status")).agg(F.count("*").alias("count"))
+    return logs.groupBy(status.alias("status")).agg(line_count(logs).alias("count"))
 
 
 def by_severity(catalog: DataFrame) -> DataFrame:
@@ -156,7 +162,7 @@ def unknown_preview(logs: DataFrame, host: str, limit: int = 10) -> DataFrame:
 
 
 def unknown_count(logs: DataFrame, host: str) -> DataFrame:
-    return logs.where(~F.col("is_known") & (F.col("host") == host)).agg(F.count("*").alias("unknown_count"))
+    return logs.where(~F.col("is_known") & (F.col("host") == host)).agg(line_count(logs).alias("unknown_count"))
 
 
 def unknown_by_component(logs: DataFrame, host: str) -> DataFrame:
@@ -173,9 +179,9 @@ def unknown_with_pattern(logs: DataFrame, catalog: DataFrame, host: str) -> Data
 
 def unknown_share_by_host(logs: DataFrame) -> DataFrame:
     """Unknown lines per host and their share of the host's lines; one pass over the logs."""
-    unknown = F.count_if(~F.col("is_known"))
+    unknown = line_count(logs, ~F.col("is_known"))
     return (
-        logs.groupBy("host").agg(unknown.alias("unknown_count"), F.count("*").alias("_n"))
+        logs.groupBy("host").agg(unknown.alias("unknown_count"), line_count(logs).alias("_n"))
         .where("unknown_count > 0")
         .select("host", "unknown_count",
                 F.when(F.col("host").isNotNull(), F.col("unknown_count") * 100.0 / F.col("_n")).alias("unknown_percentage"))
@@ -302,9 +308,9 @@ def pattern_lookup(catalog: DataFrame, text: str, limit: int = 5) -> DataFrame:
 def pattern_health(logs: DataFrame) -> DataFrame:
     """Total, known, unknown and abnormal lines of every pattern."""
     return logs.where("pattern_id is not null").groupBy("pattern_id").agg(
-        F.count("*").alias("total"), F.count_if("is_known").alias("known"),
-        F.count_if(~F.col("is_known")).alias("unknown"),
-        F.count_if(F.col("classification") == "abnormal").alias("abnormal"))
+        line_count(logs).alias("total"), line_count(logs, F.col("is_known")).alias("known"),
+        line_count(logs, ~F.col("is_known")).alias("unknown"),
+        line_count(logs, F.col("classification") == "abnormal").alias("abnormal"))
 
 
 def parameterised(catalog: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ from logloom.operators.matching import manual_patterns, match_id
 from logloom.operators.numbering import number_rows
 from logloom.operators.params import explode_params, params_of
 from logloom.operators.rules import apply_verdict, judge
+from logloom.operators.summaries import summarize
 from logloom.schemas import CATALOG, LOGS
 from logloom.session import local_table, stage
 
@@ -63,6 +64,11 @@ class Batch:
     def stats(self) -> DataFrame:
         return ingest_stats(self.rows)
 
+    @property
+    def summary(self) -> DataFrame:
+        """Counts of the batch's log rows, to be merged with those of other batches."""
+        return summarize(self.rows)
+
 
 def abstract_lines(
     lines: DataFrame, patterns: list[Pattern], as_of: dt.datetime, default_year: int

@@ -18,6 +18,14 @@ AS_OF = dt.datetime(2024, 1, 30, 12, 0, 0)
 _BASE = o.triage_ctes()
 
 
+# Reports that only count lines: registered over the logs, and over the summaries of the batches.
+COUNTING = (
+    "totals", "by_classification", "recent", "log_overview", "known_share", "known_distribution", "by_host", "by_host_like",
+    "unknown_count", "unknown_by_component", "unknown_share_by_host", "unknown_patterns_of_host", "pattern_counts", "pattern_count_of_id",
+    "pattern_counts_top", "label_usage", "manual_and_auto", "labels_of_known", "labels_of_known_elsewhere", "pattern_health",
+)
+
+
 def _sql(select: str) -> str:
     renamed = select
     for name in ("logs", "catalog", "alerts"):
@@ -28,11 +36,18 @@ def _sql(select: str) -> str:
 def report(name: str, sql: str):
     """Register a report; ``sql`` names the tables as <logs>, <catalog>, <params>, <rules>, <alerts>."""
     def register(run):
+        if name in COUNTING:
+            query(f"summary_{name}", _sql(sql))(lambda spark, sf: run(_counted(triaged(spark, sf))))
         return query(f"report_{name}", _sql(sql))(lambda spark, sf: run(triaged(spark, sf)))
 
     return register
 
 
+def _counted(t):
+    """The tables with the merged summaries of both batches and the triage in place of the logs."""
+    return {name: table for name, table in t.items() if name not in ("rows", "params")} | {"logs": t["summary"]}
+
+
 def _times(df, *names):
     return df.withColumns({n: ts_text(n) for n in names})
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from logloom.operators.summaries import change, merged
 from logloom.operators.triage import analyses_of, apply_verdicts, candidates, score
 from logloom.plans.ingest import Batch, ingest_batch
 from logloom.schemas import ANALYSES, CATALOG, RULES
@@ -88,6 +89,7 @@ def after_first(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         batch = first_batch(spark, sf_dir)
         done = batch.over(stage(batch.rows, "first-rows"))
         return {"rows": done.rows, "logs": done.logs, "params": done.params, "templates": done.templates,
+                "summary": stage(done.summary, "first-summary"),
                 "catalog": stage(done.catalog, "first-catalog"), "alerts": stage(done.alerts(), "first-alerts")}
 
     return once(spark, sf_dir, "first", build)
@@ -111,7 +113,7 @@ def state(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         rows = first["rows"].unionByName(done.rows)
         return {
             "logs": first["logs"].unionByName(done.logs), "params": first["params"].unionByName(done.params),
-            "rows": rows, "second_rows": done.rows,
+            "rows": rows, "second_rows": done.rows, "summary": stage(merged(first["summary"], done.summary), "second-summary"),
             "catalog": stage(done.catalog, "second-catalog"),
             "alerts": stage(first["alerts"].unionByName(done.alerts(last_alert)), "second-alerts"),
             "rules": seed_rules(spark), "analyses": empty_table(spark, ANALYSES),
@@ -144,8 +146,11 @@ def triaged(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         scored = stage(score(candidates(now["logs"], now["analyses"], limit=None), answers(spark, sf_dir)), "scored")
         result = apply_verdicts(scored, now["rows"], now["catalog"], now["alerts"], TRIAGE_RUN)
         rows = stage(result.logs, "triage-rows")
+        touched = scored.select("log_id")
+        moved = change(*(table.join(touched, "log_id", "left_semi") for table in (now["rows"], rows)))
         return {
             **now, "scored": scored, "rows": rows, "logs": rows.drop("params"),
+            "summary": stage(merged(now["summary"], moved), "triage-summary"),
             "catalog": stage(result.catalog, "triage-catalog"), "rejected": result.rejected, "stats": result.stats,
             "new_alerts": result.alerts, "alerts": stage(now["alerts"].unionByName(result.alerts), "triage-alerts"),
             "analyses": stage(analyses_of(scored, "table", TRIAGE_RUN), "triage-analyses"),
