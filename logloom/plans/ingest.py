@@ -164,13 +164,16 @@ def ingest_batch(
         spark, [(p.pattern_id, p.label, p.severity) for p in patterns],
         "manual_id bigint, manual_label string, manual_severity string",
     )
+    # As many rows as there are hand-written patterns, which every task holds anyway.
+    if len(patterns) <= BROADCAST_ROWS:
+        manual_labels = F.broadcast(manual_labels)
     by_hand = F.col("manual_id").isNotNull()
     is_new = F.coalesce(F.col("new_seq") == F.col("line_seq"), F.lit(False))
     now = wall_time(as_of)
     known = (
         attach(abstracted, mapping, "template", F.col("line_seq"), uses="n",
                fits=rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES)
-        .join(F.broadcast(manual_labels), "manual_id", "left")
+        .join(manual_labels, "manual_id", "left")
         .withColumn("pattern_id", F.coalesce("manual_id", "template_id"))
         .withColumn("is_known", F.col("pattern_id").isNotNull() & ~is_new)
         .withColumn("label", F.when(by_hand, F.col("manual_label")).otherwise(F.col("label")))

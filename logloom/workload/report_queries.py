@@ -124,7 +124,7 @@ def _(t):
     return r.by_host(t["logs"])
 
 
-@report("by_host_like", "SELECT host, count(*) AS count FROM <logs> WHERE host LIKE '10.0.0.11%' GROUP BY host ORDER BY count(*) DESC, host LIMIT 5")
+@report("by_host_like", "SELECT host, count(*) AS count FROM <logs> WHERE host LIKE '10.0.0.11%' GROUP BY host QUALIFY row_number() OVER (ORDER BY count(*) DESC, host) <= 5")
 def _(t):
     return r.by_host(t["logs"], "10.0.0.11%", 5)
 
@@ -235,7 +235,7 @@ def _(t):
     return r.pattern_counts(t["catalog"], t["logs"], contains="volume")
 
 
-@report("pattern_counts_top", _COUNTED + " ORDER BY ifnull(lines, 0) DESC, pattern_id LIMIT 20")
+@report("pattern_counts_top", _COUNTED + " QUALIFY row_number() OVER (ORDER BY ifnull(lines, 0) DESC, pattern_id) <= 20")
 def _(t):
     return r.pattern_counts(t["catalog"], t["logs"], limit=20)
 
@@ -264,15 +264,15 @@ def _(t):
 
 
 @report("labels_of_known", """SELECT pattern_id, label, severity, sample_message, total_count FROM <catalog>
-  WHERE pattern_id IN (SELECT DISTINCT pattern_id FROM <logs> WHERE is_known AND pattern_id IS NOT NULL) ORDER BY total_count DESC, pattern_id LIMIT 20""")
+  WHERE pattern_id IN (SELECT DISTINCT pattern_id FROM <logs> WHERE is_known AND pattern_id IS NOT NULL) QUALIFY row_number() OVER (ORDER BY total_count DESC, pattern_id) <= 20""")
 def _(t):
     return r.labels_of_known(t["catalog"], t["logs"])
 
 
-@report("labels_of_known_elsewhere", f"""SELECT DISTINCT r.pattern_id, r.label, r.severity, r.sample_message, r.total_count, l.host
-  FROM <catalog> r JOIN <logs> l ON l.pattern_id = r.pattern_id
-  WHERE r.pattern_id IN (SELECT DISTINCT pattern_id FROM <logs> WHERE is_known AND pattern_id IS NOT NULL) AND l.host <> '{HOST}'
-  ORDER BY total_count DESC, r.pattern_id, l.host LIMIT 20""")
+@report("labels_of_known_elsewhere", f"""SELECT pattern_id, label, severity, sample_message, total_count, host
+  FROM (SELECT pattern_id, host FROM <logs> GROUP BY pattern_id, host) AS places JOIN <catalog> USING (pattern_id)
+  SEMI JOIN (SELECT pattern_id FROM <logs> GROUP BY pattern_id HAVING bool_or(is_known)) AS met USING (pattern_id)
+  WHERE host <> '{HOST}' QUALIFY row_number() OVER (ORDER BY total_count DESC, pattern_id, host) <= 20""")
 def _(t):
     return r.labels_of_known_elsewhere(t["catalog"], t["logs"], HOST)
 
