@@ -359,18 +359,16 @@ def params_of_pattern(params: DataFrame | None, logs: DataFrame, pattern_id: int
     return own_params(logs.where(F.col("pattern_id") == pattern_id), params).orderBy(F.desc("log_id"), "param_name")
 
 
-def logs_with_param(logs: DataFrame, params: DataFrame, pattern_id: int, name: str,
-                    abnormal_only: bool = False, limit: int | None = 10) -> DataFrame:
-    """Newest logs of a pattern with one parameter as a column."""
+def logs_with_param(logs: DataFrame, pattern_id: int, name: str, abnormal_only: bool = False, limit: int | None = 10) -> DataFrame:
+    """Newest logs of a pattern with one parameter as a column, taken from the map the rows carry: no join."""
     subject = logs.where(F.col("pattern_id") == pattern_id)
     if abnormal_only:
         subject = subject.where("classification = 'abnormal'")
-    subject = subject.select("log_id", "ts", "host", "message", "classification", "severity", "anomaly_reason")
-    if limit is not None:
-        # A log has a parameter at most once, so the page can be cut before the join.
-        subject = subject.orderBy(F.desc("ts"), "log_id").limit(limit)
-    value = params.where(F.col("param_name") == name).select("log_id", "param_name", "param_value_num")
-    return subject.join(value, "log_id", "left").orderBy(F.desc("ts"), "log_id")
+    held = F.coalesce(F.map_contains_key("params", F.lit(name)), F.lit(False))
+    found = subject.select(
+        "log_id", "ts", "host", "message", "classification", "severity", "anomaly_reason",
+        F.when(held, F.lit(name)).alias("param_name"), F.col("params")[name]["num"].alias("param_value_num")).orderBy(F.desc("ts"), "log_id")
+    return found if limit is None else found.limit(limit)
 
 
 def abnormal_by_param(logs: DataFrame, params: DataFrame | None, name: str, below: float, limit: int = 20) -> DataFrame:
@@ -391,19 +389,13 @@ def param_statistics(params: DataFrame | None, logs: DataFrame, pattern_id: int)
     ).orderBy("param_name")
 
 
-def latest_with_params(logs: DataFrame, params: DataFrame, pattern_id: int, limit: int = 5) -> DataFrame:
-    """Newest logs of a pattern with their parameters as one text, ordered by name."""
-    page = (
-        logs.where(F.col("pattern_id") == pattern_id)
-        .select("log_id", "ts", "host", "message", "classification", "is_known")
-        .orderBy(F.desc("ts"), "log_id").limit(limit)
-    )
-    pair = F.concat("param_name", F.lit("="), F.col("param_value_num").cast("string"))
-    texts = params.join(page.select("log_id"), "log_id", "left_semi").groupBy("log_id").agg(
-        F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct("param_name", pair.alias("pair")))), lambda e: e["pair"]
-        ), ", ").alias("params"))
-    return page.join(texts, "log_id", "left").orderBy(F.desc("ts"), "log_id")
+def latest_with_params(logs: DataFrame, pattern_id: int, limit: int = 5) -> DataFrame:
+    """Newest logs of a pattern with their parameters as one text, ordered by name; NULL for a log without any."""
+    page = logs.where(F.col("pattern_id") == pattern_id).select(
+        "log_id", "ts", "host", "message", "classification", "is_known", "params").orderBy(F.desc("ts"), "log_id").limit(limit)
+    pairs = F.transform(F.array_sort(F.map_entries("params")), lambda e: F.concat(e["key"], F.lit("="), e["value"]["num"].cast("string")))
+    return page.withColumn("params", F.when(F.size("params") > 0, F.array_join(pairs, ", ")))
+
 
 
 def params_for_message(logs: DataFrame, params: DataFrame | None, like: str) -> DataFrame:

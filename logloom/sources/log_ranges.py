@@ -24,13 +24,18 @@ class LogRanges:
     path: str
     schema: T.StructType
     width: int = 1 << 20
+    row_group_bytes: int = 16 << 20
 
     def _number(self, log_id: Column) -> Column:
         return F.floor(log_id / F.lit(self.width)).cast("bigint")
 
     def _write(self, rows: DataFrame, mode: str) -> None:
         dealt = rows.select(*self.schema.fieldNames()).withColumn(RANGE, self._number(F.col("log_id"))).repartition(RANGE)
-        dealt.sortWithinPartitions(RANGE, "log_id").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(RANGE).parquet(self.path)
+        # Ids rise inside a file, so their bounds tell row groups apart; patterns are told by dictionary or Bloom filter.
+        dealt.sortWithinPartitions(RANGE, "log_id").write.mode(mode).options(**{
+            "partitionOverwriteMode": "dynamic", "parquet.block.size": str(self.row_group_bytes),
+            "parquet.bloom.filter.enabled#pattern_id": "true", "parquet.bloom.filter.adaptive.enabled": "true",
+        }).partitionBy(RANGE).parquet(self.path)
 
     def append(self, rows: DataFrame) -> None:
         """Add a batch; its ids follow those stored, so it shares at most one range with them."""
@@ -42,6 +47,15 @@ class LogRanges:
     def rows(self) -> DataFrame:
         return self._stored().drop(RANGE)
 
+    def of_pattern(self, pattern_id: int) -> DataFrame:
+        """Rows of one pattern; row groups that don't hold it are not read."""
+        return self.rows().where(F.col("pattern_id") == pattern_id)
+
+    def of_logs(self, first: int, last: int) -> DataFrame:
+        """Rows of the log ids from ``first`` to ``last``: their folders alone, and of these the row groups they lie in."""
+        inside = self._stored().where(F.col(RANGE).between(first // self.width, last // self.width))
+        return inside.where(F.col("log_id").between(first, last)).drop(RANGE)
+
     def ranges_of_logs(self, keys: DataFrame) -> list[int]:
         """Numbers of the ranges that the ``log_id`` of ``keys`` fall into: one number a folder at most."""
         named = keys.where("log_id is not null").select(self._number(F.col("log_id")).alias("r")).distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logloom.operators import alerts as alert_ops, catalog as catalog_ops, rules as rules_ops, triage
+from logloom.operators import alerts as alert_ops, catalog as catalog_ops, reports, rules as rules_ops, triage
 from logloom.plans.packs import BANDWIDTH_LIMITS, BANDWIDTH_NOTE, BANDWIDTH_REGEX, BANDWIDTH_SAMPLE, bandwidth_pack
 from logloom.plans.reprocess import Reprocessed, reprocess_pattern
 from logloom.session import local_table, stage, staging_path
@@ -225,6 +225,15 @@ def _(spark, sf):
     return store.rows().select("log_id", "classification", "severity")
 
 
+@query("ranges_with_param", o.with_ctes(
+    _STATE + [_LABEL_EDITS],
+    f"""SELECT log_id, {ts_sql('ts')}, host, message, classification, severity, param_name, param_value_num
+    FROM (SELECT log_id, ts, host, message FROM logs WHERE pattern_id = 2) AS own JOIN (SELECT log_id, classification, severity FROM edited) AS now USING (log_id)
+    LEFT JOIN (SELECT * FROM params WHERE param_name = 'bandwidth') AS bandwidth USING (log_id)"""))
+def _(spark, sf):
+    return reports.logs_with_param(_in_ranges(spark, sf).of_pattern(2), 2, "bandwidth", limit=None).drop("anomaly_reason").withColumn("ts", ts_text("ts"))
+
+
 @query("backfill_has_params", o.with_ctes(
     _STATE, "SELECT pattern_id, contains(coalesce(manual_regex_rule, regex_rule), '(?P<') AS has_params FROM catalog"))
 def _(spark, sf):

@@ -354,12 +354,12 @@ def _with_param(more: str) -> str:
 
 @report("logs_with_param", _with_param(""))
 def _(t):
-    return _times(r.logs_with_param(t["logs"], t["params"], 2, "bandwidth"), "ts")
+    return _times(r.logs_with_param(t["rows"], 2, "bandwidth"), "ts")
 
 
 @report("abnormal_with_param", _with_param(" AND classification = 'abnormal'"))
 def _(t):
-    return _times(r.logs_with_param(t["logs"], t["params"], 2, "bandwidth", abnormal_only=True), "ts")
+    return _times(r.logs_with_param(t["rows"], 2, "bandwidth", abnormal_only=True), "ts")
 
 
 # The values decide first; the twenty latest lines are then taken by rank.
@@ -383,7 +383,7 @@ def _(t):
   FROM (SELECT * FROM <logs> WHERE pattern_id = 2 QUALIFY row_number() OVER (ORDER BY <logs>.ts DESC, log_id) <= 5) AS five
   LEFT JOIN <params> USING (log_id) GROUP BY log_id""")
 def _(t):
-    return _times(r.latest_with_params(t["logs"], t["params"], 2), "ts")
+    return _times(r.latest_with_params(t["rows"], 2), "ts")
 
 
 # Values are gathered per line; a line without any keeps one row.

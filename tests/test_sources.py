@@ -193,3 +193,52 @@ def test_edits_write_the_ranges_they_touch(spark, tmp_path):
     for r in got:
         want = ("abnormal", "critical") if r.log_id == 1234 else ("ignore", None) if 2300 <= r.log_id <= 2450 else ("normal", None)
         assert (r.classification, r.severity) == want and (r.updated_at is not None) == (want != ("normal", None)) and r.params == {"a": r.log_id}
+
+
+def _rows_scanned(df):
+    """Rows that came out of the scans of a query that has run."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    scans = []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        # Where adaptive execution wraps the plan, its leaves are below.
+        inner = leaf.executedPlan().collectLeaves() if leaf.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else None
+        scans += [inner.apply(k) for k in range(inner.size())] if inner else [leaf]
+    return sum(s.metrics().apply("numOutputRows").value() for s in scans)
+
+
+def test_lookups_skip_row_groups(spark, tmp_path):
+    """Ids by folder and bounds; patterns by what each row group holds, though every file's bounds span them all."""
+    ids = F.col("id")
+    rare = F.when((ids >= 30000) & (ids < 30010), 7777).when(ids % 2 == 0, 1).otherwise(F.lit(9999) + ids * 3)
+    rows = spark.range(40000).select(
+        ids.alias("log_id"), rare.cast("bigint").alias("pattern_id"), F.sha2(ids.cast("string"), 512).alias("message"))
+    store = LogRanges(spark, str(tmp_path / "logs"), rows.schema, 20000, row_group_bytes=1 << 18)
+    store.append(rows)
+    assert store.of_pattern(7777).count() == 10 and store.of_pattern(2).count() == 0
+    assert 10 <= _rows_scanned(store.of_pattern(7777)) < 10000
+    assert _rows_scanned(store.of_pattern(9998)) < 10000
+    page = store.of_logs(19990, 20009)
+    assert sorted(r.log_id for r in page.collect()) == list(range(19990, 20010))
+    assert _rows_scanned(page) < 20000
+    assert store.of_logs(50000, 60000).count() == 0
+
+
+def test_params_of_a_row_need_no_join(spark):
+    from logloom.operators import reports
+
+    kind = "map<string,struct<num:double,text:string>>"
+    rows = spark.range(4).select(
+        F.col("id").alias("log_id"), F.expr("timestamp_ntz'2025-01-01 00:00:00'").alias("ts"),
+        F.lit(2).cast("bigint").alias("pattern_id"), *[F.lit(c).alias(c) for c in ("host", "message", "classification", "severity", "anomaly_reason")],
+        F.lit(True).alias("is_known"),
+        F.expr("CASE id WHEN 0 THEN map('b', named_struct('num', 2.5D, 'text', '2.5'), 'a', named_struct('num', 1D, 'text', '1')) "
+               "WHEN 1 THEN map('a', named_struct('num', CAST(NULL AS DOUBLE), 'text', 'x')) WHEN 2 THEN map() END").cast(kind).alias("params"))
+    got = {r["log_id"]: (r["param_name"], r["param_value_num"]) for r in reports.logs_with_param(rows, 2, "a").collect()}
+    assert got == {0: ("a", 1.0), 1: ("a", None), 2: (None, None), 3: (None, None)}
+    texts = {r["log_id"]: r["params"] for r in reports.latest_with_params(rows, 2).collect()}
+    assert texts == {0: "a=1.0, b=2.5", 1: "", 2: None, 3: None}
+    for df in (reports.logs_with_param(rows, 2, "a"), reports.latest_with_params(rows, 2)):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
