@@ -37,6 +37,8 @@ PASSAGE, RANK, OVERSAMPLE = 64, 64, 8
 ANCHORS = 4
 #: Word occurrences that a task holds as latent vectors at once: 4 MB, which stay in a core's cache.
 HELD = 1 << 13
+#: Entries of a dense block of the TF-IDF matrix: small enough for a core's cache, large enough for one matrix product.
+ENTRIES = 1 << 10
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|"
 
 
@@ -104,10 +106,9 @@ def _coded(docs: DataFrame, vocabulary: dict[str, int], text: str, keep: list[st
             term = numbers[encoded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int32)
             at = np.flatnonzero(term >= 0)
             bounds = np.searchsorted(at, before).astype(np.int32)
-            row = np.repeat(np.arange(len(texts)), np.diff(bounds))
-            place = at - before[row]
-            gap = np.diff(place, prepend=0)
-            gap[bounds[:-1][np.diff(bounds) > 0]] = place[bounds[:-1][np.diff(bounds) > 0]]
+            some = np.diff(bounds) > 0
+            gap = np.diff(at, prepend=0)
+            gap[bounds[:-1][some]] = at[bounds[:-1][some]] - before[:-1][some]
             lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x.astype(np.int32))) for x in (term[at], gap)]
             return [pa.array(np.diff(before)), *lists]
 
@@ -130,32 +131,49 @@ def _pieces(batches, k: int, pad: int = 0):
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, bounds = _flat(batch.column(k + 1))
+        terms, bounds = _flat(batch.column(k + 1))
+        gaps, _ = _flat(batch.column(k + 2))
+        room = -(-(batch.column(k).to_numpy(zero_copy_only=False) + pad) // PASSAGE) * PASSAGE
         at = 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + HELD, "right")) - 1)
-            part = batch.slice(at, to - at)
-            terms, cut = _flat(part.column(k + 1))
-            gaps, _ = _flat(part.column(k + 2))
-            n = part.column(k).to_numpy(zero_copy_only=False)
-            room = -(-(n + pad) // PASSAGE) * PASSAGE
-            start = np.concatenate([[0], np.cumsum(room)]).astype(np.int64)
-            row = np.repeat(np.arange(len(n)), np.diff(cut))
-            total = np.concatenate([[0], np.cumsum(gaps)])
-            yield part, terms, start[row] + total[1:] - total[cut[row]], start, cut
+            own, cut = slice(bounds[at], bounds[to]), bounds[at:to + 1] - bounds[at]
+            start = np.concatenate([[0], np.cumsum(room[at:to])]).astype(np.int64)
+            total = np.concatenate([[0], np.cumsum(gaps[own], dtype=np.int64)])
+            yield batch.slice(at, to - at), terms[own], np.repeat(start[:-1] - total[cut[:-1]], np.diff(cut)) + total[1:], start, cut
             at = to
 
 
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and how often each occurs."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1))
+    return keys[first], np.diff(first, append=len(keys))
+
+
 def _passages(terms: np.ndarray, places: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """TF-IDF entries of unit passages: passage (numbered from 0), term, value."""
     keep = weights[terms] > 0
-    key, count = np.unique((places[keep] // PASSAGE) << 32 | terms[keep], return_counts=True)
-    passage, term = np.unique(key >> 32, return_inverse=True)[1].reshape(-1), key & 0xFFFFFFFF
+    key, count = _runs((places[keep] // PASSAGE) << 32 | terms[keep])
+    passage, term = np.cumsum(np.diff(key >> 32, prepend=key[:1] >> 32) > 0), key & 0xFFFFFFFF
     value = count * weights[term]
     norm = np.sqrt(np.bincount(passage, value * value)) if len(passage) else np.zeros(0)
     return passage, term, value / norm[passage] if len(passage) else value
 
 
+def _blocks(terms: np.ndarray, places: np.ndarray, weights: np.ndarray):
+    """The TF-IDF matrix of unit passages in dense blocks of whole passages, with about ``ENTRIES`` entries each: its terms, the block."""
+    passage, term, value = _passages(terms, places, weights)
+    at = 0
+    while at < len(passage):
+        to = int(np.searchsorted(passage, passage[min(at + ENTRIES, len(passage)) - 1], "right"))
+        own, column = np.unique(term[at:to], return_inverse=True)
+        block = np.zeros((passage[to - 1] - passage[at] + 1, len(own)), np.float32)
+        block[passage[at:to] - passage[at], column] = value[at:to]
+        yield own, block
+        at = to
+
+
 def _summed(coded: DataFrame, part, size: int, width: int) -> np.ndarray:
     """The sum over all documents of a ``size`` x ``width`` matrix, to which ``part(total, terms, places)`` adds; rows are summed by Spark."""
 
@@ -178,9 +196,9 @@ def frequencies(coded: DataFrame, size: int) -> tuple[np.ndarray, int]:
     """In how many passages each term occurs, and the number of passages that hold any."""
 
     def part(total, terms, places):
-        key = np.unique((places // PASSAGE) << 32 | terms)
+        key, _ = _runs((places // PASSAGE) << 32 | terms)
         total[:size, 0] += np.bincount(key & 0xFFFFFFFF, minlength=size)
-        total[size, 0] += len(np.unique(key >> 32))
+        total[size, 0] += len(_runs(key >> 32)[0])
 
     found = _summed(coded, part, size + 1, 1)[:, 0]
     return found[:size], int(found[size])
@@ -203,23 +221,14 @@ def latent_vectors(coded: DataFrame, weights: np.ndarray, *, rank: int = RANK, o
     width = min(rank + oversample, size)
     single = np.float32  # inside a task; sums over tasks are doubles
 
-    def rows_of(basis, terms, places):
-        passage, term, value = _passages(terms, places, weights)
-        if not len(passage):
-            return passage, term, value, np.zeros((0, width))
-        starts = np.flatnonzero(np.diff(passage, prepend=-1))
-        return passage, term, value.astype(single), np.add.reduceat(basis[term] * value.astype(single)[:, None], starts)
-
     def sketch(total, terms, places):
-        passage, term, value, rows = rows_of(start, terms, places)
-        if len(passage):
-            order = np.argsort(term, kind="stable")
-            first = np.flatnonzero(np.diff(term[order], prepend=-1))
-            total[term[order][first]] += np.add.reduceat(rows[passage[order]] * value[order, None], first)
+        for own, block in _blocks(terms, places, weights):
+            total[own] += block.T @ (block @ start[own])
 
     def gram(total, terms, places):
-        *_, rows = rows_of(leading, terms, places)
-        total += rows.T @ rows
+        for own, block in _blocks(terms, places, weights):
+            rows = block @ leading[own]
+            total += rows.T @ rows
 
     start = np.random.default_rng(seed).standard_normal((size, width)).astype(single)
     basis = np.linalg.qr(_summed(coded, sketch, size, width))[0]
@@ -229,6 +238,19 @@ def latent_vectors(coded: DataFrame, weights: np.ndarray, *, rank: int = RANK, o
     return basis @ turn[:, kept] / np.sqrt(values[kept])
 
 
+def running_sums(rows: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, 2, ... rows, added as they are given and returned in single precision."""
+    n, width = rows.shape
+    # All groups of 32 rows advance at once: a running sum over a long axis goes entry by entry.
+    groups = np.zeros((n // 32 + 1, 32, width), rows.dtype)
+    flat = groups.reshape(32 * len(groups), width)
+    flat[1:n + 1] = rows
+    for j in range(1, 32):
+        groups[:, j] += groups[:, j - 1]
+    groups[1:] += np.cumsum(groups[:-1, -1], axis=0)[:, None]
+    return flat[:n + 1].astype(np.float32)
+
+
 def _scale(n: int) -> int:
     """Words of the window for an item of ``n`` words: a power of two."""
     s = 8
@@ -281,14 +303,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: tu
         rows = rows.astype(np.float32)
         return rows / np.maximum(np.sqrt(np.einsum("ij,ij->i", rows, rows)), 1e-12)[:, None]
 
-    wanted = {s: unit(np.stack([vectors[i.terms].sum(axis=0) for i in group])) for s, group in of_scale.items()}
+    def in_eights(rows):
+        return np.concatenate([rows, np.zeros((-len(rows) % 8, rows.shape[1]), rows.dtype)])
+
+    # Columns of zeros fill each matrix up to a multiple of eight.
+    wanted = {s: in_eights(unit(np.stack([vectors[i.terms].sum(axis=0) for i in group]))) for s, group in of_scale.items()}
     k = len(names)
 
     anchors = anchors_of(items, counts)
     anchor_keys, anchor_item, anchor_place = (np.array([x[j] for x in anchors], np.int64) for j in range(3))
     alone = unit(np.stack([vectors[i.terms].sum(axis=0) for i in items]))
     narrow = np.array([min(_scales(len(i.terms))) for i in items], np.int64)
-    reach = {s: _scale(s) for s in scales}
+    starts_anchor = np.zeros(len(vocabulary), bool)
+    starts_anchor[anchor_keys >> 32] = True
+    reach = np.zeros(scales[-1] + 1, np.int64)
+    reach[scales] = [_scale(s) for s in scales]
     nths = {s: np.array([i.nth for i in group], np.int64) for s, group in of_scale.items()}
     bits = {i.nth: (bits_of(i.terms), bits_of(i.answer)) for i in items}
     # Words in common that a place needs at least, and how often a word stands in an item, by hash of the pair: perhaps too many, never too few.
@@ -298,59 +327,92 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: tu
     slot_of = lambda pair: (pair * np.int64(0x9E3779B1) >> np.int64(7)) & slots
     times = np.zeros(slots + 1, np.int32)
     np.maximum.at(times, slot_of(pairs), often)
+    stands_in = times > 0
 
-    def around(places, place, s, row, cut):
+    def around(upto, place, s, row, cut):
         """The occurrences in a power of two of places on either side of a window's middle, inside the document."""
-        wide = np.array([reach[x] for x in scales])[np.searchsorted(scales, s)]
-        lo = np.searchsorted(places, place + s // 2 - wide)
-        return np.maximum(lo, cut[row]), np.minimum(np.searchsorted(places, place + s // 2 + wide), cut[row + 1])
+        lo, hi = (upto[np.clip(place + s // 2 + side * reach[s], 0, len(upto) - 1)] for side in (-1, 1))
+        return np.maximum(lo, cut[row]), np.minimum(hi, cut[row + 1])
+
+    def cells(close):
+        """Rows and columns of what is true in a matrix whose width divides by eight, which is looked through by eights."""
+        eights = np.flatnonzero(close.view(np.uint64))
+        inner = np.flatnonzero(close.reshape(-1, 8)[eights])
+        return np.divmod(eights[inner >> 3] * 8 + (inner & 7), close.shape[1])
 
     def candidates(terms, places, start, cut):
         """Arrays (row, place, scale, item, cosine) of windows close to an item, or where an anchor of it stands."""
         end = int(start[-1])
         held = weights[terms] > 0
-        at, sums = places[held], np.zeros((int(held.sum()) + 1, vectors.shape[1]), np.float32)
-        sums[1:] = np.cumsum(vectors[terms[held]], axis=0)
-        pair = terms[:-1].astype(np.int64) << 32 | terms[1:]
-        first = np.searchsorted(anchor_keys, pair)
-        x = np.flatnonzero((anchor_keys[np.minimum(first, len(anchors) - 1)] == pair) if len(anchors) else np.zeros(len(pair), bool))
+        at, sums = places[held], running_sums(vectors.take(terms[held], axis=0))
+        x = np.flatnonzero(starts_anchor[terms[:-1]])
+        pair = terms[x].astype(np.int64) << 32 | terms[x + 1]
+        first, last = np.searchsorted(anchor_keys, pair), np.searchsorted(anchor_keys, pair, "right")
         row = np.searchsorted(cut, x, "right") - 1
-        x, row = x[x + 1 < cut[row + 1]], row[x + 1 < cut[row + 1]]
-        count = np.searchsorted(anchor_keys, pair[x], "right") - first[x]
-        hit = ragged(first[x], count)
-        x, row, nth = np.repeat(x, count), np.repeat(row, count), anchor_item[hit]
+        one = np.flatnonzero((last > first) & (x + 1 < cut[row + 1]))
+        count = last[one] - first[one]
+        hit = ragged(first[one], count)
+        x, row, nth = np.repeat(x[one], count), np.repeat(row[one], count), anchor_item[hit]
         place = np.maximum(places[x] - anchor_place[hit], start[row])
         lo, hi = np.searchsorted(at, place), np.searchsorted(at, place + narrow[nth])
         yield row, place, narrow[nth], nth, np.einsum("ij,ij->i", unit(sums[hi] - sums[lo]), alone[nth])
         upto = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=end + scales[-1]))]).astype(np.int32)
         for s in scales:
             for block in range(0, end, (s // 4) << 15):
-                starts = np.arange(block, min(end, block + ((s // 4) << 15)), s // 4)
-                lo, hi = upto[starts], upto[starts + s]
+                stop = min(end, block + ((s // 4) << 15))
+                lo, hi = upto[block:stop:s // 4], upto[block + s:stop + s:s // 4]
                 some = np.flatnonzero(hi > lo)
-                own = sums[hi[some]] - sums[lo[some]]
+                own = sums.take(hi[some], axis=0)
+                own -= sums.take(lo[some], axis=0)
                 length = np.sqrt(np.einsum("ij,ij->i", own, own))
                 product = own @ wanted[s].T
-                w, i = np.nonzero(product >= least_cosine * np.maximum(length, 1e-12)[:, None])
-                place = starts[some[w]]
+                close = product >= least_cosine * np.maximum(length, 1e-12)[:, None]
+                close[:, len(nths[s]):] = False
+                w, i = cells(close)
+                place = block + some[w] * (s // 4)
                 yield np.searchsorted(start, place, "right") - 1, place, np.full(len(w), s), nths[s][i], product[w, i] / length[w]
 
-    def possible(terms, places, cut, found):
+    def gathered(found):
+        """Candidates of several scales together, 2^16 or more at a time."""
+        held, size = [], 0
+        for x in found:
+            held.append(x)
+            size += len(x[0])
+            if size >> 16:
+                yield [np.concatenate(c) for c in zip(*held)]
+                held, size = [], 0
+        if held:
+            yield [np.concatenate(c) for c in zip(*held)]
+
+    def possible(terms, upto, cut, found):
         """Candidates with enough words of their item around them: (row, place, scale, item, cosine, occurrences)."""
         row, place, s, nth, cosine = found
-        a, b = around(places, place, s, row, cut)
+        a, b = around(upto, place, s, row, cut)
+        order = np.flatnonzero(b - a >= needed[nth])
+        order = order[np.lexsort((a[order], nth[order]))]
+        row, place, s, nth, cosine, a, b = (x[order] for x in (row, place, s, nth, cosine, a, b))
         # 2^20 occurrences at a time.
-        bounds = np.searchsorted(np.cumsum(np.maximum(b - a, 0)) >> 20, np.arange(int(np.maximum(b - a, 0).sum() >> 20) + 2))
-        for lo, hi in zip(bounds[:-1], bounds[1:]):
-            part = np.arange(lo, hi)[b[lo:hi] - a[lo:hi] >= needed[nth[lo:hi]]]
-            size = b[part] - a[part]
-            of, term = np.repeat(np.arange(len(part)), size), terms[ragged(a[part], size)]
-            own = times[slot_of(nth[part][of] * len(vocabulary) + term)] > 0
-            enough = np.bincount(of[own], minlength=len(part)) >= needed[nth[part]]
+        bounds = np.searchsorted(np.cumsum(b - a) >> 20, np.arange(int((b - a).sum() >> 20) + 2))
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            if lo == hi:
+                continue
+            # Candidates of one item that overlap are looked up once, as one stretch.
+            line = nth[lo:hi] * (len(terms) + 1)
+            ends = np.maximum.accumulate(line + b[lo:hi])
+            new = np.append(True, line[1:] + a[lo + 1:hi] > ends[:-1])
+            begin, item = a[lo:hi][new], nth[lo:hi][new]
+            size = ends[np.append(np.flatnonzero(new)[1:], hi - lo) - 1] - line[new] - begin
+            term = terms[ragged(begin, size)]
+            own = stands_in[slot_of(np.repeat(item * len(vocabulary), size) + term)]
+            shift = (np.cumsum(size) - size - begin)[np.cumsum(new) - 1]
+            before = np.concatenate([[0], np.cumsum(own)])
+            x, y = before[a[lo:hi] + shift], before[b[lo:hi] + shift]
+            enough = np.flatnonzero(y - x >= needed[nth[lo:hi]])
             # Each word of the item counts as often as the item has it, however often it stands here.
-            own &= enough[of]
-            key = np.unique(of[own] * len(vocabulary) + term[own])
+            of = np.repeat(np.arange(len(enough)), (y - x)[enough])
+            key, _ = _runs(of * len(vocabulary) + term[own][ragged(x[enough], (y - x)[enough])])
             of, term = key // len(vocabulary), key % len(vocabulary)
+            part = lo + enough
             part = part[np.bincount(of, times[slot_of(nth[part][of] * len(vocabulary) + term)], minlength=len(part)) >= needed[nth[part]]]
             yield from zip(*(x[part].tolist() for x in (row, place, s, nth, cosine, a, b)))
 
@@ -359,7 +421,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: tu
         for part, terms, places, start, cut in _pieces(batches, k, 2 * scales[-1]):
             best: dict[tuple[int, int], tuple] = {}
             listed = terms.tolist()
-            passing = (c for found in candidates(terms, places, start, cut) for c in possible(terms, places, cut, found))
+            upto = np.concatenate([[0], np.cumsum(np.bincount(places))])  # occurrences before each place
+            passing = (c for found in gathered(candidates(terms, places, start, cut)) for c in possible(terms, upto, cut, found))
             for row, place, s, nth, cosine, lo, hi in passing:
                 found, near, (own, own_answer) = items[nth], listed[lo:hi], bits[nth]
                 common = common_length(found.terms, near, own) / len(found.terms)

@@ -189,6 +189,38 @@ def test_recall_of_leaks(spark):
     assert all(lost[k] <= 0.003 * tried[k] for k in tried)
 
 
+def test_documents_without_a_word_of_the_benchmark(spark):
+    bench = spark.createDataFrame([(1, "grey herons carry silver keys"), (2, "lone")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "nothing of it"), (2, None), (3, "")], "doc_id long, text string")
+    assert contamination.leaks(docs, bench).count() == 0
+    got = contamination.leaks(docs.union(spark.createDataFrame([(4, "x grey herons carry silver keys y")], docs.schema)), bench).collect()
+    assert [(r.doc_id, r.item_id, r.common) for r in got] == [(4, 1, 1.0)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 31, 32, 33, 1000])
+def test_running_sums(n):
+    rows = np.random.default_rng(n).standard_normal((n, 5))
+    assert np.allclose(contamination.running_sums(rows), np.concatenate([np.zeros((1, 5)), np.cumsum(rows, axis=0)]), atol=1e-4)
+    assert contamination.running_sums(rows[:, :0]).shape == (n + 1, 0)
+
+
+@pytest.mark.parametrize("n", [0, 1, 500, 20_000])
+def test_blocks_are_the_matrix_of_passages(n):
+    """Dense blocks, one under another, are the unit TF-IDF rows of all passages with a weighty word; none is large."""
+    r = np.random.default_rng(n)
+    terms, places, weights = r.integers(0, 300, n).astype(np.int32), np.sort(r.choice(4 * n, n, replace=False)), r.random(300) * (r.random(300) < 0.7)
+    want = []
+    for p in range(4 * n // contamination.PASSAGE + 1):
+        row = np.bincount(terms[places // contamination.PASSAGE == p], minlength=300) * weights
+        want += [row / np.linalg.norm(row)] if row.any() else []
+    got = [np.zeros((0, 300))]
+    for own, block in contamination._blocks(terms, places, weights):
+        assert np.count_nonzero(block) < contamination.ENTRIES + contamination.PASSAGE
+        got.append(np.zeros((len(block), 300)))
+        got[-1][:, own] = block
+    assert np.allclose(np.concatenate(got), np.array(want).reshape(-1, 300), atol=1e-6)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 5), max_size=12), st.lists(st.integers(0, 5), max_size=12))
 def test_common_subsequence(a, b):
